@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import superminhash
+from . import lm, packing, superminhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (superminhash.op6_superminhash,)}
+    return {f.__name__: f for f in (packing.op2_cutting_stock, superminhash.op6_superminhash, lm.op8_kneser_ney)}
 
 
 def oracle_sql() -> dict[str, str]:
