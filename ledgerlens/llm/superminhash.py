@@ -27,8 +27,8 @@ from .store import dropped, saved, table
 SHINGLE, SHARE, BANDS, ROWS = 5, 75, 40, 5
 #: Hub rounds at most, and pairs for each bucket row from which another round is worth it.
 HUBS, FEW = 2, 1
-#: Points by which a full signature may fall below the similarity before a pair is taken for different (3.3 deviations).
-DOUBT = 10
+#: Standard deviations by which a full signature may fall below the similarity before a pair is taken for different.
+DOUBT = 3.3
 #: Elements that one vectorised signature step holds at once.
 STEP = 150_000
 
@@ -61,6 +61,17 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n: int, slots: int) -> n
     return sig.reshape(n, slots)
 
 
+def variance_factor(slots: int, union: int) -> float:
+    """SuperMinHash's variance over MinHash's for sets whose union has that size (from the algorithm's paper)."""
+    if union < 2 or slots < 2:
+        return 1.0
+    grow = np.arange(1, slots) / slots
+    step = lambda d: (np.maximum(np.arange(1, slots) + d, 0) / slots) ** union
+    # l^u / (m-1)^(u-1) is taken relative to m^u to stay in range
+    lift = (slots / (slots - 1)) ** (union - 1) * slots
+    return float(1 - (grow**union * (step(1) + step(-1) - 2 * grow**union)).sum() * lift / (union - 1))
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = sig.reshape(len(sig), bands, rows)
     key = mix(np.broadcast_to(np.array([salt(i) for i in range(bands)]), parts.shape[:2]) + U(1))
@@ -203,8 +214,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands
     rest = saved(open_.select("bucket", "doc_id", "n", "component").join(common, "doc_id"), "rest")
     left, right = (rest.select("bucket", *(F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "n", "component", "common", "bands", "slots"))) for c in "ab")
     bands_both = F.array_intersect("bands_a", "bands_b")
+    # a pair at the similarity has a union of (n_a + n_b) / (1 + J); 64 of the sum are 32 of half the sum and no more of that
+    slots, j = bands * rows, share / 100
+    least = [slots * (j - DOUBT * (j * (1 - j) / slots * min(1.0, variance_factor(slots, int(64 * (i + 1) / (1 + j)) + 1))) ** 0.5) for i in range(48)]
     alike = F.aggregate(F.zip_with("slots_a", "slots_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    close = (left.bucket == right.bucket) & (F.col("component_a") < F.col("component_b")) & ((100 + share) * F.least("common_a", "common_b") >= share * (F.col("n_a") + F.col("n_b"))) & (F.size(bands_both) > 1) & (F.array_min(bands_both) == left.bucket) & (alike * 100 >= (share - DOUBT) * bands * rows)
+    close = (left.bucket == right.bucket) & (F.col("component_a") < F.col("component_b")) & ((100 + share) * F.least("common_a", "common_b") >= share * (F.col("n_a") + F.col("n_b"))) & (F.size(bands_both) > 1) & (F.array_min(bands_both) == left.bucket) & (alike >= F.element_at(F.array(*map(F.lit, least)), F.least(F.floor((F.col("n_a") + F.col("n_b")) / 64) + 1, F.lit(len(least))).cast("int")))
     cross = left.join(right, close).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
     final = saved(_joined(found, verified(cross, texts, k, share)), "final")
     out = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
