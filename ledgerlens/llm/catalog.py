@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, packing, superminhash
+from . import decontaminate, linedup, lm, packing, superminhash, vectorgraph
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op2_cutting_stock, superminhash.op6_superminhash, lm.op8_kneser_ney)}
+    return {
+        f.__name__: f
+        for f in (packing.op2_cutting_stock, vectorgraph.op4_flat_graph, superminhash.op6_superminhash, decontaminate.op7_cgk_leaks, lm.op8_kneser_ney, linedup.op10_line_chunks)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
