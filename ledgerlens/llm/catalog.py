@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linedup, lm, packing, superminhash, vectorgraph
+from . import chat, decontaminate, licenses, linedup, lm, packing, resample, superminhash, toxicity, vectorgraph
 
 
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (packing.op2_cutting_stock, vectorgraph.op4_flat_graph, superminhash.op6_superminhash, decontaminate.op7_cgk_leaks, lm.op8_kneser_ney, linedup.op10_line_chunks)
+        for f in (
+            toxicity.op1_counterfactual_toxicity,
+            packing.op2_cutting_stock,
+            resample.op3_gumbel_resampling,
+            vectorgraph.op4_flat_graph,
+            licenses.op5_license_dice,
+            superminhash.op6_superminhash,
+            decontaminate.op7_cgk_leaks,
+            lm.op8_kneser_ney,
+            chat.op9_event_chat,
+            linedup.op10_line_chunks,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_dice": licenses.SQL, "op9_event_chat": chat.SQL}
