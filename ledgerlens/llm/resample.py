@@ -9,7 +9,8 @@ documents above the ratio that best separates the sampled labels. The k-th key i
 narrower ranges, so nothing is sorted as a whole and no row is collected.
 
 Edge cases: null and empty texts have a log ratio of 0 and no n-grams, and are sampled as such; null labels are ignored;
-if the labels lack one of the two classes the cut is 0 (as likely as raw); rows with equal keys (repeated doc_ids) at
+without text labelled good
+all ratios are 0, and if either class is missing the cut is 0 (as likely as raw); rows with equal keys (repeated doc_ids) at
 the k-th place are all kept; a null doc_id has the noise of id null; an empty table gives an empty table.
 """
 
@@ -73,6 +74,8 @@ def log_ratios(docs: DataFrame, target_ids: np.ndarray, buckets: int = BUCKETS)
         return np.zeros(buckets)
     rows.sort(key=lambda r: r.part)
     raw, good = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]).astype(float) for c in ("raw", "good"))
+    if not good.sum():
+        return np.zeros(buckets)
     return np.log((good + SMOOTH) / (good.sum() + SMOOTH * buckets)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * buckets))
 
 
