@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import registry
+from .plans import relational  # noqa: F401  (registers its queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
