@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import random
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +30,14 @@ from .hashing import U, hash_all, mix, salt
 from .store import table
 
 EDITS, SAMPLED, RECALL, BLOCK = 0.25, 3, 0.99, 5000
-WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Bytes that are no letters, digits or non-ASCII, as blanks.
+BLANKS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 PAD = mix(np.array([salt(55)]))[0]
 SHAPE = "doc_id long, item_id long, edits int, item_words int, first_word int"
 
 
 def words(text: str | None) -> np.ndarray:
-    return hash_all(WORD.findall(text.lower().encode("utf-8", "surrogatepass"))) if text else np.zeros(0, U)
+    return hash_all(text.lower().encode("utf-8", "surrogatepass").translate(BLANKS).split()) if text else np.zeros(0, U)
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -55,8 +55,9 @@ def walk_keys(windows: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
         symbol = padded[row, at]
         if (taken := (steps == j).any(axis=1)).any():
             key[taken] = mix(key[taken] * U(0xD6E8FEB86659FD93) + symbol[taken])
-        turn = np.array([salt((seed + w) * 4096 + j) for w in range(walks)])[:, None]
-        at = np.minimum(at + (mix(symbol + turn) & U(1)).astype(np.int64), size)
+        # the top bit of a product with a random odd number of this walk and step
+        turn = np.array([salt((seed + w) * 4096 + j) | U(1) for w in range(walks)])[:, None]
+        at = np.minimum(at + (symbol * turn >> U(63)).astype(np.int64), size)
     return key
 
 
@@ -93,13 +94,20 @@ class Index:
             k = int(edits * size)
             matrix = np.stack([h for _, h in members])
             rng = random.Random(size)
-            draw = np.array([sorted(rng.sample(range(2 * size), min(sampled, 2 * size))) for _ in range(64)])
+            reach = size + size // 4 + 1
+            draw = np.array([sorted(rng.sample(range(reach), min(sampled, reach))) for _ in range(64)])
             walks = self._walks(matrix, draw, k, recall, rng)
             keys = walk_keys(matrix, draw[:walks], seed)
             order = np.argsort(keys, axis=1)
             grams = np.unique(np.concatenate([pairs(h) for _, h in members]))
             self.groups.append((size, k, max(1, size - 1 - 2 * k), [i for i, _ in members], matrix, draw[:walks], np.take_along_axis(keys, order, 1), order, grams))
-        self.grams = np.unique(np.concatenate([g[-1] for g in self.groups])) if self.groups else np.zeros(0, U)
+        # distinct pairs of words, and the groups that hold each (those of pair i are at edge[i]..edge[i + 1] of member)
+        every = np.concatenate([g[-1] for g in self.groups]) if self.groups else np.zeros(0, U)
+        group = np.repeat(np.arange(len(self.groups)), [len(g[-1]) for g in self.groups])
+        order = np.argsort(every, kind="stable")
+        self.grams, counts = np.unique(every, return_counts=True)
+        self.member, self.edge = group[order], np.concatenate([[0], np.cumsum(counts)])
+        self.needs = np.array([g[2] for g in self.groups], np.int64)
         self.bits = max(16, int(math.log2(len(self.grams) + 1)) + 8)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.grams)] = True
@@ -130,21 +138,32 @@ class Index:
 
     def leaks(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(document's position, item_id, edits, item's words, first word) for a batch of hashed documents."""
-        spots = []
+        spots: list[list[tuple[int, np.ndarray]]] = [[] for _ in self.groups]
         for d, h in enumerate(docs):
-            if len(h) > 1 and len(self.grams):
-                g = pairs(h)
-                if len(at := np.flatnonzero(self.seen[self._slot(g)])):
-                    spots.append((d, at, g[at]))
-        for size, k, need, ids, matrix, steps, keys, order, grams in self.groups:
+            if len(h) < 2 or not len(self.grams):
+                continue
+            g = pairs(h)
+            at = np.flatnonzero(self.seen[self._slot(g)])
+            if not len(at):
+                continue
+            which = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+            exact = self.grams[which] == g[at]
+            at, which = at[exact], which[exact]
+            many = self.edge[which + 1] - self.edge[which]
+            own = np.repeat(at, many)
+            group = self.member[np.repeat(self.edge[which], many) + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)]
+            for i in np.flatnonzero(np.bincount(group, minlength=len(self.groups)) >= self.needs):
+                spots[i].append((d, own[group == i]))
+        for (size, k, need, ids, matrix, steps, keys, order, _), held in zip(self.groups, spots, strict=True):
             where, windows = [], []
-            for d, at, g in spots:
-                own = at[grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g]
-                if len(own) < need:
-                    continue
+            for d, own in held:
                 # starts whose next size + k words hold the needed pairs, no more than the edits before a hit
                 span = size + k - 1
-                near = np.unique((own[:, None] - np.arange(2 * k + 2)[None, :]).ravel())
+                enough = own[: len(own) - need + 1]
+                enough = enough[own[need - 1 :] - enough < span]
+                if not len(enough):
+                    continue
+                near = np.unique((enough[:, None] - np.arange(2 * k + 2)[None, :]).ravel())
                 near = near[near >= 0]
                 count = np.searchsorted(own, near + span) - np.searchsorted(own, near)
                 h = docs[d]
