@@ -69,14 +69,15 @@ def _lines(text: str | None) -> list[bytes]:
 def _spotted(min_words: int, window: int, divisor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, starts, sizes, names = [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows, docs, starts, sizes, names = [], [], [], [], []
+            for i, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 for start, size, name in chunks(_lines(text.as_py()), min_words, window, divisor):
                     rows.append(i)
+                    docs.append(doc)
                     starts.append(start)
                     sizes.append(size)
                     names.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(names, pa.int64())], names=["row", "start", "size", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(names, pa.int64())], names=["row", "doc", "start", "size", "name"])
 
     return run
 
@@ -84,16 +85,15 @@ def _spotted(min_words: int, window: int, divisor: int):
 def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks of each text."""
     for b in batches:
-        rows, starts, sizes, names, texts = [], [], [], [], []
-        for i, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        rows, spans, texts = [], [], []
+        for i, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
             lines = _lines(text.as_py())
-            for s in spans:
+            for s in own:
                 rows.append(i)
-                starts.append(s["start"])
-                sizes.append(s["size"])
-                names.append(s["name"])
+                spans.append(s)
                 texts.append(b"\n".join(lines[s["start"] : s["start"] + s["size"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(texts, pa.binary())], names=["row", "start", "size", "name", "bytes"])
+        column = lambda c, kind: pa.array([s[c] for s in spans], kind)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), column("start", pa.int32()), column("size", pa.int32()), column("name", pa.int64()), column("first_doc", pa.int64()), column("is_first", pa.bool_()), pa.array(texts, pa.binary())], names=["row", "start", "size", "name", "first_doc", "is_first", "bytes"])
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
@@ -103,17 +103,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     row's doc_id where the first copy is. Needs columns doc_id and text; other columns pass through.
     """
     numbered = saved(docs.withColumn("row", F.monotonically_increasing_id()) if "row" not in docs.columns else docs.withColumn("__own_row", F.col("row")).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    spotted = saved(numbered.select("row", F.col("text").cast("string")).mapInArrow(_spotted(min_words, window, divisor), "row long, start int, size int, name long"), "chunks")
-    ids = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"))
+    spotted = saved(numbered.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_spotted(min_words, window, divisor), "row long, doc long, start int, size int, name long"), "chunks")
     # the first copy: by doc_id, then row (for repeated ids), then line; rows without id come last
-    placed = spotted.join(ids, "row").select("row", "start", "size", "name", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start").alias("place"))
-    firsts = placed.groupBy("name").agg(F.count("*").alias("copies"), F.min("place").alias("first")).where("copies > 1").select("name", "first")
-    again = saved(placed.join(firsts, "name").select("row", "start", "size", "name", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "again")
-    wanted = again.groupBy("row").agg(F.collect_list(F.struct("start", "size", "name")).alias("spans"))
-    quoted = saved(numbered.select("row", F.col("text").cast("string")).join(wanted, "row").mapInArrow(_quoted, "row long, start int, size int, name long, bytes binary"), "quoted")
-    heads = again.select("name", "first_row", "first_start", "first_doc").distinct()
-    originals = quoted.join(heads, (quoted["name"] == heads["name"]) & (quoted["row"] == heads["first_row"]) & (quoted["start"] == heads["first_start"])).select(quoted["name"].alias("of"), F.col("bytes").alias("original"), "first_row", "first_start", "first_doc")
-    same = quoted.join(originals, (F.col("name") == F.col("of")) & (F.col("bytes") == F.col("original"))).where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")
+    firsts = spotted.groupBy("name").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").select("name", "first")
+    again = spotted.join(firsts, "name").select("row", F.struct("start", "size", "name", F.col("first.doc").alias("first_doc"), ((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))).alias("is_first")).alias("span"))
+    wanted = again.groupBy("row").agg(F.collect_list("span").alias("spans"))
+    quoted = saved(numbered.select("row", F.col("text").cast("string")).join(wanted, "row").mapInArrow(_quoted, "row long, start int, size int, name long, first_doc long, is_first boolean, bytes binary"), "quoted")
+    originals = quoted.where("is_first").select(F.col("name").alias("of"), F.col("bytes").alias("original"))
+    same = quoted.where("not is_first").join(originals, (F.col("name") == F.col("of")) & (F.col("bytes") == F.col("original")))
     cuts = same.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "size", "first_doc"))).alias("cuts"))
 
     joined = numbered.join(cuts, "row", "left")
