@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import dropped, saved, table
 
-COSINE, OVERLAP, BLOCK, SAMPLE = 0.93, 4, 1500, 20_000
+COSINE, OVERLAP, BLOCK, SAMPLE = 0.93, 2, 1500, 20_000
 DEGREE, POOL, ALPHA, BEAM, SLACK, FAR = 32, 96, 1.2, 16, 0.1, 4
 
 
@@ -71,10 +71,8 @@ def medoids(nodes: np.ndarray, count: int) -> list[int]:
 def range_search(queries: np.ndarray, nodes: np.ndarray, edges: list[np.ndarray], least: float, beam: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node, cosine) of the nodes found with at least that cosine: greedy from the medoid, then along the range."""
     n, m = len(queries), len(nodes)
-    degree = max((len(e) for e in edges), default=0)
-    graph = np.full((m, max(1, degree)), -1)
-    for i, e in enumerate(edges):
-        graph[i, : len(e)] = e
+    degree = np.array([len(e) for e in edges], np.int64)
+    flat_edges, edge = np.concatenate([*edges, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum(degree)])
     cosine = lambda q, v: np.einsum("ij,ij->i", queries[q], nodes[v])
     seeds = medoids(nodes, beam)
     seen = np.zeros((n, m), bool)
@@ -90,10 +88,10 @@ def range_search(queries: np.ndarray, nodes: np.ndarray, edges: list[np.ndarray]
         """Unseen graph neighbours of (query, node) pairs with their cosines."""
         out = []
         for lo in range(0, len(q), 100_000):
-            qq = np.repeat(q[lo : lo + 100_000], graph.shape[1])
-            vv = graph[v[lo : lo + 100_000]].ravel()
-            ok = vv >= 0
-            qq, vv = qq[ok], vv[ok]
+            vs = v[lo : lo + 100_000]
+            many = degree[vs]
+            qq = np.repeat(q[lo : lo + 100_000], many)
+            vv = flat_edges[np.repeat(edge[vs], many) + np.arange(len(qq)) - np.repeat(np.cumsum(many) - many, many)]
             fresh = ~seen[qq, vv]
             flat = np.unique(qq[fresh] * m + vv[fresh])
             qq, vv = flat // m, flat % m
@@ -172,7 +170,7 @@ def link_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
         share = min(1.0, 0.9 * sample / total)
         drawn = nodes.join(sizes, ["label", "dim"]).where(F.pmod(F.col("uid"), F.lit(1_000_003)) < share * 1_000_003).select("label", "dim", "n", "unit").limit(sample).toArrow().to_pandas()
         for (label, dim), g in drawn.groupby(["label", "dim"]):
-            k = int(min(np.ceil(g["n"].iloc[0] / (block / 2)), max(1, len(g) // 8)))
+            k = int(min(np.ceil(g["n"].iloc[0] * overlap / (block / 2)), max(1, len(g) // 8)))
             centres[label, dim] = _centroids(np.stack([np.frombuffer(x, np.float64) for x in g["unit"]]), k)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
