@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import relational  # noqa: F401  (registers its queries)
+from .plans import recall, relational, scalar  # noqa: F401  (register their queries)
+
+flagship = recall.flagship
 
 
 def queries() -> dict:
