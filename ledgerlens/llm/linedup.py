@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import U, mix, salt
-from .store import dropped, saved, table
+from .store import bucketed, dropped, saved, table
 
 MIN_WORDS, WINDOW, DIVISOR = 50, 2, 1
 #: Odd base of the rolling hash and its inverse modulo 2^64.
@@ -102,7 +102,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDO
     line_dedup has n_lines, removed_lines and spans: the removed (start, size) runs in lines of the old text, with the
     row's doc_id where the first copy is. Needs columns doc_id and text; other columns pass through.
     """
-    numbered = saved(docs.withColumn("row", F.monotonically_increasing_id()) if "row" not in docs.columns else docs.withColumn("__own_row", F.col("row")).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    renamed = docs.withColumn("__own_row", F.col("row")) if "row" in docs.columns else docs
+    numbered = bucketed(renamed.withColumn("row", F.monotonically_increasing_id()), "numbered", "row")
     spotted = saved(numbered.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_spotted(min_words, window, divisor), "row long, doc long, start int, size int, name long"), "chunks")
     # the first copy: by doc_id, then row (for repeated ids), then line; rows without id come last
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")

@@ -30,6 +30,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """saved(), dealt by ``key`` into as many buckets as a shuffle has partitions: later joins on it don't move df's rows."""
+    spark = df.sparkSession
+    name = f"ledgerlens_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out._saved_path = path
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by saved() that nothing will read again."""
     for df in frames:
