@@ -1,15 +1,19 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors that are byte-equal collapse to one node first. A label with many nodes gets centroids, fitted on a sample of at
-most SAMPLE vectors (the only bounded thing here; every vector is indexed), and each node goes to the shards of its
-OVERLAP nearest centroids; a shard beyond BLOCK nodes is dealt into blocks. Each block builds a robust-pruned graph over
-its nodes; the adjacency lists of a node's blocks are united. Then every vector searches the blocks of its shards: a
-greedy search from the block's medoid to the vector's neighbourhood, then a range expansion along the graph for as long
-as it meets vectors within SLACK of the threshold. Cosines are computed in double precision on the way, so every link is
-verified. ``audit`` compares the links with a brute-force scan of a few query vectors against all vectors in blocks.
-
-A pair that shares several shards is counted in the smallest one. Blocks return link counts and a spanning forest of the
-links, so a group of n copies costs n rows and not n^2.
+most SAMPLE vectors (the only bounded thing here; every vector is indexed), and each node lives in the shard of its
+nearest centroid; a shard beyond BLOCK nodes is dealt into blocks. Each block builds a robust-pruned graph over its
+nodes. Then every vector searches all shards that can hold a link of it: a shard is left out only if the vector is
+farther from the shard's side of a bisector of two centroids than the ends of a link can be, so no link is lost by the
+dealing, however many shards a group of near copies covers. The search in a block is greedy from the block's medoid to
+the vector's neighbourhood, then a range expansion along the graph for as long as it meets vectors within SLACK of the
+threshold; where more than DENSE of a block's pairs are links, all cosines are computed instead. They are in double
+precision, so every link is verified. ``audit`` compares the links with a brute-force scan of a few query vectors
+against all vectors in blocks. Vectors without structure rule out few shards: the work then grows with the square of a
+label.
+
+A pair is found twice, once from each end. Blocks return link counts and a spanning forest of the links, so a group of n
+copies costs n rows for each of its blocks and not n^2.
 
 Edge cases: vectors that are null, of norm 0, or with null or non-finite components, and those with a null label or
 vec_id, link with nothing; vectors of other dimensions never meet; equal vectors of one label are linked whatever else
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import dropped, saved, table
 
-COSINE, OVERLAP, BLOCK, SAMPLE = 0.93, 2, 1500, 20_000
-DEGREE, POOL, ALPHA, BEAM, SLACK, FAR = 32, 96, 1.2, 16, 0.1, 4
+COSINE, BLOCK, SAMPLE = 0.93, 1500, 20_000
+DEGREE, POOL, ALPHA, BEAM, SLACK, FAR, DENSE = 32, 96, 1.2, 16, 0.1, 4, 0.1
 
 
 def robust_prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
@@ -157,7 +161,7 @@ def _centroids(vectors: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return c
 
 
-def link_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERLAP, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = COSINE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, label, embedding)."""
     raw = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
     unit = saved(raw.mapInArrow(_unit, "vec_id long, label long, unit binary"), "unit")
@@ -170,21 +174,34 @@ def link_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
         share = min(1.0, 0.9 * sample / total)
         drawn = nodes.join(sizes, ["label", "dim"]).where(F.pmod(F.col("uid"), F.lit(1_000_003)) < share * 1_000_003).select("label", "dim", "n", "unit").limit(sample).toArrow().to_pandas()
         for (label, dim), g in drawn.groupby(["label", "dim"]):
-            k = int(min(np.ceil(g["n"].iloc[0] * overlap / (block / 2)), max(1, len(g) // 8)))
+            k = int(min(np.ceil(g["n"].iloc[0] / (block / 2)), max(1, len(g) // 8)))
             centres[label, dim] = _centroids(np.stack([np.frombuffer(x, np.float64) for x in g["unit"]]), k)
 
+    chord = np.sqrt(max(2 - 2 * least, 0.0))  # the longest distance of two linked unit vectors
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            homes: list[int] = []
             shards: list[list[int]] = []
             for label, dim, u in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1), strict=True):
                 c = centres.get((label, dim))
-                shards.append([0] if c is None else sorted(np.argsort(-(c * np.frombuffer(u.as_buffer(), np.float64)).sum(axis=1), kind="stable")[:overlap].tolist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.list_(pa.int32()))], names=[*b.schema.names, "shards"])
-
-    dealt = saved(nodes.select("label", "unit", "node", "dim", "copies", "uid").mapInArrow(deal, "label long, unit binary, node long, dim int, copies long, uid long, shards array<int>"), "dealt")
-    member = dealt.withColumn("shard", F.explode("shards"))
-    blocks = member.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = saved(member.join(blocks, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.col("uid"), F.col("blocks")).cast("int")), "member")
+                if c is None:
+                    homes.append(0)
+                    shards.append([0])
+                    continue
+                near = (c * np.frombuffer(u.as_buffer(), np.float64)).sum(axis=1)
+                home = int(near.argmax())
+                # a node of shard s is on its side of the bisector of s and home, so a link from here must reach that side
+                homes.append(home)
+                shards.append(np.flatnonzero(near[home] - near <= chord * np.linalg.norm(c[home] - c, axis=1) + 1e-9).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(homes, pa.int32()), pa.array(shards, pa.list_(pa.int32()))], names=[*b.schema.names, "shard", "asks"])
+
+    dealt = saved(nodes.select("label", "unit", "node", "dim", "copies", "uid").mapInArrow(deal, "label long, unit binary, node long, dim int, copies long, uid long, shard int, asks array<int>"), "dealt")
+    queries = dealt.select("label", "dim", F.explode("asks").alias("shard"), "unit", "node", "copies", "uid")
+    blocks = dealt.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    parts = queries.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))
+    cells = saved(blocks.join(parts, ["label", "dim", "shard"]), "cells")
+    member = saved(dealt.drop("asks").join(cells, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.col("uid"), F.col("blocks")).cast("int")), "member")
     place = ["label", "dim", "shard", "block"]
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
@@ -195,39 +212,36 @@ def link_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
         far = np.random.default_rng(len(ids)).integers(0, len(ids), (len(ids), FAR))
         return pa.table({"uid": pa.array(ids, pa.int64()), "near": pa.array([np.concatenate([ids[r[r >= 0]], ids[f]]) for r, f in zip(lists, far, strict=True)], pa.list_(pa.int64()))})
 
-    lists = member.select(*place, "uid", "unit").groupBy(*place).applyInArrow(build, "uid long, near array<long>")
-    united = saved(lists.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "united")
+    lists = saved(member.select(*place, "uid", "unit").groupBy(*place).applyInArrow(build, "uid long, near array<long>"), "lists")
 
-    # each vector is a query in all blocks of its shards, and a node in its own block there
-    asked = member.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*place, "uid", "node", "copies", "unit", "shards", F.pmod(F.col("uid"), F.col("blocks")).cast("int").alias("own"))
-    asked = asked.join(united, "uid", "left")
+    # the nodes of a block meet the vectors that search its shard, so many at a time
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = member.join(lists, "uid").withColumn("part", upto("parts")).select(*place, "part", "uid", "node", "copies", "unit", "near")
+    asked = queries.join(cells, ["label", "dim", "shard"]).withColumn("part", F.pmod(F.hash("uid"), F.col("parts"))).withColumn("block", upto("blocks"))
+    met = there.unionByName(asked.select(*place, "part", "uid", "node", "copies", "unit", F.lit(None).cast("array<long>").alias("near")))
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
-        shard, number = key[2].as_py(), key[3].as_py()
         v, ids, copies = _matrix(group.column("unit")), group.column("node").to_numpy(), group.column("copies").to_numpy()
-        shards, uids = group.column("shards").to_pylist(), group.column("uid").to_numpy()
-        inside = np.flatnonzero(group.column("own").to_numpy() == number)
-        if not len(inside):
+        uids, near = group.column("uid").to_numpy(), group.column("near")
+        asks = near.is_null().to_numpy()
+        inside, outside = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if not len(inside) or not len(outside):
             return pa.table({"node": pa.array([], pa.int64()), "found": pa.array([], pa.int64()), "a": pa.array([], pa.int64())})
-        at = {int(u): i for i, u in enumerate(uids[inside])}
-        edges: list[set[int]] = [set() for _ in inside]
-        for i, r in enumerate(inside):
-            for u in group.column("near")[int(r)].as_py() or []:
-                if (j := at.get(u)) is not None:
+        if (np.einsum("ij,kj->ik", v[inside], v[inside]) >= least).mean() > DENSE:
+            q, x = np.nonzero(np.einsum("ij,kj->ik", v[outside], v[inside]) >= least)
+        else:
+            at = {int(u): i for i, u in enumerate(uids[inside])}
+            edges: list[set[int]] = [set() for _ in inside]
+            for i, r in enumerate(inside):
+                for u in near[int(r)].as_py():
+                    j = at[u]
                     edges[i].add(j)
                     edges[j].add(i)
-        q, x, _ = range_search(v, v[inside], [np.array(sorted(e), np.int64) for e in edges], least)
-        x = inside[x]
-        lone = np.array([len(s) == 1 for s in shards])
-        first = np.array([s[0] for s in shards])
-        ok = q != x
+            q, x, _ = range_search(v[outside], v[inside], [np.array(sorted(e), np.int64) for e in edges], least)
+        q, x = outside[q], inside[x]
+        ok = uids[q] != uids[x]
         q, x = q[ok], x[ok]
-        # of the shards that a pair shares, the smallest counts it
-        doubt = ~(lone[q] | lone[x] | ((first[q] == shard) & (first[x] == shard)))
-        mine = ~doubt
-        sets = [frozenset(s) for s in shards]
-        mine[doubt] = [min(sets[a] & sets[b]) == shard for a, b in zip(q[doubt].tolist(), x[doubt].tolist(), strict=True)]
-        found = np.bincount(q[mine], weights=copies[x[mine]], minlength=len(ids)).astype(np.int64)
+        found = np.bincount(q, weights=copies[x], minlength=len(ids)).astype(np.int64)
         parent = np.arange(len(ids))
         while True:  # min-label rounds with pointer jumping give each linked row its block's root
             old = parent.copy()
@@ -239,13 +253,13 @@ def link_vectors(vectors: DataFrame, least: float = COSINE, overlap: int = OVERL
         use = np.flatnonzero((found > 0) | (parent != np.arange(len(ids))))
         return pa.table({"node": pa.array(ids[use], pa.int64()), "found": pa.array(found[use], pa.int64()), "a": pa.array(ids[parent[use]], pa.int64())})
 
-    hits = saved(asked.groupBy(*place).applyInArrow(search, "node long, found long, a long"), "hits")
+    hits = saved(met.groupBy(*place, "part").applyInArrow(search, "node long, found long, a long"), "hits")
     groups = components(hits.select("node", "a"))
     counts = hits.groupBy("node").agg(F.sum("found").alias("found"))
     summary = nodes.select("label", "unit", "node", "copies").join(counts, "node", "left").join(groups, "node", "left").select("label", "unit", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     good = unit.where("unit is not null").join(summary, ["label", "unit"]).select("vec_id", "n_links", "component_id")
     bad = unit.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dropped(dealt, member, united)
+    dropped(dealt, cells, member, lists)
     return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

@@ -67,3 +67,19 @@ def test_pruning_keeps_the_nearest():
     sims = v @ v.T
     np.fill_diagonal(sims, -2)
     assert (robust_prune(v @ v.T, 5, 20)[:, 0] == sims.argmax(axis=1)).all()
+
+
+def test_large_group_of_near_copies_keeps_its_links(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=64)
+    group = base + rng.normal(size=(600, 64)) * 0.21
+    far = rng.normal(size=(1200, 64))
+    rows = [(i, 1, [float(x) for x in e]) for i, e in enumerate(np.concatenate([group, far]))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    links = link_vectors(df, block=60, sample=1800)
+    v = np.concatenate([group, far])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = (v @ v.T >= 0.93).sum(axis=1) - 1
+    assert want[:600].mean() > 300
+    assert [r.n_links for r in links.orderBy("vec_id").collect()] == want.tolist()
+    assert audit(df, links, queries=100) == 1.0
