@@ -72,7 +72,7 @@ def templates(spark: SparkSession, least: float) -> DataFrame:
     rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
     made = spark.createDataFrame(rows, "license string, template int, wording string").withColumn("grams", bigrams(words(F.col("wording"))))
     size = F.size("grams")
-    lo, hi = F.ceil(size * (least / (2 - least))), F.floor(size * ((2 - least) / least))
+    lo, hi = F.ceil(size * (least / (2 - least)) - 1e-9), F.floor(size * ((2 - least) / least) + 1e-9)
     return made.select("license", "template", "grams", size.alias("of"), F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("n"))
 
 
@@ -83,9 +83,11 @@ def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
     most = max(math.floor(len(t.split()) * 2 * (2 - least) / least) for texts in TEMPLATES.values() for t in texts)
     text = F.col("text").cast("string")
     units = F.array_union(F.split(text, "\n"), F.array_union(F.split(text, "\n[ \t\r]*\n"), F.array(text)))
-    # a unit of more characters than the longest admissible one can have is no match; words are counted after that
     one = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit")).where(F.length("unit") >= 3)
-    near = one.withColumn("w", words(F.col("unit"))).where(F.size("w").between(2, most)).select("doc_id", bigrams(F.col("w")).alias("own")).withColumn("n", F.size("own"))
+    # n distinct bigrams have at most n + 1 distinct words, so a unit with more of them than that is no match; its length says nothing
+    few = lambda w: (F.size(w) >= 2) & ((F.size(w) <= most + 1) | (F.size(F.array_distinct(w)) <= most + 1))
+    own = F.transform(F.filter(F.array(words(F.col("unit"))), few), bigrams)
+    near = one.select("doc_id", F.explode(own).alias("own")).withColumn("n", F.size("own"))
     met = near.join(F.broadcast(known), "n")
     dice = 2 * F.size(F.array_intersect("own", "grams")) / (F.col("n") + F.col("of"))
     found = met.select("doc_id", "license", F.round(dice, 6).alias("dice")).where(F.col("dice") >= least)

@@ -112,3 +112,10 @@ def test_license_edges(spark):
     assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, None), (2, ""), (3, "word"), (None, "All rights reserved."), (4, "All rights reserved"), (4, "All rights reserved"), (5, "z " * 200000)]
     assert sorted((r.doc_id or 0, r.license, r.hits) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect()) == [(0, "proprietary", 1), (4, "proprietary", 2)]
+
+
+def test_license_of_repeated_notices(spark):
+    mit = licenses.TEMPLATES["mit"][2]
+    rows = [(1, " ".join([mit] * 4)), (2, "All rights reserved. " * 67), (3, "All rights reserved. " * 5000), (4, " ".join(f"w{i}" for i in range(5000)))]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx({(1, "mit"): round(dice(grams(rows[0][1]), grams(mit)), 6), (2, "proprietary"): 0.8, (3, "proprietary"): 0.8})
