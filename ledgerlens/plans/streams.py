@@ -88,6 +88,14 @@ def _(t):
     return d.select("doc_id", F.size(U.blocks_udf("text")).cast("long").alias("prose"))
 
 
+@query("f05_block_kinds")
+def _(t):
+    """Blocks of each kind in every document, fenced or not; an empty or null text has none."""
+    b = t("documents").select("doc_id", U.blocks_udf("text").alias("b"))
+    of = lambda kind: F.size(F.filter("b", lambda x: x["kind"] == kind)).cast("long").alias(kind)
+    return b.select("doc_id", of("prose"), of("code"))
+
+
 @query("f20_label")
 def _(t):
     return t("nation").select("n_nationkey", U.label_udf("n_name").alias("label"))

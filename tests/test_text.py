@@ -78,3 +78,37 @@ def test_column_functions(spark):
     r = df.select(text.sensitivity(F.col("t")).alias("s"), text.redacted(F.col("t")).alias("x"), text.injection_flags(F.col("t")).alias("f")).collect()
     assert [x.s for x in r] == ["secret", "sensitive", "normal", "normal"]
     assert r[0].x == "[redacted] and [redacted] [redacted]" and r[2].f == ["ignore_previous"]
+
+
+def brute_blocks(raw):
+    """(prose, code) counts by a scanner that looks at one character after the other."""
+    kinds, fence = [], None
+    for line in raw.split("\n"):
+        n = 0
+        while n < len(line) and line[n] == " ":
+            n += 1
+        rest = line[n:]
+        run = len(rest) - len(rest.lstrip(rest[0])) if rest and rest[0] in "`~" else 0
+        mark = run >= 3 and n <= 3
+        if fence:
+            kinds.append("code")
+            if mark and rest[0] == fence[0] and run >= fence[1] and not rest[run:].strip():
+                fence = None
+                kinds.append("end")
+        elif mark and not (rest[0] == "`" and "`" in rest[run:]):
+            fence = rest[0], run
+            kinds += ["end", "code"]
+        elif line or not raw.endswith("\n"):
+            kinds.append("prose")
+    runs = [k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k]
+    return runs.count("prose"), runs.count("code")
+
+
+def test_block_kinds_of_fenced_documents(spark, tmp_path):
+    from ledgerlens import catalog
+
+    texts = ["plain", "", None, "a\n```\nx\n```\nb", "```py\nx", "~~~\n```\n~~~\n", "````\n```\n````\nend", "    ```\nindented", "   ~~~\nx\n ~~~~  \ny", "```a`b\nprose", "```\nx\n``` no\n```\n```\ny\n```", "a\n\n```\n\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.prose, r.code) for r in catalog.queries()["f05_block_kinds"](spark, str(tmp_path)).collect()}
+    assert got[3] == (2, 1) and got[4] == (0, 1) and got[10] == (0, 2)
+    assert got == {i: brute_blocks(x) if x else (0, 0) for i, x in enumerate(texts)}
