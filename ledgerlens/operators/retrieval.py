@@ -6,9 +6,12 @@ partial aggregation, and the only broadcast sides are query sets whose size is c
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.scoring import SELECT_AT, SELECT_LIMIT, rrf_term
 
 #: The usual BM25 constants.
@@ -66,10 +69,31 @@ def select(scored: DataFrame, query: str, key: str, least: float = SELECT_AT, li
 def packed(items: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
     """Adds ``taken``: items in order while they fit; one that does not fit is skipped and the next is tried.
 
-    A fold over each group's ordered sizes: a running sum would count skipped items.
+    Rows are dealt to blocks by ranges of (group, order), so a group may cover many blocks. In a round each group takes
+    the rows that fit the remainder up to the first that does not fit any more, found from sums by block; the next round
+    goes on behind it with what is left. A round takes at least one row of a size above 0, so their number is bounded by
+    the limit. A null size is never taken; rows that share an order are tried by size, one by one.
     """
-    step = lambda acc, x: F.struct(F.when(acc["used"] + x[size] <= limit, acc["used"] + x[size]).otherwise(acc["used"]).alias("used"), F.when(acc["used"] + x[size] <= limit, F.concat(acc["taken"], F.array(x[order]))).otherwise(acc["taken"]).alias("taken"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
-    lists = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)))).alias("xs"))
-    folded = lists.select(group, "xs", F.aggregate("xs", start, step).alias("acc"))
-    return folded.select(group, F.explode("xs").alias("x"), "acc").select(group, F.col(f"x.{order}").alias(order), F.col(f"x.{size}").alias(size), F.array_contains("acc.taken", F.col(f"x.{order}")).alias("taken"))
+    rows = items.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
+    dealt = rows.repartitionByRange("g", "o", "s").withColumns({"block": F.spark_partition_id(), "k": F.struct("o", "s", F.monotonically_increasing_id().alias("i"))})
+    rows = checkpointed(dealt)
+    state = rows.select(F.col("g").alias("of")).distinct().select("of", F.lit(limit).cast("long").alias("left"), F.lit(None).cast(rows.schema["k"].dataType).alias("after"))
+    same = F.col("g").eqNullSafe(F.col("of"))
+    rounds = []
+    while True:
+        live = rows.join(state, same).where((F.col("after").isNull() | (F.col("k") > F.col("after"))) & (F.col("s") <= F.col("left"))).drop("of")
+        earlier = Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = live.groupBy("g", "left", "block").agg(F.sum("s").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
+        full = sums.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("t") > F.col("left"))).select(F.col("g").alias("of"), F.col("block").alias("at"), "before")
+        used = F.col("before") + F.sum("s").over(Window.partitionBy("g").orderBy("k"))
+        ends = live.join(full, same & (F.col("block") == F.col("at"))).withColumn("used", used)
+        fits = F.col("used") <= F.col("left")
+        ends = checkpointed(ends.groupBy("g", "left", "before").agg(F.min(F.when(~fits, F.col("k"))).alias("upto"), F.max(F.when(fits, F.col("used"))).alias("used")))
+        rounds.append(state.join(ends.select("g", "upto"), same, "left").select("of", "left", "after", "upto"))
+        if ends.isEmpty():
+            break
+        state = ends.select(F.col("g").alias("of"), (F.col("left") - F.coalesce("used", "before")).alias("left"), F.col("upto").alias("after"))
+    spans = functools.reduce(DataFrame.unionByName, rounds).groupBy("of").agg(F.collect_list(F.struct("left", "after", "upto")).alias("spans"))
+    inside = lambda x: (x["after"].isNull() | (F.col("k") > x["after"])) & (x["upto"].isNull() | (F.col("k") < x["upto"])) & (F.col("s") <= x["left"])
+    taken = F.coalesce(F.exists("spans", inside), F.lit(False))
+    return rows.join(spans, same).select(F.col("g").alias(group), F.col("o").alias(order), F.col("s").alias(size), taken.alias("taken"))

@@ -92,7 +92,7 @@ def _(t):
 
 @query("n05_budget_packing")
 def _(t):
-    items = t("documents").select("source", F.col("doc_id").alias("position"), F.least("n_chars", F.lit(4000)).alias("size"))
+    items = t("documents").select("source", F.col("doc_id").alias("position"), F.col("n_chars").alias("size"))
     return retrieval.packed(items, "source", "position", "size", 20000)
 
 

@@ -116,3 +116,22 @@ def test_alias_resolution(spark):
     q = spark.createDataFrame([(1, "name", "ann", 1), (1, "mail", "a@x", 2), (2, "name", "bob", 1), (3, "name", "zed", 1)], "request long, alias_type string, alias string, priority int")
     a = spark.createDataFrame([("name", "ann", 7), ("name", "ann", 8), ("mail", "a@x", 7), ("name", "bob", 1), ("name", "bob", 2)], "alias_type string, alias string, target long")
     assert sorted(tuple(r) for r in joins.resolve_aliases(q, a).collect()) == [(1, 7, "resolved"), (2, None, "ambiguous"), (3, None, "unknown")]
+
+
+def test_packing_in_blocks_with_whole_sizes(spark, tmp_path):
+    import random
+
+    from ledgerlens import catalog
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([0, 10, 900, 3000, 5000, 7000, 19000, 30000])) for i in range(400)] + [("b", 500, None)]
+    want, left = {}, {}
+    for g, i, n in rows:
+        want[i] = n is not None and n <= left.setdefault(g, 20000)
+        left[g] -= n if want[i] else 0
+    spark.createDataFrame(rows, "source string, doc_id long, n_chars long").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["n05_budget_packing"](spark, str(tmp_path))
+    assert {r.position: (r.size, r.taken) for r in out.collect()} == {i: (n, want[i]) for _, i, n in rows}
+    same = spark.createDataFrame([("g", 1, 60), ("g", 1, 60), ("g", 1, 40)], "g string, o long, s long")
+    assert sorted((r.s, r.taken) for r in retrieval.packed(same, "g", "o", "s", 100).collect()) == [(40, True), (60, False), (60, True)]
+    assert retrieval.packed(same.limit(0), "g", "o", "s", 100).count() == 0
