@@ -4,15 +4,18 @@ Words (lower-cased runs of letters, digits and non-ASCII characters) are the sym
 document if some stretch of the document is within floor(L / 4) word edits of it. The CGK random walk copies a window
 word by word and moves on by a random bit of (step, word), so edits become few Hamming differences; keys of a few
 sampled steps are compared with the items' keys, over as many walks as the target recall needs (measured on mutated
-items). Windows have an item's size and start at every word, but a window is embedded only if it holds as many word
-pairs of items of that size as any true match must (L - 1 - 2 * edits), which loses nothing. Every collision is
+items, without a cap; a size that not even ``MOST`` walks would serve is compared without the LSH, each window with each
+item of that size). Windows have an item's size and start at every word, but a window is embedded only if it holds as
+many word pairs of items of that size as any true match must (L - 1 - 2 * edits), which loses nothing. Every collision is
 verified by bit-parallel edit distance on the whole neighbourhood.
 
-The items are the query set: they are read in blocks of at most ``BLOCK`` and sent to the tasks block by block.
+The items are the query set: they are taken in blocks of at most about ``BLOCK``. One block's index is on the driver at a
+time; its hits are written before the next block is read, so the driver's memory does not grow with the items.
 
 Edge cases: null and empty texts hold no passage; items of fewer than two words or without text never match; equal
 items are reported each; repeated rows give one row for each (doc_id, item_id); rows with a null doc_id are reported
-under null; empty tables give no rows. Only doc_id, text, item_id and text are read.
+under null; empty tables give no rows. Only doc_id, text, item_id and text are read; ``leaking`` carries all columns of
+docs, whatever their names but that of its own last column.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .hashing import U, hash_all, mix, salt
-from .store import table
+from .store import dropped, saved, table
 
-EDITS, SAMPLED, RECALL, BLOCK = 0.25, 3, 0.99, 5000
+EDITS, SAMPLED, RECALL, BLOCK = 0.25, 3, 0.99, 20_000
+#: Walks to which the target recall is sought by LSH, and (walk, window) cells that are embedded at once.
+MOST, CELLS = 2048, 400_000
 #: Bytes that are no letters, digits or non-ASCII, as blanks.
 BLANKS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 PAD = mix(np.array([salt(55)]))[0]
-SHAPE = "doc_id long, item_id long, edits int, item_words int, first_word int"
 
 
 def words(text: str | None) -> np.ndarray:
@@ -51,12 +56,12 @@ def walk_keys(windows: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
     at = np.zeros((walks, n), np.int64)
     key = np.broadcast_to(np.array([salt(seed + w) for w in range(walks)])[:, None], (walks, n)).copy()
     row = np.arange(n)[None, :]
-    for j in range(int(steps.max()) + 1):
+    for j in range(int(steps.max()) + 1 if walks else 0):
         symbol = padded[row, at]
         if (taken := (steps == j).any(axis=1)).any():
             key[taken] = mix(key[taken] * U(0xD6E8FEB86659FD93) + symbol[taken])
         # the top bit of a product with a random odd number of this walk and step
-        turn = np.array([salt((seed + w) * 4096 + j) | U(1) for w in range(walks)])[:, None]
+        turn = np.array([salt((seed + w) * 2**32 + j) | U(1) for w in range(walks)])[:, None]
         at = np.minimum(at + (symbol * turn >> U(63)).astype(np.int64), size)
     return key
 
@@ -95,12 +100,14 @@ class Index:
             matrix = np.stack([h for _, h in members])
             rng = random.Random(size)
             reach = size + size // 4 + 1
-            draw = np.array([sorted(rng.sample(range(reach), min(sampled, reach))) for _ in range(64)])
+            draws = lambda n: np.array([sorted(rng.sample(range(reach), min(sampled, reach))) for _ in range(n)])
+            draw = draws(128)
             walks = self._walks(matrix, draw, k, recall, rng)
-            keys = walk_keys(matrix, draw[:walks], seed)
+            draw = (np.concatenate([draw, draws(walks - 128)]) if walks > 128 else draw)[: walks if walks <= MOST else 0]
+            keys = walk_keys(matrix, draw, seed)
             order = np.argsort(keys, axis=1)
             grams = np.unique(np.concatenate([pairs(h) for _, h in members]))
-            self.groups.append((size, k, max(1, size - 1 - 2 * k), [i for i, _ in members], matrix, draw[:walks], np.take_along_axis(keys, order, 1), order, grams))
+            self.groups.append((size, k, max(1, size - 1 - 2 * k), [i for i, _ in members], matrix, draw, np.take_along_axis(keys, order, 1), order, grams))
         # distinct pairs of words, and the groups that hold each (those of pair i are at edge[i]..edge[i + 1] of member)
         every = np.concatenate([g[-1] for g in self.groups]) if self.groups else np.zeros(0, U)
         group = np.repeat(np.arange(len(self.groups)), [len(g[-1]) for g in self.groups])
@@ -116,11 +123,14 @@ class Index:
         return (grams >> U(64 - self.bits)).astype(np.int64)
 
     def _walks(self, matrix: np.ndarray, draw: np.ndarray, k: int, recall: float, rng: random.Random) -> int:
-        """Walks that find an item with k random edits with the wanted probability."""
+        """Walks that find an item with k random edits with the wanted probability, as measured on edited items.
+
+        Edits differ in how far they throw the walks off, so misses are averaged over edited items and not over walks.
+        """
         if not k:
             return 2
         size = matrix.shape[1]
-        sample = matrix[[rng.randrange(len(matrix)) for _ in range(40)]]
+        sample = matrix[[rng.randrange(len(matrix)) for _ in range(120)]]
         changed = sample.copy()
         for r in changed:
             h = r.tolist()
@@ -133,8 +143,12 @@ class Index:
                 else:
                     h.insert(p, rng.getrandbits(64))
             r[:] = np.array((h + [int(PAD)] * size)[:size], U)
-        hit = (walk_keys(sample, draw, self.seed) == walk_keys(changed, draw, self.seed)).mean()
-        return int(min(64, max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(max(hit, 0.05), 0.99))))))
+        same = (walk_keys(sample, draw, self.seed) == walk_keys(changed, draw, self.seed)).sum(axis=0)
+        hit = (same + 0.25) / (len(draw) + 0.5)
+        walks = 4
+        while walks <= MOST and ((1 - hit) ** walks).mean() > 1 - recall:
+            walks = math.ceil(walks * 1.1)
+        return walks
 
     def leaks(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(document's position, item_id, edits, item's words, first word) for a batch of hashed documents."""
@@ -174,8 +188,11 @@ class Index:
             if not windows:
                 continue
             found: set[tuple[int, int]] = set()
-            for lo in range(0, len(windows), 4096):
-                got = walk_keys(np.stack(windows[lo : lo + 4096]), steps, self.seed)
+            if not len(steps):
+                found.update((w, x) for w in range(len(windows)) for x in range(len(ids)))
+            at_once = max(1, CELLS // max(1, len(steps)))
+            for lo in range(0, len(windows) if len(steps) else 0, at_once):
+                got = walk_keys(np.stack(windows[lo : lo + at_once]), steps, self.seed)
                 for r in range(len(steps)):
                     a, b = np.searchsorted(keys[r], got[r], "left"), np.searchsorted(keys[r], got[r], "right")
                     for w in np.flatnonzero(b > a):
@@ -196,27 +213,44 @@ class Index:
                 yield d, ids[x], dist, size, first
 
 
-def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, edits, item_words, first_word: the best place of every item that leaks into a document."""
+def leaking(docs: DataFrame, items: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK, column: str = "leaks") -> DataFrame:
+    """docs with an array column of the items that leak into each row: item_id, edits, item_words, first_word of their best place."""
+    if column in docs.columns:
+        raise ValueError(f"docs has a column {column}: pass another name as column=")
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, math.ceil(items.count() / block))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    wide = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    kind = StructType([StructField("item_id", LongType()), *(StructField(c, IntegerType()) for c in ("edits", "item_words", "first_word"))])
+    hits = ArrayType(kind)
+    shape = StructType([*wide.schema, StructField("found", hits)])
+    out, held = wide.withColumn("found", F.lit(None).cast(hits)), []
     for part in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == part).collect()
         index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own], edits, recall=recall))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, b.num_rows, 500):
-                    ids = b.column(0).slice(lo, 500).to_pylist()
-                    rows = list(index.value.leaks([words(t.as_py()) for t in b.column(1).slice(lo, 500)]))
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=[x.split()[0] for x in SHAPE.split(", ")])
-
-        got = text.mapInArrow(run, SHAPE)
-        out = got if out is None else out.unionByName(got)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 500):
+                    b = whole.slice(lo, 500)
+                    found: list[list[dict]] = [list(x or ()) for x in b.column(2).to_pylist()]
+                    for d, i, dist, size, first in index.value.leaks([words(t.as_py()) for t in b.column(0)]):
+                        found[d].append({"item_id": i, "edits": dist, "item_words": size, "first_word": first})
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, b.schema.field(2).type)], names=["text", "whole", "found"])
+
+        out = out.mapInArrow(run, shape)
+        if blocks > 1:
+            out = saved(out, "leaking")
+            dropped(*held)
+            held = [out]
+            index.destroy()
+    return out.select("whole.*", F.col("found").alias(column))
+
+
+def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, edits, item_words, first_word: the best place of every item that leaks into a document."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = leaking(own, items, edits, recall, block).select("doc_id", F.explode("leaks").alias("hit")).select("doc_id", "hit.*")
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "item_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.edits", "m.item_words", "m.first_word")
 

@@ -1,17 +1,21 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
 
 Both models count the hashed words and word pairs of whole texts in BUCKETS buckets: the raw model over all documents,
-the target model over documents labelled good (at most ``ROWS`` labels are used, drawn by hash). A document's importance
-is the mean log ratio of target to raw over its n-grams; the mean, times STRENGTH, is used and not the sum so that long
-texts neither win nor lose by length. Adding Gumbel noise (fixed by doc_id and seed) and keeping the k largest keys
-samples k documents without replacement in proportion to their importance weights. k is given, or it is the number of
-documents above the ratio that best separates the sampled labels. The k-th key is found by counting keys in ever
-narrower ranges, so nothing is sorted as a whole and no row is collected.
+the target model over documents labelled good (at most ``ROWS`` labels are used, drawn by hash). A document's log weight
+is its mean log ratio of target to raw times ``tokens``: every text counts as that many n-grams. The plain sum over
+hundreds of neighbouring n-grams takes them for independent; its spread (tens of thousands) then leaves nothing to the
+noise, and clean long texts lose by sheer length. At TOKENS = 30 the log weights of clean and junk texts that lie near
+each other differ by a few units, which the noise (standard deviation 1.28) reorders. Adding Gumbel noise (fixed by
+doc_id, text and seed) and keeping the k largest keys samples k documents without replacement in proportion to their
+weights. k is given, or it is estimated: the number of documents above the ratio that best separates the sampled labels.
+Which documents these k are is up to the sampling. The k-th key is found by counting keys in ever narrower ranges, so
+nothing is sorted as a whole and no row is collected.
 
 Edge cases: null and empty texts have a log ratio of 0 and no n-grams, and are sampled as such; null labels are ignored;
-without text labelled good
-all ratios are 0, and if either class is missing the cut is 0 (as likely as raw); rows with equal keys (repeated doc_ids) at
-the k-th place are all kept; a null doc_id has the noise of id null; an empty table gives an empty table.
+without text labelled good all ratios are 0, and if either class is missing the cut is 0 (as likely as raw); rows with
+equal keys (repeated rows) at the k-th place are all kept; rows that repeat a doc_id with another text are sampled apart;
+a null doc_id has the noise of id null and its text; an empty table gives an empty table. ``carry`` names columns of docs
+to hand through; a carried column that has the name of a result column is refused.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .hashing import U, hash_all, mix
 from .store import saved, table
 
-BUCKETS, ROWS, STRENGTH, SMOOTH, SEED = 1 << 16, 50_000, 200.0, 1.0, 42
+BUCKETS, ROWS, TOKENS, SMOOTH, SEED = 1 << 16, 50_000, 30.0, 1.0, 42
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+")
 PARTS = 64
 
@@ -116,14 +121,19 @@ def best_cut(values: list[tuple[float, int]]) -> float:
 
 
 def noise(seed: int = SEED) -> Column:
-    """Gumbel noise fixed by doc_id."""
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
+    """Gumbel noise fixed by doc_id and text."""
+    u = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = ROWS, strength: float = STRENGTH, seed: int = SEED) -> DataFrame:
-    """docs with columns log_ratio, n_grams, key and kept. labels: doc_id, quality (1 good)."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = ROWS, tokens: float = TOKENS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, log_ratio, n_grams, key and kept of every row of docs, after the carried columns. labels: doc_id, quality (1 good)."""
+    carry = list(carry or [])
+    made = ["log_ratio", "n_grams", "text_hash", "key", "kept"]
+    if clash := set(carry) & set(made):
+        raise ValueError(f"columns {sorted(clash)} cannot be carried: the result has its own")
+    id_, text_ = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    text = docs.select(id_, text_)
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     share = min(1.0, 0.95 * max_labels / max(1, marked.count()))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < share * 1_000_003).limit(max_labels).collect()
@@ -137,15 +147,19 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_label
                 g = grams(t.as_py(), len(shared.value))
                 n.append(len(g))
                 means.append(float(shared.value[g].mean()) if len(g) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(means, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "log_ratio", "n_grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *b.columns[3:], pa.array(means, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "text_hash", *b.schema.names[3:], "log_ratio", "n_grams"])
 
-    scored = saved(text.mapInArrow(weigh, "doc_id long, log_ratio double, n_grams long"), "ratios").withColumn("key", F.col("log_ratio") * strength + noise(seed))
+    wide = docs.select(id_, text_, F.xxhash64(text_).alias("text_hash"), *(F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)))
+    shape = StructType([f for f in wide.schema if f.name != "text"]).add("log_ratio", "double").add("n_grams", "long")
+    scored = saved(wide.mapInArrow(weigh, shape), "ratios").withColumn("key", F.col("log_ratio") * tokens + noise(seed))
     if k is None:
         # at most max_labels labels with their documents' ratios
         known = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in drawn] or [(None, 0)], "doc_id long, quality int")
         cut = best_cut([(r.log_ratio, r.quality) for r in scored.join(F.broadcast(known), "doc_id").select("log_ratio", "quality").limit(max_labels).collect()])
         k = scored.where(F.col("log_ratio") >= cut).count()
-    return scored.withColumn("kept", F.col("key") >= kth_largest(scored, "key", k))
+    out = scored.withColumn("kept", F.col("key") >= kth_largest(scored, "key", k))
+    handed = [F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]
+    return out.select(*handed, *(["doc_id"] if "doc_id" not in carry else []), "log_ratio", "n_grams", "key", "kept")
 
 
 def op3_gumbel_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from ledgerlens.llm.decontaminate import edit_match, leaks
+from ledgerlens.llm.decontaminate import RECALL, Index, edit_match, leaking, leaks, words
 
 
 def least_edits(p, t):
@@ -68,3 +68,49 @@ def test_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert leaks(none, bench).count() == 0
     assert leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
+
+
+def edited(rng, p, edits):
+    p = list(p)
+    for _ in range(edits):
+        at, what = rng.randrange(len(p)), rng.random()
+        if what < 0.4:
+            p[at] = f"n{rng.getrandbits(40)}"
+        elif what < 0.7:
+            del p[at]
+        else:
+            p.insert(at, f"n{rng.getrandbits(40)}")
+    return p
+
+
+def test_long_items_reach_the_target_at_the_edit_limit():
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(4000)]
+    for size, tries in ((16, 300), (64, 100), (200, 40)):
+        items = [[rng.choice(vocab) for _ in range(size)] for _ in range(10)]
+        index = Index(list(enumerate(" ".join(p) for p in items)))
+        docs = [[rng.choice(vocab) for _ in range(50)] + edited(rng, items[d % 10], size // 4) + [rng.choice(vocab) for _ in range(50)] for d in range(tries)]
+        true = {d for d, w in enumerate(docs) if edit_match(words(" ".join(items[d % 10])), words(" ".join(w)))[0] <= size // 4}
+        got = {d for d, i, *_ in index.leaks([words(" ".join(w)) for w in docs]) if i == d % 10}
+        assert len(got & true) >= (RECALL - 0.02) * len(true), (size, len(got & true), len(true))
+
+
+def test_sizes_beyond_the_walks_are_compared_exactly(monkeypatch):
+    from ledgerlens.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "MOST", 3)
+    rng = random.Random(5)
+    item = [f"v{i}" for i in range(60)]
+    index = Index([(7, " ".join(item)), (8, " ".join(reversed(item)))])
+    assert not len(index.groups[0][5])
+    assert [(d, i) for d, i, *_ in index.leaks([words(" ".join(edited(rng, item, 12)))])] == [(0, 7)]
+
+
+def test_rows_keep_their_columns_and_very_long_texts(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, "x " * 400_000 + item, "a", 5), (1, "clean words only", "b", 6), (None, item, "c", 7), (None, "nothing", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole string, found int")
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    got = leaking(docs, bench, block=1)
+    assert got.columns == ["doc_id", "text", "whole", "found", "leaks"]
+    assert sorted((r.found, sorted(x.item_id for x in r.leaks)) for r in got.collect()) == [(5, [1, 2]), (6, []), (7, [1, 2]), (8, [])]

@@ -1,26 +1,51 @@
 import random
 
-from ledgerlens.llm.linedup import chunks, dedup_lines
+import numpy as np
+import xxhash
+
+from ledgerlens.llm.hashing import mix, salt
+from ledgerlens.llm.linedup import BASE, SPAN, WINDOW, chunks, cut_lines, dedup_lines, op10_line_chunks
 
 
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
 
 
+def plain_cuts(lines, span):
+    """Cut lines in plain integers: the least rolling value of each shortest stretch of non-blank lines."""
+    mask = 2**64 - 1
+    fin = lambda x: int(mix(np.array([x & mask], np.uint64))[0])
+    h = [fin(xxhash.xxh3_64_intdigest(x.encode())) for x in lines]
+    n = [len(x.split()) for x in lines]
+    value = []
+    for i in range(len(lines)):
+        first = max(0, i - WINDOW + 1)
+        rolled = sum(h[j] * pow(BASE, j - first, 2**64) for j in range(first, i + 1))
+        value.append(fin(rolled + (i + 1 - first) * int(salt(7))))
+    full = [i for i, k in enumerate(n) if k]
+    out = {*full[:1], *full[-1:]}
+    for a in range(len(full)):
+        for b in range(a + 1, len(full) + 1):
+            if sum(n[i] for i in full[a:b]) >= span:
+                out.add(min(full[a:b], key=lambda i: (value[i], i)))
+                break
+    return out
+
+
 def brute(texts, min_words):
-    """Walks all documents in order; a minimal run of lines that was seen before goes."""
+    """Walks all documents in order; a shortest run of lines from or to a cut line that was seen before goes."""
     seen, out, removed = {}, {}, {}
     places = []
     for d in sorted(texts):
         lines = texts[d].split("\n")
         n = [len(x.split()) for x in lines]
-        runs = set()
-        for i in range(len(lines)):
+        runs, cuts = set(), plain_cuts(lines, SPAN)
+        for i in sorted(cuts):
             for j in range(i + 1, len(lines) + 1):
                 if sum(n[i:j]) >= min_words:
                     runs.add((i, j))
                     break
-        for j in range(1, len(lines) + 1):
+        for j in (c + 1 for c in sorted(cuts)):
             for i in range(j - 1, -1, -1):
                 if sum(n[i:j]) >= min_words:
                     runs.add((i, j))
@@ -72,9 +97,59 @@ def test_chunks_do_not_depend_on_what_stands_before():
     assert len(one & two) >= 3
 
 
-def test_coarser_cuts_still_find_long_copies():
+def test_cuts_are_chosen_by_hash_and_never_far_apart():
     rng = random.Random(2)
-    p = [words(rng, 10).encode() for _ in range(60)]
-    a = {h for _, _, h in chunks(p, divisor=4)}
-    b = {h for _, _, h in chunks([b"other", *p, b"end"], divisor=4)}
-    assert 0 < len(a) < 60 and len(a & b) >= len(a) - 2
+    lines = [words(rng, rng.choice([0, 1, 2, 3, 4])).encode() for _ in range(4000)]
+    n = np.array([len(x.split()) for x in lines])
+    values = mix(np.arange(4000, dtype=np.uint64))
+    cut = cut_lines(values, n, 10)
+    assert 0.15 < len(cut) / (n > 0).sum() < 0.5
+    between = [n[a + 1 : b].sum() for a, b in zip(cut, cut[1:])]
+    assert max(between) < 10 + 4
+    assert set(cut_lines(values[7:], n[7:], 10) + 7) <= set(cut.tolist()) | set(range(7, 20))
+
+
+def recall_by_length(seed=6, each=60):
+    """Share of planted passages all of whose copies but one are cut, by words over min_words and words a line."""
+    rng = random.Random(seed)
+    out = {}
+    for line in (4, 8, 15, 30):
+        for more in (0, 10, 25, 60):
+            found = 0
+            for _ in range(each):
+                p, total = [], 0
+                while total < 50 + more:
+                    p.append(words(rng, max(1, min(line, 50 + more - total))).encode())
+                    total += len(p[-1].split())
+                around = lambda: [words(rng, rng.randrange(1, 2 * line)).encode() for _ in range(8)]
+                keys = []
+                for _ in range(2):
+                    a, b = around(), around()
+                    keys.append({h: set(range(s - len(a), s + k - len(a))) for s, k, h in chunks([*a, *p, *b])})
+                common = set().union(*(keys[0][h] for h in keys[0].keys() & keys[1].keys()))
+                found += len(common & set(range(len(p)))) >= 0.7 * len(p)
+            out[line, more] = found / each
+    return out
+
+
+def test_recall_of_planted_passages_by_length():
+    got = recall_by_length()
+    assert all(v == 1.0 for (line, more), v in got.items() if more >= 60)
+    assert all(v >= 0.9 for (line, more), v in got.items() if line >= 15), got
+    assert all(v >= 0.5 for v in got.values()), got
+
+
+def test_clashing_columns_are_carried(spark):
+    passage = "w " * 60
+    rows = [(1, passage, 1, 2, 3, 4, 5, 6), (2, passage, 1, 2, 3, 4, 5, 6)]
+    names = "doc_id long, text string, cuts int, line_dedup int, __lines int, row int, whole int, lines int"
+    got = dedup_lines(spark.createDataFrame(rows, names)).orderBy("doc_id").collect()
+    assert [tuple(r)[2:8] for r in got] == [(1, 2, 3, 4, 5, 6)] * 2
+    assert [r.line_dedup_.removed_lines for r in got] == [0, 1] and [r.text for r in got] == [passage, ""]
+
+
+def test_query_has_a_row_for_every_document(spark):
+    rows = op10_line_chunks(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in rows} == brute({i: t or "" for i, t in texts.items()}, 50)
+    assert all(r.n_lines == len((texts[r.doc_id] or "").split("\n")) for r in rows)
