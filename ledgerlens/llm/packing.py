@@ -8,7 +8,8 @@ in Spark and a rank picks pattern, sequence and place. The few documents beyond
 classes times pieces of a pattern) are laid end to end and cut at sequence ends, so they cause no padding.
 
 Ids: tiktoken with the ranks of byte_bpe_50k gives the ids of ``tokenizers`` with byte_bpe_50k.json several times
-faster; where it refuses a text, ``tokenizers`` itself is used. Strings of special tokens in a text are ordinary text.
+faster. Texts that hold the string of an added token of the json file, and those that tiktoken refuses, go to
+``tokenizers`` itself, with its defaults.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed one by one; a null doc_id is carried
 along; an empty table gives no pieces. Only doc_id and text are read.
@@ -32,8 +33,9 @@ LENGTH, GRAIN, GAP, BUCKETS = 1024, 4, 1e-3, 256
 
 @lru_cache(maxsize=2)
 def encoder(name: str = "byte_bpe_50k"):
-    """Text to ids, without special tokens."""
+    """Text to the ids of ``tokenizers`` with add_special_tokens=False."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
@@ -42,23 +44,25 @@ def encoder(name: str = "byte_bpe_50k"):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+
     @lru_cache(maxsize=1)
     def slow():
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
     def encode(text: str | None) -> list[int]:
         if not text:
             return []
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException as e:
-            if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
-                raise
-            return slow().encode(text, add_special_tokens=False).ids
+        if not any(t in text for t in added):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as e:
+                if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+                    raise
+        return slow().encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -5,12 +5,11 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.packing import best_pattern, cutting_stock, encoder, pack
+from ledgerlens.llm.packing import best_pattern, cutting_stock, encoder, op2_cutting_stock, pack
 
 
 def read_back(rows, texts, length):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in texts.items()}
     pieces, sequences = {}, {}
     for r in rows:
@@ -64,6 +63,18 @@ def test_column_generation_reaches_the_bound():
 
 def test_ids_are_those_of_tokenizers():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for text in ["Hello  world\n\n x", "naïve ñandú 日本語 😀", "​ \t\r\n", "don't 12345", " " * 3000 + "a"]:
+    assert encoder()("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for text in ["<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "Hello  world\n\n x", "naïve ñandú 日本語 😀", "​ \t\r\n", "don't 12345", " " * 3000 + "a"]:
         assert encoder()(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_ids_with_other_texts_are_packed_apart(spark):
+    rows = pack(spark.createDataFrame([(1, "same text"), (1, "quite another text"), (1, None)], "doc_id long, text string")).collect()
+    assert sorted(r.doc_tokens for r in rows) == [1, 3, 4] and {r.start for r in rows} == {0}
+
+
+def test_query_on_its_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = op2_cutting_stock(spark, "/root/testdata/sf0.001")
+    assert dict(rows.dtypes) == {c: "bigint" for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
+    assert read_back(rows.collect(), {r.doc_id: r.text for r in docs}, 1024) > 0.97
