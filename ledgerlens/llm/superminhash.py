@@ -4,9 +4,12 @@ SuperMinHash gives every element a random permutation of the signature's slots;
 [j, j+1), so its ranks over the slots are correlated and the estimate varies less than with plain MinHash. Once no
 slot of a document is above j, later draws cannot win and the document stops.
 
+All work is keyed by row: rows that repeat a doc_id are documents of their own, linked or not by what they say.
+
 Edge cases: null or blank texts have no shingles and link with nothing; texts of fewer than k words have their whole
-word sequence as the only shingle; repeated rows and equal texts share one class by a digest of their set; rows
-without a doc_id are returned with a null component. Only doc_id and text are read, so other columns can have any name.
+word sequence as the only shingle; repeated rows and equal texts share one class by a digest of their set; rows without
+a doc_id link like others, and a component is named by its smallest doc_id, null if none of its rows has one; an empty
+table gives an empty table. Only doc_id, text and the key are read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from .hashing import U, mix, salt, shingle_set
 from .store import dropped, saved, table
 
 SHINGLE, SHARE, BANDS, ROWS = 5, 75, 40, 5
-#: Hub rounds at most, and pairs for each bucket row from which another round is worth it.
-HUBS, FEW = 2, 1
+#: Hub rounds at most, pairs for each bucket row from which another round is worth it, and bucket rows that one task pairs.
+HUBS, FEW, CHUNK = 2, 1, 512
 #: Standard deviations by which a full signature may fall below the similarity before a pair is taken for different.
 DOUBT = 3.3
 #: Elements that one vectorised signature step holds at once.
@@ -83,7 +86,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
+            texts = b.column(0)
             at = 0
             while at < len(texts):
                 sets, total, first = [], 0, at
@@ -101,7 +104,8 @@ def _sketch(k: int, bands: int, rows: int):
                     for i, row, values in zip(full, band_keys(sig, bands, rows).view(np.int64), mix(sig).astype(np.uint16).view(np.int16), strict=True):
                         keys[i], short[i] = row, values
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(size), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int16()))], names=["doc_id", "n_shingles", "digest", "bands", "slots"])
+                own = [c.slice(first, len(sets)) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int16()))], names=[*b.schema.names, "n_shingles", "digest", "bands", "slots"])
 
     return run
 
@@ -152,13 +156,13 @@ def _private(group: pa.Table) -> pa.Table:
     owners = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("owners")])
     _, first, count = np.unique(keys, return_index=True, return_counts=True)
     ids, n = np.unique(owners[first[count == 1]], return_counts=True)
-    return pa.table({"doc_id": ids, "private": n.astype(np.int64)})
+    return pa.table({"node": ids, "private": n.astype(np.int64)})
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_similar(k, share), "a long, b long")
 
 
@@ -167,64 +171,83 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands: int = BANDS, rows: int = ROWS, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) and first for every row of docs.
 
-    Equal sets collapse to their smallest doc_id. Buckets with several classes are linked in two steps. Hub rounds
+    first marks one row of each component: the one with the smallest doc_id and, of rows that repeat it, the smallest row.
+    key: a column of different numbers without nulls that tells rows apart and is returned too; by default rows are
+    numbered here. Equal sets collapse to one node. Buckets with several nodes are linked in two steps. Hub rounds
     compare the members of a bucket with one member of its largest component (at first the one with most bucket
     company, as an original among its edited copies has), while that leaves more than a few pairs to try. Then members
     that are still in different components and share two bands are compared pairwise, so a pair is left out only if
-    its ends are linked already. At a similarity of 0.75 two of 40 bands of 5 rows are shared with probability 0.9997.
+    its ends are linked already; large buckets are dealt into pieces of CHUNK rows that meet two by two. At a similarity
+    of 0.75 two of 40 bands of 5 rows are shared with probability 0.9997.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = saved(docs.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, slots array<short>"), "sketch")
-    reps = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = saved(sketch.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").select("doc_id", "n_shingles", "rep"), "classes")
-    own = sketch.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
+    row = F.col(f"`{key}`").cast("long") if key else F.monotonically_increasing_id()
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"))
+    sketch = saved(docs.mapInArrow(_sketch(k, bands, rows), "text string, doc_id long, row long, n_shingles long, digest binary, bands array<long>, slots array<short>"), "sketch")
+    # a node is a set of equal documents, named by its smallest row; ids are looked up at the end
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = saved(sketch.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.min(order).alias("least")).select("digest", "node", F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row")), "nodes")
+    classes = saved(sketch.select("row", "doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left").select("row", "doc_id", "n_shingles", "node"), "classes")
+    only = sketch.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    own = only.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
     shared = own.groupBy("bucket").agg(F.count("*").alias("company")).where("company > 1")
     buckets = saved(own.join(shared, "bucket"), "buckets")
-    company = buckets.groupBy("doc_id").agg(F.sum("company").alias("mass"))
-    texts = saved(docs.join(company.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    company = buckets.groupBy("node").agg(F.sum("company").alias("mass"))
+    texts = saved(only.select("node", "text").join(company.select("node"), "node", "left_semi"), "texts")
 
     apart = lambda x, y: 100 * F.least(x, y) >= share * F.greatest(x, y)  # noqa: E731  sizes that the similarity allows
-    found = saved(texts.limit(0).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), "found")
-    placed = saved(buckets.join(company, "doc_id").withColumn("component", F.col("doc_id")), "placed")
+    found = saved(texts.limit(0).select("node", F.col("node").alias("component")), "found")
+    placed = saved(buckets.join(company, "node").withColumn("component", F.col("node")), "placed")
     for turn in range(HUBS + 1):
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("own"))
         mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("same"), F.max(F.struct("own", "component")).alias("top")).where("parts > 1")
-        mixed = saved(mixed.select("bucket", F.col("top.component").alias("lead"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "mixed")
-        open_ = saved(placed.join(mixed.select("bucket", "lead"), "bucket"), "open")
+        mixed = saved(mixed.select("bucket", "all", F.col("top.component").alias("lead"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "mixed")
+        open_ = saved(placed.join(mixed.select("bucket", "all", "lead"), "bucket"), "open")
         pairs, rows_open = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], open_.count()
         dropped(mixed)
         if turn == HUBS or pairs <= FEW * rows_open:
             break
-        order = F.col("mass") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        hubs = open_.where("component = lead").groupBy("bucket").agg(F.max(F.struct(order.alias("order"), (-F.col("doc_id")).alias("minus"), "n")).alias("hub")).select("bucket", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("n_a"))
-        stars = open_.where("component <> lead" if turn else "true").join(hubs, "bucket").where((F.col("a") != F.col("doc_id")) & apart(F.col("n"), F.col("n_a"))).select("a", F.col("doc_id").alias("b")).distinct()
-        found = _joined(found, verified(stars, texts, k, share))
-        old, placed = placed, saved(placed.drop("component").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
-        dropped(old, open_)
-
-    last = saved(open_.select("doc_id", "n").distinct(), "last")
+        rank = F.col("mass") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        hubs = open_.where("component = lead").groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("minus"), "n")).alias("hub")).select("bucket", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("n_a"))
+        stars = open_.where("component <> lead" if turn else "true").join(hubs, "bucket").where((F.col("a") != F.col("node")) & apart(F.col("n"), F.col("n_a"))).select("a", F.col("node").alias("b")).distinct()
+        old, found = found, _joined(found, verified(stars, texts, k, share))
+        again = saved(placed.drop("component").join(found.withColumnRenamed("component", "to"), "node", "left").withColumn("component", F.coalesce("to", "node")).drop("to"), "placed")
+        dropped(placed, open_, old)
+        placed = again
+
+    last = saved(open_.select("node", "n").distinct(), "last")
     parts = int(last.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 1_000_000 + 8
-    owned = texts.join(last.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_owned(k, parts), "part long, keys binary, owners binary")
-    private = owned.groupBy("part").applyInArrow(_private, "doc_id long, private long").groupBy("doc_id").agg(F.sum("private").alias("private"))
+    owned = texts.join(last.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_owned(k, parts), "part long, keys binary, owners binary")
+    private = owned.groupBy("part").applyInArrow(_private, "node long, private long").groupBy("node").agg(F.sum("private").alias("private"))
     # shingles that no other open document has cannot be in an intersection
-    common = last.join(private, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common")).where(F.col("common") * 100 >= share * F.col("n")).join(sketch.select("doc_id", "bands", "slots").dropDuplicates(["doc_id"]), "doc_id")
-    rest = saved(open_.select("bucket", "doc_id", "n", "component").join(common, "doc_id"), "rest")
-    left, right = (rest.select("bucket", *(F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "n", "component", "common", "bands", "slots"))) for c in "ab")
+    common = last.join(private, "node", "left").select("node", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common")).where(F.col("common") * 100 >= share * F.col("n")).join(only.select("node", "bands", "slots"), "node")
+    rest = saved(open_.select("bucket", "all", "node", "n", "component").join(common, "node"), "rest")
+    # piece i of a bucket meets the pieces from i on; with its own, only in order of component
+    pieces = F.ceil(F.col("all") / CHUNK).cast("int")
+    dealt = rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int")).withColumn("pieces", pieces)
+    side = lambda frame, c, *more: frame.select("bucket", *more, *(F.col(x).alias(f"{x}_{c}") for x in ("piece", "node", "n", "component", "common", "bands", "slots")))
+    left = side(dealt.withColumn("meet", F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1))), "a", "meet")
+    right = side(dealt.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("piece")))), "b", "from")
     bands_both = F.array_intersect("bands_a", "bands_b")
     # a pair at the similarity has a union of (n_a + n_b) / (1 + J); 64 of the sum are 32 of half the sum and no more of that
     slots, j = bands * rows, share / 100
     least = [slots * (j - DOUBT * (j * (1 - j) / slots * min(1.0, variance_factor(slots, int(64 * (i + 1) / (1 + j)) + 1))) ** 0.5) for i in range(48)]
     alike = F.aggregate(F.zip_with("slots_a", "slots_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    close = (left.bucket == right.bucket) & (F.col("component_a") < F.col("component_b")) & ((100 + share) * F.least("common_a", "common_b") >= share * (F.col("n_a") + F.col("n_b"))) & (F.size(bands_both) > 1) & (F.array_min(bands_both) == left.bucket) & (alike >= F.element_at(F.array(*map(F.lit, least)), F.least(F.floor((F.col("n_a") + F.col("n_b")) / 64) + 1, F.lit(len(least))).cast("int")))
-    cross = left.join(right, close).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    final = saved(_joined(found, verified(cross, texts, k, share)), "final")
-    out = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    dropped(sketch, placed, last, rest)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    met = (left.bucket == right.bucket) & (left.piece_a == right["from"]) & (left.meet == right.piece_b)
+    new = F.when(F.col("piece_a") == F.col("piece_b"), F.col("component_a") < F.col("component_b")).otherwise(F.col("component_a") != F.col("component_b"))
+    close = new & ((100 + share) * F.least("common_a", "common_b") >= share * (F.col("n_a") + F.col("n_b"))) & (F.size(bands_both) > 1) & (F.array_min(bands_both) == left.bucket) & (alike >= F.element_at(F.array(*map(F.lit, least)), F.least(F.floor((F.col("n_a") + F.col("n_b")) / 64) + 1, F.lit(len(least))).cast("int")))
+    cross = left.join(right, met & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    final = _joined(found, verified(cross, texts, k, share))
+    named = saved(nodes.join(final, "node", "left").select("node", "least_id", "least_row", F.coalesce("component", "node").alias("component")), "named")
+    heads = named.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "least_row")).alias("head"))
+    to = saved(named.join(heads, "component").select("node", F.col("head.least_id").alias("component_id"), F.col("head.least_row").alias("head")), "heads")
+    out = classes.join(to, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    dropped(sketch, nodes, placed, open_, last, rest, texts, buckets, found, named)
+    keys = [F.col("row").alias(key)] if key else []
+    return out.select(*keys, "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce(F.col("row") == F.col("head"), F.lit(True)).alias("first"))
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -4,6 +4,7 @@ import numpy as np
 
 from ledgerlens.llm.components import components
 from ledgerlens.llm.superminhash import near_duplicates, signatures
+from ledgerlens.llm.superminhash import op6_superminhash as superminhash_query
 
 
 def brute(rows):
@@ -52,10 +53,50 @@ def test_matches_brute_force(spark):
 
 def test_empty_table_null_ids_repeats_and_clashing_columns(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    rows = [(None, "a b c d e f", 1), (4, "a b c d e f", 1), (4, "a b c d e f", 1), (2, "a b c d e f", 1)]
+    rows = [(None, "a b c d e f", 1), (4, "a b c d e f", 1), (4, "a b c d e f", 1), (2, "a b c d e f", 1), (None, "no one else says this", 1), (None, None, 1)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()
-    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got)[1:] == [(2, 2), (4, 2), (4, 2)]
-    assert len(got) == 4
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 2), (2, 2), (4, 2), (4, 2)]
+    assert sorted((r.doc_id or -1) for r in got if r.first) == [-1, -1, 2]
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, more = say(), say(), []
+    for i in range(40):
+        t = say()
+        more += [(100 + i % 7, t), (200 + i % 11, t + " tail")]
+    rows = [(1, a), (2, a + " zz"), (3, b), (3, a + " yy"), (4, b + " q"), *more]
+    rng.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3), key="n").collect()
+    want = brute([(n, t) for n, (_, t) in enumerate(rows)])
+    groups = {}
+    for n, (_, root, _) in want.items():
+        groups.setdefault(root, []).append(n)
+    assert len(got) == len(rows)
+    for r in got:
+        members = groups[want[r.n][1]]
+        head = min(members, key=lambda n: (rows[n][0], n))
+        assert r.doc_id == rows[r.n][0] and r.component_id == rows[head][0] and r.first == (r.n == head)
+    assert {r.component_id for r in got if r.doc_id == 3} == {1, 3}
+
+
+def test_large_buckets_meet_in_pieces(spark, monkeypatch):
+    from ledgerlens.llm import superminhash
+
+    monkeypatch.setattr(superminhash, "CHUNK", 3)
+    monkeypatch.setattr(superminhash, "HUBS", 0)
+    rows = corpus()[:150]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_query_on_its_table(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = superminhash_query(spark, folder)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows)
 
 
 def test_signature_estimates_jaccard():
