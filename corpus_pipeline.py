@@ -5,8 +5,8 @@ last one returns pieces). Stages are written as Parquet and reread, so a lost ex
 SQL cannot express the stages (models, hashes, edit distances and a linear program), so tests compare them with
 brute-force versions.
 
-Rows with a null doc_id are documents of their own: a filter that decides by doc_id treats them alike. Of rows that
-repeat a doc_id, near-dedup keeps one.
+Every stage decides row by row: rows that repeat a doc_id, or have none, are documents of their own, and each is kept or
+dropped for what its own text says. Columns beyond doc_id and text are handed through, whatever they are called and hold.
 """
 
 from __future__ import annotations
@@ -14,46 +14,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.decontaminate import leaks
+from ledgerlens.llm.decontaminate import leaking
 from ledgerlens.llm.linedup import dedup_lines
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.resample import resample
-from ledgerlens.llm.store import saved, table
+from ledgerlens.llm.store import dropped, saved, table
 from ledgerlens.llm.superminhash import near_duplicates
 
 ORACLE_SQL = None
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id (null too) is in ids (left_semi) or is not (left_anti)."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), how)
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns of docs as one, so that no column of docs meets one of an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_ids(docs, resample(docs, table(spark, sf_dir, "labels")).where("kept"), "left_semi")
+    """Rows that the sampling keeps. Empty and null texts weigh as much as the corpus does on average; equal rows stay or go together."""
+    return resample(_wrapped(docs), table(spark, sf_dir, "labels"), carry=["whole"]).where("kept").select("whole.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; so do documents of which nothing is left."""
-    out = dedup_lines(docs).where("line_dedup.removed_lines = 0 or trim(text) <> ''")
-    changed = F.col("line_dedup.removed_lines") > 0
-    columns = [F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    """Repeated passages go; so do documents of which nothing is left. Null and empty texts stay as they are."""
+    out = dedup_lines(docs)
+    found = F.col(f"{out.columns[-1]}.removed_lines")
+    left = out.where((found == 0) | (F.trim(F.col("text").cast("string")) != ""))
+    columns = [F.when(found > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return left.select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
-    keep = near_duplicates(docs).where("coalesce(kept, true)")
-    kept = _with_ids(docs, keep, "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each group stays, that of the smallest doc_id (of rows that repeat it, the first). Texts without words stay."""
+    rows = saved(_wrapped(docs).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    keep = near_duplicates(rows, key="row").where("first").select("row")
+    return rows.join(keep, "row", "left_semi").select("whole.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _with_ids(docs, leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    """Rows that hold a benchmark item go. Null and empty texts hold none."""
+    return leaking(_wrapped(docs), table(spark, sf_dir, "benchmark")).where("size(leaks) = 0 or leaks is null").select("whole.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left."""
     return pack(docs)
 
 
@@ -63,5 +66,6 @@ STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("MinHash
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(before)
     return docs
