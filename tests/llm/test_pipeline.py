@@ -59,6 +59,33 @@ def test_stages_find_what_was_planted(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(free)
 
 
+def test_stages_decide_row_by_row_and_carry_any_column(spark, tmp_path):
+    """Rows without id, rows that repeat an id with another text, empty texts, and columns that operators use inside."""
+    d = f"file://{tmp_path}"
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, item = say(80), say(70), say(60), say(20)
+    rows = [(1, a), (1, b), (1, a + " more"), (None, c), (None, c), (None, say(40) + " " + item), (None, say(30)), (7, None), (8, ""), (9, item)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, leaks int, row string, line_dedup int, first int, `odd name` string, whole int"
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), False, 1, "r", 2, 3, f"n{n}", 4) for n, (i, t) in enumerate(rows)], names)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs.write.parquet(f"{d}/documents.parquet")
+    now, seen = spark.read.parquet(f"{d}/documents.parquet"), []
+    for name, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, d)
+        assert now.columns == docs.columns, name
+        now.write.parquet(f"{d}/{name}")
+        now = spark.read.parquet(f"{d}/{name}")
+        seen.append(sorted((r.doc_id or 0, r.text) if r.text is not None else (r.doc_id, "null") for r in now.collect()))
+    good, lines, near, free = seen
+    assert len(good) == 10  # no labels: as many stay as there are
+    assert lines.count((0, c)) == 1 and len(lines) == 9  # the second c is an exact copy and is empty afterwards
+    assert ((1, a) in near) + ((1, a + " more") in near) == 1 and (1, b) in near
+    assert len(near) == 8 and {x for x in near if x not in free} == {x for x in near if item in x[1]}
+    assert sorted((p.doc_id or 0) for p in cp.packing(spark, now, d).collect()) == [0, 0, 1, 1, 7, 8]
+
+
 def test_run_is_the_stages(spark, tmp_path):
     d = f"file://{tmp_path}"
     spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "x y z", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
