@@ -64,12 +64,12 @@ def _(t):
 
 @query("f01_normalize")
 def _(t):
-    return t("documents").select("doc_id", U.normalize_udf("text")["text"].alias("text"))
+    return t("documents").select("doc_id", U.normalized(F.col("text")).alias("text"))
 
 
 @query("f06_tokens")
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.size(U.tokens_udf("text")).cast("long").alias("tokens"))
+    return t("conversations").select("conv_id", "turn", F.coalesce(F.size(U.words(F.col("text"))), F.lit(0)).cast("long").alias("tokens"))
 
 
 @query("f13_sentences")

@@ -13,15 +13,43 @@ from ledgerlens.functions import text, unicode_text as U
     [("  Hello\t WORLD ", "hello world"), ("é", "é"), ("علي", "علی"), ("كتاب", "کتاب"), ("كِتَاب", "کتاب"), ("سـلام", "سلام"), ("می‌روم", "می روم"), ("۱۲٣", "123"), ("a​b‮c", "abc"), ("", ""), ("résumé", "résumé")],
 )
 def test_normalize(raw, want):
-    assert U.normalize(raw)[0] == want
+    assert U.normalize(raw) == want and U.mapped(raw)[0] == want
+
+
+def plain(raw):
+    """The normalised characters, one after the other, by the rules as they are written down."""
+    out, gap = [], False
+    for kind, a, b in U.blocks(raw):
+        i = a
+        while i < b:
+            j = i + 1
+            while kind == "prose" and j < b and unicodedata.combining(raw[j]):
+                j += 1
+            for c in raw[i:j] if kind == "code" else unicodedata.normalize("NFC", raw[i:j]):
+                if kind == "prose" and (c.isspace() or c == "\u200c"):
+                    gap = bool(out)
+                    continue
+                arabic_mark = unicodedata.category(c) == "Mn" and "ARABIC" in unicodedata.name(c, "")
+                if kind == "prose" and (c in "\u0640\u200d" or unicodedata.category(c) in ("Cc", "Cf") or arabic_mark):
+                    continue
+                out += [" "] * gap
+                gap = False
+                out.append(c if kind == "code" else str(unicodedata.digit(c)) if c in "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩" else {"ي": "ی", "ى": "ی", "ك": "ک"}.get(c, c).lower())
+            i = j
+    return out
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB é́\n`~.!? ك‌۱ـ-#>1)"), max_size=40))
 def test_span_invariants(raw):
-    out, spans = U.normalize(raw)
-    assert len(out) == len(spans) and all(0 <= a < b <= len(raw) for a, b in spans)
+    out, pieces = U.mapped(raw)
+    spans = [U.raw_span(pieces, i, i + 1) for i in range(len(out))]
+    assert out == U.normalize(raw) and all(0 <= a < b <= len(raw) for a, b in spans)
     assert [a for a, _ in spans] == sorted(a for a, _ in spans)
+    assert "".join(plain(raw)) == out
+    for i, (a, b) in enumerate(spans):
+        lo, hi = U.normalized_span(pieces, len(out), a, b)
+        assert lo <= i < hi
     assert "".join(raw[a:b] for _, a, b in U.blocks(raw)) == raw
     for word, a, b in U.tokens(raw):
         assert raw[a:b] == word and any(c.isalnum() for c in word)
@@ -58,16 +86,25 @@ def test_sentences():
 def test_polarity_and_label():
     assert U.polarity("I do not like it") == ("negated", 2, 8)
     assert U.polarity("I like it")[0] == "affirmed" and U.polarity(" ... ")[0] == "unknown"
-    assert U.polarity("I don't know")[0] == "negated"
+    assert U.polarity("I don't know") == ("negated", 2, 7)
+    for t in ("this isnt right", "نمی‌کنیم", "نمیخواهم", "این درست نیست", "they couldn't"):
+        assert U.polarity(t)[0] == "negated", t
+    assert U.polarity("no exceptions, without delay")[0] == "affirmed" and U.polarity("```\nnot\n```")[0] == "unknown"
+    assert U.hypothetical("If it rains") and U.hypothetical("فرض کنیم که") and not U.hypothetical("gift")
+    assert [w for w, _, _ in U.identifiers("MY_API-KEY gpt-5.4 WSL2 a_ b")] == ["MY_API-KEY", "gpt-5.4"]
+    assert U.find_token("the tokenizer token", "Token") == ("token", 14, 19) and U.find_token("tokenizer", "token") is None
+    with pytest.raises(ValueError):
+        U.find_token("a b", "a b")
     assert U.label("  Straße  ﬁne ") == "strasse fine"
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
 
 
 def test_udfs_equal_the_helpers(spark):
-    rows = [("Ünïcode text. Two!",), (None,), ("",)]
-    got = spark.createDataFrame(rows, "raw string").select("raw", U.normalize_udf("raw").alias("n"), U.sentences_udf("raw").alias("s"), U.polarity_udf("raw").alias("p"), U.label_udf("raw").alias("l")).collect()
+    rows = [("Ünïcode text. Two!",), (None,), ("",), ("\tÀ\u00a0B\n\nc ",), ("İI \u00ad x",), ("A\n```\nB  C\n```\n D",), ("e\u0301 \u200cكِ\u200d۱",), ("a\x85b\x1fc",)]
+    got = spark.createDataFrame(rows, "raw string").select("raw", U.normalized(F.col("raw")).alias("n"), U.mapped_udf("raw").alias("m"), U.words(F.col("raw")).alias("w"), U.sentences_udf("raw").alias("s"), U.polarity_udf("raw").alias("p"), U.label_udf("raw").alias("l")).collect()
     for r in got:
-        assert r.n.text == U.normalize(r.raw or "")[0]
+        assert (r.n or "") == U.normalize(r.raw or "") == r.m.text
+        assert (r.w or []) == [w for w, _, _ in U.prose_tokens(r.raw or "")]
         assert [(s.start, s.end) for s in r.s] == U.sentences(r.raw or "")
         assert r.p.polarity == U.polarity(r.raw or "")[0]
     assert got[1].l is None
