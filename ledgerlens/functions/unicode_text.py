@@ -341,6 +341,11 @@ def words_udf(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else [w for w, _, _ in prose_tokens(x)])
 
 
+@F.pandas_udf(T.StringType())
+def prose_udf(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: None if x is None else " | ".join(t for k, t in parts(x) if k == "prose"))
+
+
 @F.pandas_udf(T.StringType())
 def label_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else label(x))
@@ -372,7 +377,19 @@ def words(raw: Column) -> Column:
     return F.when(latin, F.regexp_extract_all(F.lower(raw), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))).otherwise(words_udf(F.when(~latin, raw)))
 
 
-def phrase(own: Column, phrases: list[str]) -> Column:
-    """Whether the word array holds one of the phrases as neighbouring words (gaps are not looked at)."""
-    joined = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
-    return F.coalesce(joined.rlike(" (?:" + "|".join(re.escape(" ".join(w for w, _, _ in tokens(normalize(p)))) for p in phrases) + ") "), F.lit(False))
+def prose(raw: Column) -> Column:
+    """The normalised prose of a text, with a bar where fenced code was, dealt in the same way."""
+    latin = F.coalesce(is_latin(raw), F.lit(True))
+    return F.when(latin, normalized(raw)).otherwise(prose_udf(F.when(~latin, raw)))
+
+
+def phrase_pattern(phrases: list[str], group: bool = False) -> str:
+    """A regular expression for normalised text that finds the phrases as whole tokens with blanks or _-'’ between, longest first."""
+    runs = {tuple(w for w, _, _ in tokens(normalize(p))) for p in phrases}
+    some = "|".join("[\\s_\\-'’]+".join(r) for r in sorted(runs, key=lambda r: (-len(" ".join(r)), r)))
+    return rf"(?:^|[^\p{{L}}\p{{N}}\p{{M}}])({'' if group else '?:'}{some})(?:$|[^\p{{L}}\p{{N}}\p{{M}}])"
+
+
+def has(plain: Column, phrases: list[str]) -> Column:
+    """Whether normalised text holds one of the phrases."""
+    return F.coalesce(plain.rlike(phrase_pattern(phrases)), F.lit(False))
