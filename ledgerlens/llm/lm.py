@@ -1,17 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped hash arrays.
-
-Counting: each task folds its documents into sorted (key, count) arrays and sends every shard one blob, so a frequent
-n-gram travels once per task. A shard's task merges its blobs and writes sorted arrays as .npy files into the shared
-folder (written under another name and then renamed, so a task that runs twice is harmless). Bigrams are dealt by their
-context; contexts that hold much of the corpus are dealt by the whole bigram, and their sums are merged apart.
-Scoring: workers map the files and look up batches of sorted keys; nothing of the model is on the driver.
-
-A bigram's key is two 32-bit word ids cut from 64-bit hashes, so a word shares its id with another one with
-probability V / 2^32. Unigram counts use the whole 64-bit hash.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and scored from memory-mapped sorted arrays.
+
+Words are counted first: each task folds its documents into sorted (hash, count) arrays and sends every shard one blob,
+so a frequent word travels once per task, and a shard writes its words as arrays sorted by 64-bit hash. A word's place in
+these arrays is its id, so ids are dense, exact and 32 bits wide (more than 4.29e9 distinct words are refused). Trigrams
+are then counted in the same way as (two ids, id) keys. A shard of trigrams writes its counts and the sums of its
+contexts, and sends on for each pair (v, w) how many words come before it; shards of pairs do the same for single words.
+Pairs at the beginning of a text, which nothing comes before, keep their plain counts. Shards are as many as the
+number of training tokens asks for (``SHARD`` each), so a task's memory does not grow with the corpus. Contexts are dealt
+by hash; those of two words (or one) that each hold much of the corpus are dealt by the whole n-gram, and their sums are
+merged apart, so that no context is one task's alone.
+
+Arrays are .npy files in the shared folder (written under another name and then renamed, so a task that runs twice is
+harmless). Scoring: workers map the files and look up batches of sorted keys; nothing of the model is on the driver but
+its discounts and the words that are dealt apart (fewer than twice the shards).
 
 Edge cases: a null or empty text is one end token; rows without doc_id are scored as held out and never learned from;
 an empty training set gives base and model the uniform distribution over end and unknown; repeated rows count as often
-as they occur. Only doc_id and text are read.
+as they occur; an empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import U, hash_all, mix, salt, words_of
-from .store import saved, shared_dir, table
+from .store import dropped, saved, shared_dir, table
 
-END, BEGIN = mix(np.array([salt(101), salt(102)]))
-#: Tokens that are counted or scored at once.
-STEP = 2_000_000
+END = mix(np.array([salt(101)]))[0]
+#: Tokens that are counted or scored at once, and training tokens of a shard.
+STEP, SHARD = 2_000_000, 1_500_000
+#: Ids of the place before a text and of words that were not learned.
+NONE, UNKNOWN = 2**32 - 1, 2**32 - 2
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -39,21 +46,21 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(hash_all(words_of(text)), END)
 
 
-def _ids(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> U(32)
+def _range_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
-def _range_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (_ids(hashes) * U(shards) >> U(32)).astype(np.int64)
+def _among(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of the ids are in the sorted array."""
+    if not len(hot):
+        return np.zeros(len(ids), bool)
+    return hot[np.minimum(np.searchsorted(hot, ids), len(hot) - 1)] == ids
 
 
-def _bigram_shard(keys: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    context = keys >> U(32)
-    out = mix(context)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        out = np.where(hot[at] == context, mix(keys), out)
-    return (out % U(shards)).astype(np.int64)
+def _shard(context: np.ndarray, word: np.ndarray, apart: np.ndarray, shards: int) -> np.ndarray:
+    """By context, or by the whole n-gram where apart."""
+    own = mix(context + salt(3))
+    return (np.where(apart, mix(own + word.astype(U)), own) % U(shards)).astype(np.int64)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +134,54 @@ def _counter(keys_of, shard_of):
     return run
 
 
-def _bigrams(t: np.ndarray) -> np.ndarray:
-    ids = _ids(t)
-    return np.concatenate([_ids(BEGIN)[None], ids[:-1]]) << U(32) | ids
+def _trigrams(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words before each token as one key, and the token. starts: where texts begin."""
+    one, two = np.roll(ids, 1), np.roll(ids, 2)
+    one[starts] = two[starts] = NONE
+    second = starts[starts + 1 < len(ids)] + 1
+    two[second] = NONE
+    return two << U(32) | one, ids
+
+
+def _counted(context: np.ndarray, word: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, with their counts added up."""
+    firsts, of = np.unique(context, return_inverse=True)
+    keys = of.astype(U) << U(32) | word.astype(U)
+    if times is None:
+        keys, times = np.unique(keys, return_counts=True)
+    else:
+        keys, times = _merge([(keys, times)])
+    return firsts[(keys >> U(32)).astype(np.int64)], (keys & U(0xFFFFFFFF)).astype(np.uint32), times
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    top = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64)
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist() if len(x) else []
+    return list(zip(first, [*first[1:], len(x)], strict=False))
+
+
+def _gram_blobs(shard: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(shard, kind="stable")
+    parts = [order[x:y] for x, y in _runs(shard[order])]
+    cells = [[shard[p[0]] for p in parts], *([x[p].tobytes() for p in parts] for x in (context, word)), [_narrow(times[p]).tobytes() for p in parts]]
+    return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cells[1:])], names=["shard", "context", "word", "times"])
+
+
+def _gram_read(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = []
+    for c, w, t in zip(group.column("context"), group.column("word"), group.column("times"), strict=True):
+        context, word = np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.uint32)
+        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(t.as_buffer()) // max(1, len(word))]
+        parts.append((context, word, np.frombuffer(t.as_buffer(), kind).astype(np.int64)))
+    return _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
+GRAMS = "shard long, context binary, word binary, times binary"
 BLOBS = "shard long, keys binary, counts binary"
 STATS = "types long, tokens long, n1 long, n2 long, n3 long, n4 long"
 
@@ -155,82 +205,162 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(x if 0 < x < i + 1 else 0.5 * (i + 1) for i, x in enumerate(d))
 
 
-@dataclass
-class Model:
-    folder: str
-    shards: int
-    types: int
-    tokens: int
-    hot: np.ndarray
-    hot_sums: np.ndarray  # a row of context total, n1, n2, n3+ for each hot context
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
-    lower_mass: float
-    lower_total: int
-    _maps: dict = field(default_factory=dict)
+class Arrays:
+    """Sorted arrays of shards in a folder, mapped when first read."""
+
+    def __init__(self, folder: str):
+        self.folder, self.maps = folder, {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_maps": {}}
+        return {"folder": self.folder, "maps": {}}
 
-    def _map(self, name: str, shard: int) -> np.ndarray | None:
+    def map(self, name: str, shard: int) -> np.ndarray | None:
         key = f"{name}-{shard}"
-        if key not in self._maps:
+        if key not in self.maps:
             path = f"{self.folder}/{key}.npy"
-            self._maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self._maps[key]
+            self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return self.maps[key]
 
-    def _find(self, keys: np.ndarray, shard: np.ndarray, index: str, *columns: str) -> list[np.ndarray]:
-        """Values of sorted keys in the arrays of their shards; 0 where absent."""
-        out = [np.zeros(len(keys)) for _ in columns]
+    def each(self, shard: np.ndarray):
+        """(shard, places) of the shards that occur."""
         order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[s] : bounds[s + 1]]
-            there = self._map(index, s)
+        for x, y in _runs(shard[order]):
+            yield int(shard[order[x]]), order[x:y]
+
+    def find(self, keys: np.ndarray, shard: np.ndarray, index: str, *columns: str) -> list[np.ndarray]:
+        """Values of keys in the arrays of their shards; 0 where absent. Without columns: places, -1 where absent."""
+        out = [np.zeros(len(keys)) for _ in columns] or [np.full(len(keys), -1)]
+        for s, own in self.each(shard):
+            there = self.map(index, s)
             if there is None or not len(there):
                 continue
             want = keys[own].astype(there.dtype)
             at = np.minimum(np.searchsorted(there, want), len(there) - 1)
             hit = there[at] == want
-            for o, c in zip(out, columns, strict=True):
-                o[own[hit]] = self._map(c, s)[at[hit]]
+            if not columns:
+                out[0][own[hit]] = at[hit]
+            for o, c in zip(out, columns, strict=False):
+                o[own[hit]] = self.map(c, s)[at[hit]]
         return out
 
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        return self._find(hashes, _range_shard(hashes, self.shards), "word", "count")[0]
-
-    def p_lower(self, ids: np.ndarray) -> np.ndarray:
-        n = self._find(ids, (ids % U(self.shards)).astype(np.int64), "next", "befores")[0]
-        d = np.select([n == 0, n == 1, n == 2], [0, self.lower[0], self.lower[1]], self.lower[2])
-        floor = self.lower_mass / (self.types + 1)
-        return (n - d) / max(1, self.lower_total) + floor
-
-    def context(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Total and back-off weight of contexts; 0 and 1 for unseen ones."""
-        total, *n = self._find(ids, _bigram_shard(ids << U(32), self.shards, self.hot[:0]), "context", "total", "ones", "twos", "more")
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, ids), len(self.hot) - 1)
-            is_hot = self.hot[at] == ids
-            for col, target in enumerate((total, *n)):
-                target[is_hot] = self.hot_sums[at[is_hot], col]
-        weight = sum(d * x for d, x in zip(self.discounts, n, strict=True))
-        return total, np.where(total > 0, weight / np.maximum(total, 1), 1.0)
+
+@dataclass
+class Words:
+    """Ids and counts of the words: an id is a word's place in the arrays of all shards."""
+
+    arrays: Arrays
+    shards: int
+    offsets: np.ndarray
+    types: int
+    tokens: int
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        shard = _range_shard(hashes, self.shards)
+        at = self.arrays.find(hashes, shard, "word")[0]
+        return np.where(at >= 0, at + self.offsets[shard], UNKNOWN).astype(U)
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        return self.arrays.find(hashes, _range_shard(hashes, self.shards), "word", "count")[0]
+
+
+def _cut(n: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:
+    return np.select([n == 0, n == 1, n == 2], [0, discounts[0], discounts[1]], discounts[2])
+
+
+@dataclass
+class Model:
+    words: Words
+    shards: int
+    hot: np.ndarray  # ids of words that are dealt apart, sorted
+    hot_sums: np.ndarray  # of the pairs that begin with each of them: total, ones, twos, more
+    discounts: list[tuple[float, float, float]]  # of single words, pairs and trigrams
+    floor: float
+    total: int
+
+    @property
+    def tokens(self) -> int:
+        return self.words.tokens
+
+    @property
+    def types(self) -> int:
+        return self.words.types
+
+    def p_word(self, ids: np.ndarray) -> np.ndarray:
+        n = self.words.arrays.find(ids, (mix(ids) % U(self.shards)).astype(np.int64), "next", "befores")[0]
+        return (n - _cut(n, self.discounts[0])) / max(1, self.total) + self.floor
+
+    def _back(self, total: np.ndarray, kinds: list[np.ndarray], discounts: tuple[float, float, float]) -> np.ndarray:
+        return np.where(total > 0, sum(d * x for d, x in zip(discounts, kinds, strict=True)) / np.maximum(total, 1), 1.0)
+
+    def p_pair(self, one: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """P of word after one. low: P of word by itself."""
+        heads, of = np.unique(one, return_inverse=True)
+        apart = _among(heads, self.hot)
+        total, *kinds = self.words.arrays.find(heads, _shard(heads, heads, apart & False, self.shards), "head", "head-total", "head-ones", "head-twos", "head-more")
+        for col, x in enumerate((total, *kinds)):
+            x[apart] = self.hot_sums[np.searchsorted(self.hot, heads[apart]), col]
+        n = self.words.arrays.find(one << U(32) | word, _shard(one, word, apart[of], self.shards), "pair", "pair-befores")[0]
+        return (n - _cut(n, self.discounts[1])) / np.maximum(total, 1)[of] + self._back(total, kinds, self.discounts[1])[of] * low
+
+    def p_trigram(self, context: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """P of word after the two words of context. low: P of word after the last of them."""
+        arrays = self.words.arrays
+        two, of = np.unique(context, return_inverse=True)
+        apart = _among(two >> U(32), self.hot) & _among(two & U(0xFFFFFFFF), self.hot)
+        place = _shard(two, two, apart & False, self.shards)
+        sums = arrays.find(two, place, "context", "total", "ones", "twos", "more")
+        rest = arrays.find(two[apart], place[apart], "apart", "apart-total", "apart-ones", "apart-twos", "apart-more")
+        for x, y in zip(sums, rest, strict=True):
+            x[apart] = y
+        shard = _shard(context, word, apart[of], self.shards)
+        n = np.zeros(len(context))
+        at = arrays.find(context, shard, "context")[0]
+        seen = np.flatnonzero(at >= 0)
+        n[seen] = arrays.find(at[seen].astype(U) << U(32) | word[seen], shard[seen], "gram", "times")[0]
+        total, *kinds = sums
+        return (n - _cut(n, self.discounts[2])) / np.maximum(total, 1)[of] + self._back(total, kinds, self.discounts[2])[of] * low
 
     def log10(self, t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P of each token given the one before (starts: where texts begin), and each token's training count."""
-        words, where = np.unique(t, return_inverse=True)
-        ids, id_of = np.unique(_ids(words), return_inverse=True)
-        token_id = id_of[where]
-        low = self.p_lower(ids)[token_id]
-        total, back = self.context(np.append(ids, _ids(BEGIN)))
-        before = np.roll(token_id, 1)
-        before[starts] = len(ids)
-        keys = np.append(ids, _ids(BEGIN))[before] << U(32) | ids[token_id]
-        grams, gram_of = np.unique(keys, return_inverse=True)
-        c = self._find(grams, _bigram_shard(grams, self.shards, self.hot), "bigram", "times")[0]
-        d = np.select([c == 0, c == 1, c == 2], [0, self.discounts[0], self.discounts[1]], self.discounts[2])
-        high = (c - d)[gram_of] / np.maximum(total[before], 1)
-        return np.log10(high + back[before] * low), self.count(words)[where]
+        """log10 P of each token given the two before (starts: where texts begin), and each token's training count."""
+        hashes, where = np.unique(t, return_inverse=True)
+        ids = self.words.ids(hashes)
+        context, word = _trigrams(ids[where], starts)
+        pairs, of_pair = np.unique(context, return_inverse=True)
+        keys, of = np.unique(of_pair.astype(U) << U(32) | word, return_inverse=True)
+        context, word = pairs[(keys >> U(32)).astype(np.int64)], keys & U(0xFFFFFFFF)
+        one = context & U(0xFFFFFFFF)
+        two_words, of_two = np.unique(one << U(32) | word, return_inverse=True)
+        heads, last = two_words >> U(32), two_words & U(0xFFFFFFFF)
+        lasts, of_last = np.unique(last, return_inverse=True)
+        low = self.p_pair(heads, last, self.p_word(lasts)[of_last])
+        return np.log10(self.p_trigram(context, word, low[of_two]))[of], self.words.counts(hashes)[where]
+
+
+def _sums_of(context: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts of a sorted array, the place of each row's context, and total, ones, twos and more of each."""
+    first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
+    sums = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (times, times == 1, times == 2, times > 2)], axis=1) if len(first) else np.zeros((0, 4), np.int64)
+    place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+    return context[first], place, sums
+
+
+NAMES = [x.split()[0] for x in STATS.split(", ")]
+FOLDED = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("context", "word", "times")), *((c, pa.int64()) for c in NAMES), ("hot", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64()))])
+FOLD = f"{GRAMS}, {STATS}, hot array<long>, sums array<long>"
+
+
+def _folded(blobs: list[pa.RecordBatch], times: np.ndarray, hot: np.ndarray, sums: np.ndarray) -> pa.Table:
+    """Blobs for the next order, and a row of statistics and sums of contexts that are dealt apart."""
+    stat = pa.Table.from_pylist([dict(zip(NAMES, _stats(times), strict=True)) | {"hot": hot.astype(U).view(np.int64).tolist(), "sums": sums.ravel().tolist()}])
+    empty = lambda x: x.append_column("none", pa.nulls(len(x)))
+    whole = pa.concat_tables([empty(pa.Table.from_batches(blobs)) if blobs else empty(stat).slice(0, 0), empty(stat)], promote_options="default")
+    return pa.table([whole.column(f.name).cast(f.type) if f.name in whole.column_names else pa.nulls(len(whole), f.type) for f in FOLDED], schema=FOLDED)
+
+
+def _hot_rows(folded: DataFrame) -> DataFrame:
+    """context, s0..s3: the sums of contexts that are dealt apart, over all shards."""
+    pieces = folded.where("size(hot) > 0").select(F.posexplode("hot").alias("i", "context"), "sums").select("context", *(F.element_at("sums", F.col("i") * 4 + j + 1).alias(f"s{j}") for j in range(4)))
+    return pieces.groupBy("context").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(4)))
 
 
 def train(docs: DataFrame, folder: str | None = None, shards: int | None = None) -> Model:
@@ -242,54 +372,109 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
         raise ValueError("memory mapping needs a folder that the machines mount: pass folder=")
     os.makedirs(place, exist_ok=True)
     text = docs.select(F.col("text").cast("string"))
-    n = shards or max(8, 2 * text.rdd.getNumPartitions())
+    first = shards or max(8, 2 * text.rdd.getNumPartitions())
 
     def words(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = _merge(_read(group))
-        _write(place, f"count-{key[0].as_py()}", counts.astype(np.uint32 if counts.max() < 2**32 else np.uint64))
+        _write(place, f"count-{key[0].as_py()}", _narrow(counts))
         _write(place, f"word-{key[0].as_py()}", keys)
         top = np.argsort(-counts)[:64]
-        return pa.Table.from_pylist([dict(zip((x.split()[0] for x in STATS.split(", ")), _stats(counts), strict=True)) | {"heavy": keys[top].view(np.int64).tolist(), "times": counts[top].tolist()}])
+        return pa.Table.from_pylist([{"shard": key[0].as_py()} | dict(zip(NAMES, _stats(counts), strict=True)) | {"heavy": top.tolist(), "times": counts[top].tolist()}])
+
+    spark.sparkContext.setJobDescription("count words")
+    counted = text.mapInArrow(_counter(lambda t: t, lambda k: _range_shard(k, first)), BLOBS).groupBy("shard").applyInArrow(words, f"shard long, {STATS}, heavy array<long>, times array<long>").collect()
+    spark.sparkContext.setJobDescription(None)
+    sizes = np.zeros(first, np.int64)
+    for r in counted:
+        sizes[r.shard] = r.types
+    offsets = np.cumsum(sizes) - sizes
+    total, types = sum(r.tokens for r in counted), int(sizes.sum())
+    if types > UNKNOWN:
+        raise ValueError("more distinct words than 32-bit ids")
+    n = shards or max(8, -(-total // SHARD))
+    known = Words(Arrays(place), first, offsets, types, total)
+    # at most 2 n words hold a share of 1 / 2 n each
+    hot = np.array(sorted({NONE, *(int(offsets[r.shard] + i) for r in counted for i, c in zip(r.heavy, r.times, strict=True) if c * 2 * n >= total)}), U)
+
+    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counts() -> pa.RecordBatch:
+            size = np.array([len(x) for x in held], np.int64)
+            hashes, of = np.unique(np.concatenate(held), return_inverse=True)
+            context, word, times = _counted(*_trigrams(known.ids(hashes)[of], np.cumsum(size) - size))
+            held.clear()
+            apart = _among(context >> U(32), hot) & _among(context & U(0xFFFFFFFF), hot)
+            return _gram_blobs(_shard(context, word, apart, n), context, word, times)
+
+        for b in batches:
+            for t in b.column(0):
+                held.append(tokens(t.as_py()))
+                if sum(map(len, held[-1:])) > STEP or len(held) % 256 == 0 and sum(map(len, held)) > STEP:
+                    yield counts()
+        if held:
+            yield counts()
 
     def contexts(key: tuple, group: pa.Table) -> pa.Table:
-        keys, counts = _merge(_read(group))
         s = key[0].as_py()
-        _write(place, f"times-{s}", counts.astype(np.uint8 if counts.max() < 2**8 else np.uint32 if counts.max() < 2**32 else np.uint64))
-        _write(place, f"bigram-{s}", keys)
-        context = keys >> U(32)
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        sums = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
-        is_hot = np.isin(context[first], hot)
+        context, word, times = _gram_read(group)
+        firsts, at, sums = _sums_of(context, times)
+        _write(place, f"context-{s}", firsts)
+        _write(place, f"gram-{s}", at.astype(U) << U(32) | word.astype(U))
+        _write(place, f"times-{s}", _narrow(times))
         for name, x in zip(("total", "ones", "twos", "more"), sums.T, strict=True):
-            _write(place, f"{name}-{s}", x[~is_hot].astype(np.uint32 if x.max() < 2**32 else np.uint64))
-        _write(place, f"context-{s}", context[first][~is_hot].astype(np.uint32))
-        ids, befores = np.unique(keys & U(0xFFFFFFFF), return_counts=True)
-        out = pa.Table.from_batches([_blobs((ids % U(n)).astype(np.int64), ids, befores)])
-        stat = pa.Table.from_pylist([dict(zip((x.split()[0] for x in STATS.split(", ")), _stats(counts), strict=True)) | {"hot": context[first][is_hot].view(np.int64).tolist(), "sums": sums[is_hot].ravel().tolist()}])
-        return pa.concat_tables([out, stat], promote_options="default").select([x.split()[0] for x in f"{BLOBS}, {STATS}, hot x, sums x".split(", ")]).cast(pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), *((x.split()[0], pa.int64()) for x in STATS.split(", ")), ("hot", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64()))]))
-
-    def befores(key: tuple, group: pa.Table) -> pa.Table:
-        keys, counts = _merge(_read(group))
-        _write(place, f"befores-{key[0].as_py()}", counts.astype(np.uint32))
-        _write(place, f"next-{key[0].as_py()}", keys.astype(np.uint32))
-        return pa.Table.from_pylist([dict(zip((x.split()[0] for x in STATS.split(", ")), _stats(counts), strict=True))])
+            _write(place, f"{name}-{s}", _narrow(x))
+        apart = _among(firsts >> U(32), hot) & _among(firsts & U(0xFFFFFFFF), hot)
+        one = context & U(0xFFFFFFFF)
+        heads, lasts, befores = _counted(one, word, np.where(one == U(NONE), times, 1))
+        return _folded([_gram_blobs(_shard(heads, lasts, _among(heads, hot), n), heads, lasts, befores)], times, firsts[apart], sums[apart])
 
-    spark.sparkContext.setJobDescription("count words")
-    counted = text.mapInArrow(_counter(lambda t: t, lambda k: _range_shard(k, n)), BLOBS).groupBy("shard").applyInArrow(words, f"{STATS}, heavy array<long>, times array<long>").collect()
-    total, types = sum(r.tokens for r in counted), sum(r.types for r in counted)
-    heavy = [h for r in counted for h, c in zip(r.heavy, r.times, strict=True) if c * 2 * n >= total]
-    hot = np.unique(_ids(np.array([*heavy, int(BEGIN.view(np.int64))], np.int64).view(np.uint64)))
-
-    folded = text.mapInArrow(_counter(_bigrams, lambda k: _bigram_shard(k, n, hot)), BLOBS).groupBy("shard").applyInArrow(contexts, f"{BLOBS}, {STATS}, hot array<long>, sums array<long>")
-    folded = saved(folded, "lm-folded")
-    grams = _sums(folded)
-    pieces = folded.where("size(hot) > 0").select(F.posexplode("hot").alias("i", "context"), "sums").select("context", *(F.element_at("sums", F.col("i") * 4 + j + 1).alias(f"s{j}") for j in range(4)))
-    hot_rows = {r.context: [r.s0, r.s1, r.s2, r.s3] for r in pieces.groupBy("context").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(4))).collect()}
-    below = _sums(folded.where("keys is not null").select("shard", "keys", "counts").groupBy("shard").applyInArrow(befores, STATS))
-    sums = np.array([hot_rows.get(int(h), [0, 0, 0, 0]) for h in hot.view(np.int64)], np.float64).reshape(len(hot), 4)
-    lower = _discounts(below[2:])
-    mass = sum(d * x for d, x in zip(lower, (below[2], below[3], below[0] - below[2] - below[3]), strict=True)) / below[1] if below[1] else 1.0
-    return Model(place, n, types, total, hot, sums, _discounts(grams[2:]), lower, mass, below[1])
+    def pairs(key: tuple, group: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        head, word, befores = _gram_read(group)
+        _write(place, f"pair-{s}", head << U(32) | word.astype(U))
+        _write(place, f"pair-befores-{s}", _narrow(befores))
+        firsts, _, sums = _sums_of(head, befores)
+        apart = _among(firsts, hot)
+        _write(place, f"head-{s}", firsts[~apart].astype(np.uint32))
+        for name, x in zip(("total", "ones", "twos", "more"), sums[~apart].T, strict=True):
+            _write(place, f"head-{name}-{s}", _narrow(x))
+        ids, n_before = np.unique(word.astype(U), return_counts=True)
+        none = np.zeros(len(ids), U)
+        return _folded([_gram_blobs((mix(ids) % U(n)).astype(np.int64), none, ids.astype(np.uint32), n_before)], befores, firsts[apart], sums[apart])
+
+    def singles(key: tuple, group: pa.Table) -> pa.Table:
+        _, word, befores = _gram_read(group)
+        _write(place, f"next-{key[0].as_py()}", word)
+        _write(place, f"befores-{key[0].as_py()}", _narrow(befores))
+        return pa.Table.from_pylist([dict(zip(NAMES, _stats(befores), strict=True))])
+
+    def apart_sums(key: tuple, group: pa.Table) -> pa.Table:
+        context = group.column("context").to_numpy().view(np.uint64)
+        order = np.argsort(context)
+        _write(place, f"apart-{key[0].as_py()}", context[order])
+        for j, name in enumerate(("total", "ones", "twos", "more")):
+            _write(place, f"apart-{name}-{key[0].as_py()}", _narrow(group.column(f"s{j}").to_numpy()[order]))
+        return pa.table({"n": pa.array([len(context)], pa.int64())})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            context = b.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(context, context, np.zeros(len(context), bool), n)), *b.columns], names=["shard", *b.schema.names])
+
+    cells = lambda df: df.where("context is not null").select("shard", "context", "word", "times").groupBy("shard")
+    three = saved(text.mapInArrow(trigrams, GRAMS).groupBy("shard").applyInArrow(contexts, FOLD), "lm-trigrams")
+    rows = _hot_rows(three).mapInArrow(numbered, "shard long, context long, s0 long, s1 long, s2 long, s3 long")
+    rows.groupBy("shard").applyInArrow(apart_sums, "n long").agg(F.sum("n")).collect()
+    two = saved(cells(three).applyInArrow(pairs, FOLD), "lm-pairs")
+    heads = {r.context: [r.s0, r.s1, r.s2, r.s3] for r in _hot_rows(two).collect()}
+    below = _sums(cells(two).applyInArrow(singles, STATS))
+    stats = [below, _sums(two), _sums(three)]
+    dropped(three, two)
+    discounts = [_discounts(x[2:]) for x in stats]
+    mass = sum(d * x for d, x in zip(discounts[0], (below[2], below[3], below[0] - below[2] - below[3]), strict=True)) / below[1] if below[1] else 1.0
+    hot_sums = np.array([heads.get(int(h), [0, 0, 0, 0]) for h in hot.view(np.int64)], np.float64).reshape(len(hot), 4)
+    return Model(known, n, hot, hot_sums, discounts, mass / (types + 1), below[1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

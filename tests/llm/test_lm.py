@@ -15,32 +15,41 @@ def discounts(counts):
 
 
 def reference(train_texts, texts):
-    """Plain dictionaries: base score and interpolated modified Kneser-Ney score of each text."""
+    """Plain dictionaries: base score and interpolated modified Kneser-Ney trigram score of each text."""
     tok = lambda t: [*(t or "").encode().lower().split(), 0]
     learned = [tok(t) for t in train_texts]
     uni = collections.Counter(w for t in learned for w in t)
     total, types = sum(uni.values()), len(uni)
-    bi = collections.Counter(p for t in learned for p in zip([1, *t], t, strict=False))
-    after = collections.defaultdict(list)
-    for (v, _), c in bi.items():
-        after[v].append(c)
+    tri = collections.Counter(g for t in learned for g in zip([1, 1, *t], [1, *t], t, strict=False))
+    bi = collections.Counter()
+    for (_, v, w), c in tri.items():
+        bi[v, w] += c if v == 1 else 1
     before = collections.Counter(w for _, w in bi)
-    d, low, mass = discounts(list(bi.values())), discounts(list(before.values())), sum(before.values())
+    sums = []
+    for table in (tri, bi):
+        after = collections.defaultdict(list)
+        for g, c in table.items():
+            after[g[:-1]].append(c)
+        sums.append(after)
+    d = [discounts(list(x.values())) for x in (tri, bi, before)]
+    mass = sum(before.values())
     cut = lambda c, x: x[min(c, 3) - 1] if c else 0
-    left = sum(cut(c, low) for c in before.values()) / mass if mass else 1
+    left = sum(cut(c, d[2]) for c in before.values()) / mass if mass else 1
 
-    def p(v, w):
+    def p(u, v, w):
         n = before.get(w, 0)
-        lower = (n - cut(n, low)) / max(1, mass) + left / (types + 1)
-        if v not in after:
-            return lower
-        s, c = sum(after[v]), bi.get((v, w), 0)
-        return (c - cut(c, d)) / s + sum(cut(x, d) for x in after[v]) / s * lower
+        low = (n - cut(n, d[2])) / max(1, mass) + left / (types + 1)
+        for table, after, x, g in ((bi, sums[1], d[1], (v, w)), (tri, sums[0], d[0], (u, v, w))):
+            own = after.get(g[:-1])
+            if own:
+                c = table.get(g, 0)
+                low = (c - cut(c, x)) / sum(own) + sum(cut(y, x) for y in own) / sum(own) * low
+        return low
 
     out = []
     for t in map(tok, texts):
         base = sum(math.log10((uni.get(w, 0) + 0.1) / (total + 0.1 * (types + 1))) for w in t)
-        out.append((len(t), sum(w in uni for w in t), base, sum(math.log10(p(v, w)) for v, w in zip([1, *t], t, strict=False))))
+        out.append((len(t), sum(w in uni for w in t), base, sum(math.log10(p(*g)) for g in zip([1, 1, *t], [1, *t], t, strict=False))))
     return out
 
 
@@ -75,7 +84,32 @@ def test_probabilities_sum_to_one(spark):
     texts = ["a b a c", "b b a", "c a b a b", "d"]
     model = train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=3)
     words = np.append(hash_all([b"a", b"b", b"c", b"d", b"zz"]), END)
-    for context in words:
-        pairs = np.stack([np.full(len(words), context), words], axis=1).ravel()
-        logs, _ = model.log10(pairs, np.zeros(0, int))
-        assert abs((10 ** logs[1::2]).sum() - 1) < 1e-9
+    for one in words:
+        for two in words:
+            runs = np.stack([np.full(len(words), one), np.full(len(words), two), words], axis=1).ravel()
+            logs, _ = model.log10(runs, np.zeros(0, np.int64))
+            assert abs((10 ** logs[2::3]).sum() - 1) < 1e-9
+    first, _ = model.log10(words, np.arange(len(words)))
+    assert abs((10**first).sum() - 1) < 1e-9
+
+
+def test_query_on_its_table(spark):
+    """Whole table at the query's parameters: against plain dictionaries, and better than the base on held-out texts."""
+    import zlib
+
+    from ledgerlens.llm.lm import op8_kneser_ney
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = op8_kneser_ney(spark, folder)
+    kinds = dict(got.dtypes)
+    assert all(kinds[c] == k for c, k in {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}.items())
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in docs}
+    learn = [t for d, t in docs.items() if not held[d]]
+    rows, base, own = got.collect(), 0.0, 0.0
+    assert len(rows) == len(docs)
+    for r, (n, known, b, lp) in zip(rows, reference(learn, [docs[r.doc_id] for r in rows]), strict=True):
+        assert (r.n_tokens, r.n_known, r.held_out) == (n, known, held[r.doc_id])
+        assert math.isclose(r.base_score, b, rel_tol=1e-9) and math.isclose(r.score, lp, rel_tol=1e-6)
+        base, own = base + b * r.held_out, own + lp * r.held_out
+    assert own > base
