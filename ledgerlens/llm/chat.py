@@ -90,6 +90,18 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text", F.row_number().over(order).alias("place"))
 
 
+def as_stream(conversations: DataFrame, chunk: int = 2048) -> DataFrame:
+    """A table of turns as the log that a chat leaves: an assistant turn is opened empty, streams a first piece of its text,
+    is regenerated, and streams all of it in pieces of ``chunk`` characters; other turns are plain messages."""
+    e = as_events(conversations)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    event = lambda k, kind, said: F.struct(F.lit(k).cast("long").alias("k"), F.lit(kind).alias("kind"), said.alias("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / chunk).cast("int")), lambda i: F.struct((i + 3).cast("long").alias("k"), F.lit("delta").alias("kind"), F.substring(text, i * chunk + 1, F.lit(chunk)).alias("text")))
+    streamed = F.concat(F.array(event(0, "message", F.lit("")), event(1, "delta", F.substring(text, 1, chunk)), event(2, "regenerate", F.lit(""))), pieces)
+    log = F.when(F.col("role") == "assistant", streamed).otherwise(F.array(event(0, "message", text)))
+    return e.select("conv_id", "turn", "role", "place", F.explode(log).alias("e")).select("conv_id", "turn", (F.coalesce("turn", F.lit(0)) * 2**24 + F.col("e.k")).alias("seq"), "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text", "place")
+
+
 def digests(back: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -99,7 +111,7 @@ def op9_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return digests(read_back(render(reconstruct(as_events(rows.unionByName(extra))))))
+    return digests(read_back(render(reconstruct(as_stream(rows.unionByName(extra))))))
 
 
 def _sql() -> str:

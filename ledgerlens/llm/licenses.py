@@ -2,17 +2,23 @@
 
 A document's units are its lines, its paragraphs and its whole text, normalised to lower-case words. A template can
 reach a Dice coefficient of d only with between d / (2 - d) and (2 - d) / d times as many bigrams as the unit, so
-templates are laid out once for every admissible size and a unit meets those of its own size alone.
+templates are laid out once for every admissible size and a unit meets those of its own size alone. All bounds are on
+numbers of distinct bigrams and in whole numbers, so nothing is lost at their edges.
+
+A unit that matches a template can miss few of its bigrams. Of every template some words are picked that stand in more
+bigrams than that, so a text without any of these words matches nothing and is not taken apart.
 
 The template table is fixed below (its size does not depend on data), which is why it is broadcast.
 
 Edge cases: null texts, and units of fewer than two words, match nothing; a document that matches nothing has no row;
-repeated rows and repeated units add to ``hits``; a null doc_id is a group of its own. Only doc_id and text are read.
+equal units of a text count once in ``hits``, units of repeated rows once for each row; a null doc_id is a group of its
+own. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import math
+import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 from .store import table
 
 DICE = 0.8
-#: Wordings of licence notices and of the paragraphs by which licence texts are known.
+#: Wordings of licence notices, of the paragraphs by which licence texts are known, and short licence texts whole.
 TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -31,6 +37,11 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -41,9 +52,19 @@ TEMPLATES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -67,30 +88,54 @@ def bigrams(w: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def templates(spark: SparkSession, least: float) -> DataFrame:
+def plain_bigrams(text: str) -> list[tuple[str, str]]:
+    """bigrams() of a template, on the driver."""
+    w = re.findall("[a-z0-9]+", text.lower())
+    return list(dict.fromkeys(zip(w, w[1:], strict=False)))
+
+
+def sizes(of: int, least: Fraction) -> tuple[int, int]:
+    """The fewest and most bigrams of a unit that can match a template with ``of`` of them."""
+    return -(-of * least // (2 - least)), of * (2 - least) // least
+
+
+def anchors(least: Fraction) -> list[str]:
+    """Words of which every unit that matches a template holds one: in each template they are in more bigrams than a match can miss."""
+    picked: list[str] = []
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        grams = plain_bigrams(text)
+        misses = len(grams) - -(-least * (sizes(len(grams), least)[0] + len(grams)) // 2)
+        own = sorted({w for g in grams for w in g}, key=lambda w: (w not in picked, -len(w), w))
+        held: list[str] = []
+        while sum(bool({*g} & {*held}) for g in grams) <= misses:
+            held.append(own.pop(0))
+        picked += [w for w in held if w not in picked]
+    return picked
+
+
+def templates(spark: SparkSession, least: Fraction) -> DataFrame:
     """A row for each template and each bigram count at which it can still match."""
-    rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
-    made = spark.createDataFrame(rows, "license string, template int, wording string").withColumn("grams", bigrams(words(F.col("wording"))))
-    size = F.size("grams")
-    lo, hi = F.ceil(size * (least / (2 - least)) - 1e-9), F.floor(size * ((2 - least) / least) + 1e-9)
-    return made.select("license", "template", "grams", size.alias("of"), F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("n"))
+    rows = [(name, i, text, *(int(x) for x in sizes(len(plain_bigrams(text)), least))) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+    made = spark.createDataFrame(rows, "license string, template int, wording string, lo int, hi int").withColumn("grams", bigrams(words(F.col("wording"))))
+    return made.select("license", "template", "grams", F.size("grams").alias("of"), F.explode(F.sequence("lo", "hi")).alias("n"))
 
 
 def scan(docs: DataFrame, least: float = DICE) -> DataFrame:
     """doc_id, license, dice (the best unit's), hits (matching units) for every licence found in a document."""
-    spark = docs.sparkSession
-    known = templates(spark, least)
-    most = max(math.floor(len(t.split()) * 2 * (2 - least) / least) for texts in TEMPLATES.values() for t in texts)
+    spark, exact = docs.sparkSession, Fraction(str(least))
+    known = templates(spark, exact)
+    most = max(int(sizes(len(plain_bigrams(t)), exact)[1]) for texts in TEMPLATES.values() for t in texts)
+    named = "(?i)" + "|".join(anchors(exact))
     text = F.col("text").cast("string")
     units = F.array_union(F.split(text, "\n"), F.array_union(F.split(text, "\n[ \t\r]*\n"), F.array(text)))
-    one = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit")).where(F.length("unit") >= 3)
+    one = docs.where(text.rlike(named)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit")).where((F.length("unit") >= 3) & F.col("unit").rlike(named))
     # n distinct bigrams have at most n + 1 distinct words, so a unit with more of them than that is no match; its length says nothing
     few = lambda w: (F.size(w) >= 2) & ((F.size(w) <= most + 1) | (F.size(F.array_distinct(w)) <= most + 1))
     own = F.transform(F.filter(F.array(words(F.col("unit"))), few), bigrams)
     near = one.select("doc_id", F.explode(own).alias("own")).withColumn("n", F.size("own"))
-    met = near.join(F.broadcast(known), "n")
-    dice = 2 * F.size(F.array_intersect("own", "grams")) / (F.col("n") + F.col("of"))
-    found = met.select("doc_id", "license", F.round(dice, 6).alias("dice")).where(F.col("dice") >= least)
+    met = near.join(F.broadcast(known), "n").withColumn("both", F.size(F.array_intersect("own", "grams")))
+    enough = F.col("both") * 2 * exact.denominator >= (F.col("n") + F.col("of")) * exact.numerator
+    found = met.where(enough).select("doc_id", "license", F.round(2 * F.col("both") / (F.col("n") + F.col("of")), 6).alias("dice"))
     return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("hits"))
 
 

@@ -3,14 +3,16 @@
 Vectors that are byte-equal collapse to one node first. A label with many nodes gets centroids, fitted on a sample of at
 most SAMPLE vectors (the only bounded thing here; every vector is indexed), and each node lives in the shard of its
 nearest centroid; a shard beyond BLOCK nodes is dealt into blocks. Each block builds a robust-pruned graph over its
-nodes. Then every vector searches all shards that can hold a link of it: a shard is left out only if the vector is
-farther from the shard's side of a bisector of two centroids than the ends of a link can be, so no link is lost by the
-dealing, however many shards a group of near copies covers. The search in a block is greedy from the block's medoid to
-the vector's neighbourhood, then a range expansion along the graph for as long as it meets vectors within SLACK of the
-threshold; where more than DENSE of a block's pairs are links, all cosines are computed instead. They are in double
-precision, so every link is verified. ``audit`` compares the links with a brute-force scan of a few query vectors
-against all vectors in blocks. Vectors without structure rule out few shards: the work then grows with the square of a
-label.
+nodes (at most BLOCK, whose pairs are cheaper to look at than an insertion search is). Then every vector searches the
+shards that a link of it can lie in: those no farther from it than the other end of a link may be, beyond the bisector
+of two centroids. The ends of a link are ``chord`` apart at most; how much of that points across a bisector depends on
+how many directions the vectors of a shard spread over (the participation ratio of their residuals, measured on the
+sample), so the margin is SIGMAS standard deviations of that share, and the whole chord where they spread over few.
+The margin looks at the geometry alone, so it holds however many shards a group of near copies covers. The search in a
+block is greedy from the block's medoids to the vector's neighbourhood, then a range expansion along the graph for as
+long as it meets vectors within SLACK of the threshold; where more than DENSE of a block's pairs are links, all cosines
+are computed instead. They are in double precision, so every link is verified. ``audit`` compares the links with a
+brute-force scan of query vectors against all vectors in blocks.
 
 A pair is found twice, once from each end. Blocks return link counts and a spanning forest of the links, so a group of n
 copies costs n rows for each of its blocks and not n^2.
@@ -33,7 +35,7 @@ from .components import components
 from .store import dropped, saved, table
 
 COSINE, BLOCK, SAMPLE = 0.93, 1500, 20_000
-DEGREE, POOL, ALPHA, BEAM, SLACK, FAR, DENSE = 32, 96, 1.2, 16, 0.1, 4, 0.1
+DEGREE, POOL, ALPHA, BEAM, SLACK, FAR, DENSE, SIGMAS = 32, 96, 1.2, 16, 0.1, 4, 0.1, 4.0
 
 
 def robust_prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
@@ -161,6 +163,14 @@ def _centroids(vectors: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return c
 
 
+def spread(vectors: np.ndarray, centroids: np.ndarray) -> float:
+    """The number of directions over which the vectors spread around their centroids (participation ratio)."""
+    own = np.concatenate([np.einsum("ij,kj->ik", vectors[i : i + 1000], centroids).argmax(axis=1) for i in range(0, len(vectors), 1000)])
+    rest = vectors - centroids[own]
+    second = np.einsum("ni,nj->ij", rest, rest)
+    return float(np.trace(second) ** 2 / max((second * second).sum(), 1e-300))
+
+
 def link_vectors(vectors: DataFrame, least: float = COSINE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, label, embedding)."""
     raw = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
@@ -169,31 +179,31 @@ def link_vectors(vectors: DataFrame, least: float = COSINE, block: int = BLOCK,
 
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block)
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    centres: dict[tuple[int, int], np.ndarray] = {}
+    chord = float(np.sqrt(max(2 - 2 * least, 0.0)))  # the longest distance of two linked unit vectors
+    centres: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
     if total:
         share = min(1.0, 0.9 * sample / total)
         drawn = nodes.join(sizes, ["label", "dim"]).where(F.pmod(F.col("uid"), F.lit(1_000_003)) < share * 1_000_003).select("label", "dim", "n", "unit").limit(sample).toArrow().to_pandas()
         for (label, dim), g in drawn.groupby(["label", "dim"]):
             k = int(min(np.ceil(g["n"].iloc[0] / (block / 2)), max(1, len(g) // 8)))
-            centres[label, dim] = _centroids(np.stack([np.frombuffer(x, np.float64) for x in g["unit"]]), k)
-
-    chord = np.sqrt(max(2 - 2 * least, 0.0))  # the longest distance of two linked unit vectors
+            own = np.stack([np.frombuffer(x, np.float64) for x in g["unit"]])
+            centres[label, dim] = (c := _centroids(own, k)), chord * min(1.0, SIGMAS / max(spread(own, c), 1e-9) ** 0.5)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             homes: list[int] = []
             shards: list[list[int]] = []
             for label, dim, u in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1), strict=True):
-                c = centres.get((label, dim))
-                if c is None:
+                if (label, dim) not in centres:
                     homes.append(0)
                     shards.append([0])
                     continue
+                c, margin = centres[label, dim]
                 near = (c * np.frombuffer(u.as_buffer(), np.float64)).sum(axis=1)
                 home = int(near.argmax())
                 # a node of shard s is on its side of the bisector of s and home, so a link from here must reach that side
                 homes.append(home)
-                shards.append(np.flatnonzero(near[home] - near <= chord * np.linalg.norm(c[home] - c, axis=1) + 1e-9).tolist())
+                shards.append(np.flatnonzero(near[home] - near <= margin * np.linalg.norm(c[home] - c, axis=1) + 1e-9).tolist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(homes, pa.int32()), pa.array(shards, pa.list_(pa.int32()))], names=[*b.schema.names, "shard", "asks"])
 
     dealt = saved(nodes.select("label", "unit", "node", "dim", "copies", "uid").mapInArrow(deal, "label long, unit binary, node long, dim int, copies long, uid long, shard int, asks array<int>"), "dealt")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -61,11 +62,17 @@ def test_round_trip_of_control_strings(spark):
         assert [(t.role, t.text) for t in got[c].turns] == turns
         assert got[c].loss_text == "".join(x for role, x in turns if role == "assistant")
         assert got[c].formatted.count("<|turn|>") == len(turns)
-    assert "Python" not in plan_of(out) and "Arrow" not in plan_of(out)
+    streamed = chat.render(chat.reconstruct(chat.as_stream(df, chunk=3)))
+    assert sorted(map(tuple, streamed.select("conv_id", "formatted").collect())) == sorted(map(tuple, out.select("conv_id", "formatted").collect()))
+    assert {r.kind for r in chat.as_stream(df, chunk=3).select("kind").distinct().collect()} == {"message", "delta", "regenerate"}
+    assert "Python" not in plan_of(streamed) and "Arrow" not in plan_of(streamed)
 
 
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string"
+    odd = spark.createDataFrame([(1, None, "assistant", "x" * 5000), (1, 0, "assistant", None), (1, 0, "assistant", None), (None, 0, None, "y")], schema)
+    back = {r.conv_id: [t.text for t in r.turns] for r in chat.read_back(chat.render(chat.reconstruct(chat.as_stream(odd)))).collect()}
+    assert back == {1: ["x" * 5000, "", ""], None: ["y"]}
     assert chat.digests(chat.read_back(chat.render(chat.reconstruct(chat.as_events(spark.createDataFrame([], schema)))))).count() == 0
     rows = [(None, 0, "user", "x"), (1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "y" * 200000)]
     got = {r.conv_id: r for r in chat.digests(chat.read_back(chat.render(chat.reconstruct(chat.as_events(spark.createDataFrame(rows, schema)))))).collect()}
@@ -119,3 +126,35 @@ def test_license_of_repeated_notices(spark):
     rows = [(1, " ".join([mit] * 4)), (2, "All rights reserved. " * 67), (3, "All rights reserved. " * 5000), (4, " ".join(f"w{i}" for i in range(5000)))]
     got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == pytest.approx({(1, "mit"): round(dice(grams(rows[0][1]), grams(mit)), 6), (2, "proprietary"): 0.8, (3, "proprietary"): 0.8})
+
+
+def test_license_sizes_at_their_edges(spark):
+    """Two bigrams match three (Dice 0.8); equal lines of a text count once, equal rows once each."""
+    rows = [(1, "all rights reserved now"), (2, "All rights reserved.\nAll rights reserved."), (3, "all rights reserved now then"), (4, "all rights reserved now"), (4, "all rights reserved now")]
+    got = {r.doc_id: (r.license, r.dice, r.hits) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("proprietary", 0.8, 1), 2: ("proprietary", 1.0, 2), 4: ("proprietary", 0.8, 2)}
+    assert licenses.sizes(2, Fraction("0.8")) == (2, 3) and licenses.sizes(10, Fraction("0.8")) == (7, 15)
+
+
+def test_every_match_holds_an_anchor():
+    """Of each template any bigrams that suffice for a match are kept, as far from the anchors as can be."""
+    least = Fraction("0.8")
+    words = set(licenses.anchors(least))
+    for text in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        own = licenses.plain_bigrams(text)
+        free = [g for g in own if not set(g) & words]
+        n = max(len(free), licenses.sizes(len(own), least)[0])
+        assert Fraction(2 * len(free), n + len(own)) < least, text[:40]
+
+
+def test_license_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    mit = licenses.TEMPLATES["mit"]
+    texts = ["All rights reserved. " * 20, "All rights reserved. " * 100, "Licensed under the MIT License. " * 20, "Licensed under the MIT License. " * 60, mit[-1], mit[-1] + "\n\n" + mit[0], "x " + mit[2] + "\ny", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute("SELECT doc_id, license, dice, hits FROM (" + licenses.SQL + ")").fetchall())
+    assert sorted(tuple(r) for r in licenses.op5_license_dice(spark, str(tmp_path)).select("doc_id", "license", "dice", "hits").collect()) == want
+    assert {r[0] for r in want} == {0, 1, 2, 3, 4, 5, 6}

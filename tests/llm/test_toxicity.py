@@ -46,3 +46,26 @@ def test_swaps_stay_in_kind_and_change_the_word():
     assert all(a != b for a, b in SWAPS.items())
     assert counterfactual({"women", "x"}) == {"men", "x"}
     assert counterfactual({"x"}) is None
+
+
+def test_query_on_its_table(spark):
+    """Folds and columns as promised; ties and repeated texts score alike; held-out rows are told apart."""
+    import zlib
+
+    from ledgerlens.llm.toxicity import op1_counterfactual_toxicity
+
+    folder = "/root/testdata/sf0.1"
+    got = op1_counterfactual_toxicity(spark, folder)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = {r.doc_id: r for r in got.collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    by_text = {}
+    for d, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+        by_text.setdefault(texts[d], set()).add(r.score)
+    assert all(len(s) == 1 for s in by_text.values())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(rows[d].score, y) for d, y in labels.items() if d in rows and rows[d].held_out and y is not None]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in held if x for b, y in held if not y]
+    assert sum(pairs) / len(pairs) > 0.95
