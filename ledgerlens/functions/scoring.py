@@ -49,6 +49,20 @@ def scope_proximity(scope: Column) -> Column:
     return F.when(scope == "session", 1.0).when(scope == "project", 0.85).when(scope == "workspace", 0.65).otherwise(0.4)
 
 
+def authority_score(authority: Column) -> Column:
+    return F.when(authority == "user_explicit", 1.0).when(authority == "system_instruction", 0.95).when(authority == "tool_observation", 0.8).when(authority == "assistant_claim", 0.35).otherwise(0.55)
+
+
+def confidence_label(x: Column) -> Column:
+    return F.when(x >= 0.8, "high").when(x >= 0.5, "medium").otherwise("low")
+
+
+def valid_time_label(since: Column, until: Column, current: Column) -> Column:
+    """current, or the time from or until which a fact holds or held."""
+    tense = F.when(current, "current").otherwise("historical")
+    return F.when(until.isNotNull(), F.concat(F.lit("historical until "), until)).when(since.isNotNull(), F.concat(tense, F.lit(" from "), since)).otherwise(tense)
+
+
 def temporal_score(is_open: Column, has_filter: Column, in_range: Column) -> Column:
     """1 for a current version and 0.35 for a closed one; with a filter 1 in range, 0.8 open, 0.45 otherwise."""
     return F.when(~has_filter, F.when(is_open, 1.0).otherwise(0.35)).when(in_range, 1.0).when(is_open, 0.8).otherwise(0.45)

@@ -2,19 +2,23 @@ r"""Text functions as column expressions. Regular expressions stay in the part t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Stop words of the query planner.
-STOP_WORDS = ["a", "about", "an", "and", "are", "for", "how", "is", "of", "on", "or", "the", "to", "was", "what", "with"]
-#: Flags of the injection scan and their patterns.
+STOP_WORDS = ["the", "a", "an", "what", "which", "did", "do", "we", "i", "my", "is", "are", "was", "were", "to", "for", "از", "به", "در", "که", "چه"]
+#: Flags of the injection scan and their patterns, on lower-cased text.
 INJECTION = {
-    "ignore_previous": r"(?i)ignore (all )?(previous|prior) (instructions|messages)",
-    "system_prompt": r"(?i)(reveal|show|print) (your |the )?system prompt",
-    "role_override": r"(?i)you are now ",
-    "tool_abuse": r"(?i)(run|execute) (this|the following) (command|code)",
-    "exfiltration": r"(?i)(send|post|upload) .{0,40}(password|token|secret)",
-    "markup": r"(?i)<\s*(script|iframe)",
+    "instruction_like": r"ignore previous instructions|دستورهای قبلی را نادیده بگیر",
+    "scope_expansion_attempt": r"other projects|all memories|پروژه‌های دیگر",
+    "tool_call_attempt": r"call the .*endpoint|delete endpoint|run tool",
+    "exfiltration_attempt": r"exfiltrate|reveal .*api|فاش کن",
+    "delimiter_attack": r"</memory_context_attachment>|close the memory delimiter",
+    "role_confusion": r"you are now the system|نقش سیستم",
+    "secret_request": r"api key|token|password|secret|sk-[a-z0-9_-]{12,}|api[_-]?key\s*[:=]\s*[^\s]+|token\s*[:=]\s*[^\s]+",
+    "policy_override_attempt": r"override .*policy|ignore previous|نادیده بگیر",
 }
 #: Conversation roles by the names that exports use.
 ROLES = {"human": "user", "user": "user", "ai": "assistant", "assistant": "assistant", "model": "assistant", "bot": "assistant", "system": "system", "tool": "tool", "function": "tool"}
@@ -42,10 +46,34 @@ def language_hint(text: Column) -> Column:
     return F.when(text.rlike("[؀-ۿ]"), "fa").when(text.rlike("[A-Za-z]"), "en").otherwise("und")
 
 
-def meaningful_terms(text: Column, limit: int = 12) -> Column:
-    """Distinct lower-case words of three or more characters that are no stop words, in order of appearance."""
-    words = F.filter(F.split(F.lower(text), r"[^a-z0-9_\-]+"), lambda w: F.length(w) >= 3)
-    return F.slice(F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP_WORDS))), 1, limit)
+def planner_terms(text: Column) -> Column:
+    """Words of two or more characters (hyphens inside) that are no stop words, in order and with repeats."""
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_؀-ۿ][\p{L}\p{N}_\-؀-ۿ]+"), F.lit(0))
+    return F.filter(found, lambda w: ~F.lower(w).isin(STOP_WORDS))
+
+
+def query_terms(text: Column, limit: int = 8) -> Column:
+    """Distinct lower-case words of three or more characters, in order of appearance, at most so many."""
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_؀-ۿ][\p{L}\p{N}_\-؀-ۿ]+"), F.lit(0))
+    return F.slice(F.array_distinct(F.transform(F.filter(found, lambda w: F.length(w) >= 3), F.lower)), 1, limit)
+
+
+def html_escaped(text: Column) -> Column:
+    pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
+    return reduce(lambda out, p: F.replace(out, F.lit(p[0]), F.lit(p[1])), pairs, text)
+
+
+def has_key(text: Column, least: int = 8) -> Column:
+    """Whether a secret key (prefix sk with hyphen or underscore) is in the text; its body counts without - and _."""
+    bodies = F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[^\p{L}\p{N}])sk[-_]([\p{L}\p{N}_-]*)"), F.lit(1))
+    return F.exists(bodies, lambda b: F.length(F.regexp_replace(b, "[-_]", "")) >= least)
+
+
+def first_shared_term(memory: str, response: str) -> Column:
+    """The first word of more than four characters of a text that the (lower-case) response contains."""
+    words = F.filter(F.split(F.trim(memory), r"\s+"), lambda w: F.length(w) > 4)
+    plain = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[ .,:;]+|[ .,:;]+$", "")))
+    return F.try_element_at(F.filter(plain, lambda w: F.contains(F.col(response), w)), F.lit(1))
 
 
 def entities(text: Column) -> Column:
@@ -76,7 +104,7 @@ def sensitivity(text: Column) -> Column:
 
 
 def injection_flags(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(p), k) for k, p in INJECTION.items())))
+    return F.array_compact(F.array(*(F.when(F.lower(text).rlike(p), k) for k, p in INJECTION.items())))
 
 
 def numbered_lines(text: Column) -> Column:

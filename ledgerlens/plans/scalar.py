@@ -33,9 +33,9 @@ def _(t):
     return t("customer").select("c_custkey", text.fts_terms(F.col("c_name")).alias("terms"))
 
 
-@query("f22_meaningful_terms", f"SELECT item_id, list_filter(list_filter(string_split_regex(lower(text), '[^a-z0-9_\\-]+'), lambda w: length(w) >= 3), lambda w, i: NOT list_contains([{STOPS}], w) AND list_position(list_filter(string_split_regex(lower(text), '[^a-z0-9_\\-]+'), lambda v: length(v) >= 3), w) = i)[1:12] AS terms FROM benchmark")
+@query("f22_meaningful_terms", f"SELECT item_id, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_؀-ۿ][\\p{{L}}\\p{{N}}_\\-؀-ۿ]+'), lambda w: lower(w) NOT IN ({STOPS})) AS terms FROM benchmark")
 def _(t):
-    return t("benchmark").select("item_id", text.meaningful_terms(F.col("text")).alias("terms"))
+    return t("benchmark").select("item_id", text.planner_terms(F.col("text")).alias("terms"))
 
 
 @query("f23_entities", r"SELECT item_id, list_sort(list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}\p{M}_]+'), lambda w: regexp_matches(w, '^(?:[A-Z][a-z]{2,}|[A-Z]{2,})$')))) AS entities FROM benchmark")
@@ -56,7 +56,7 @@ def _(t):
     return t("documents").select("doc_id", text.sensitivity(F.col("text")).alias("level"))
 
 
-_INJ = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in text.INJECTION.items())
+_INJ = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{k}' END" for k, p in text.INJECTION.items())
 
 
 @query("f27_injection_flags", f"SELECT doc_id, CAST(len(list_filter([{_INJ}], lambda x: x IS NOT NULL)) AS BIGINT) AS flags FROM documents")
