@@ -1,14 +1,18 @@
 """Versioned facts: candidates folded into add, reinforce, contradict and supersede decisions per key.
 
-The fold depends on the last accepted version (a contradiction does not advance it), so it is no plain lag. Keys are
-folded with a native aggregate over the ordered candidates of a key; a key's candidates must fit one row, and keys are
-the unit of distribution.
+The fold depends on the last accepted version (a contradiction does not advance it), so it is no plain lag. Candidates
+are dealt and sorted by key and order and the fold streams over them batch by batch, holding one key's state and never its
+rows, so a key may have any number of candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def contradicts(a: Column, b: Column) -> Column:
@@ -17,33 +21,46 @@ def contradicts(a: Column, b: Column) -> Column:
     return known & (a != b)
 
 
+def _streamed(rows: DataFrame, order: list[str], start: Callable, step: Callable, shape: str) -> DataFrame:
+    """step(state, row) -> (state, values) over the rows of each key in order; a row of values for each, after the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if now is None or r["key"] != now[0]:
+                    now, state = (r["key"],), start(r)
+                state, values = step(state, r)
+                out.append({"key": r["key"]} | values)
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(kind))
+
+    kind = rows.sparkSession.createDataFrame([], f"key {rows.schema['key'].dataType.simpleString()}, {shape}").schema
+    return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(run, kind)
+
+
+def _decide(state: tuple, r: dict) -> tuple[tuple, dict]:
+    text, polarity, version = state
+    unlike = polarity != r["polarity"] and None not in (polarity, r["polarity"]) and "unknown" not in (polarity, r["polarity"])
+    if r["status"] == "rejected":
+        op = "REJECT"
+    elif r["status"] == "needs_review" or r["predicate"] == "forget_request":
+        op = "MANUAL_REVIEW"
+    elif version == 0:
+        op = "ADD"
+    elif text == r["text"]:
+        op = "REINFORCE"
+    else:
+        op = "CONTRADICT" if unlike else "SUPERSEDE"
+    if op in ("ADD", "SUPERSEDE"):
+        state = r["text"], r["polarity"], version + 1
+    return state, {"seq": r["seq"], "operation": op, "version": state[2]}
+
+
 def consolidate(candidates: DataFrame) -> DataFrame:
     """key, seq, operation, version for each candidate (key, seq, status, predicate, text, polarity)."""
-    c = F.struct("seq", "status", "predicate", "text", "polarity")
-    lists = candidates.groupBy("key").agg(F.array_sort(F.collect_list(c)).alias("cs"))
-    start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("polarity"), F.lit(0).cast("long").alias("version"), F.array().cast("array<struct<seq:bigint,operation:string,version:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        op = (
-            F.when(x["status"] == "rejected", "REJECT")
-            .when(x["status"] == "needs_review", "MANUAL_REVIEW")
-            .when(x["predicate"] == "forget_request", "MANUAL_REVIEW")
-            .when(acc["version"] == 0, "ADD")
-            .when(acc["text"].eqNullSafe(x["text"]), "REINFORCE")
-            .when(contradicts(acc["polarity"], x["polarity"]), "CONTRADICT")
-            .otherwise("SUPERSEDE")
-        )
-        advance = op.isin("ADD", "SUPERSEDE")
-        version = acc["version"] + F.when(advance, 1).otherwise(0)
-        return F.struct(
-            F.when(advance, x["text"]).otherwise(acc["text"]).alias("text"),
-            F.when(advance, x["polarity"]).otherwise(acc["polarity"]).alias("polarity"),
-            version.alias("version"),
-            F.concat(acc["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"), op.alias("operation"), version.alias("version")))).alias("out"),
-        )
-
-    folded = lists.select("key", F.explode(F.aggregate("cs", start, step)["out"]).alias("d"))
-    return folded.select("key", "d.*")
+    rows = candidates.select("key", F.col("seq").cast("long"), "status", "predicate", "text", "polarity")
+    return _streamed(rows, ["seq", "status", "text"], lambda r: (None, None, 0), _decide, "seq long, operation string, version long")
 
 
 def versions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -55,14 +72,32 @@ def versions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.join(proof, ["key", "version"])
 
 
+def _govern(state: tuple, r: dict) -> tuple[tuple, dict]:
+    before, text, version, status = state
+    op = r["operation"]
+    if op in ("mark_incorrect", "mark_outdated"):
+        status = "needs_review"
+    elif op == "retract":
+        status = "retracted"
+    elif op == "undo":
+        if version > 1:
+            before, text, version = text, before, version + 1
+    else:  # confirm, correct, restore, merge, split, change_scope, change_sensitivity, pin, unpin
+        before, text, version, status = text, r["value"] if op == "correct" and r["value"] is not None else text, version + 1, "active"
+    return (before, text, version, status), {"seq": r["seq"], "text": text, "version": version, "status": status}
+
+
 def corrected(history: DataFrame, operations: DataFrame) -> DataFrame:
-    """State after governance operations (key, seq, operation): the newest decides among confirm, retract and review.
+    """key, text, version, status after all governance operations (key, seq, operation, value) in order.
 
-    ``undo`` appends the text of the version before the last.
+    confirm, correct and restore and the changes of place make a new version, which ``correct`` alone gives another text;
+    marks put the fact under review and ``retract`` withdraws it; ``undo`` appends the text of the version before the
+    last, so that undoing twice is a redo. Operations of keys without history are left out.
     """
-    last = operations.groupBy("key").agg(F.max_by("operation", "seq").alias("operation"))
     w = Window.partitionBy("key").orderBy(F.col("version").desc())
-    two = history.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("key").agg(F.max_by("text", "version").alias("current"), F.min_by("text", "version").alias("previous"), F.max("version").alias("version"))
-    op = F.col("operation")
-    status = F.when(op == "retract", "retracted").when(op.isin("mark_incorrect", "mark_outdated"), "needs_review").otherwise("active")
-    return two.join(last, "key", "left").select("key", F.when(op == "undo", F.col("previous")).otherwise(F.col("current")).alias("text"), (F.col("version") + F.when(op == "undo", 1).otherwise(0)).alias("version"), status.alias("status"))
+    two = history.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("key").agg(F.max_by("text", "version").alias("current"), F.min_by("text", "version").alias("previous"), F.max("version").alias("latest"))
+    value = F.col("value") if "value" in operations.columns else F.lit(None).cast("string")
+    ops = operations.select("key", F.col("seq").cast("long"), "operation", value.alias("value")).join(two, "key")
+    steps = _streamed(ops, ["seq", "operation"], lambda r: (r["previous"], r["current"], r["latest"], "active"), _govern, "seq long, text string, version long, status string")
+    last = steps.groupBy("key").agg(F.max_by(F.struct("text", "version", "status"), F.struct("version", "seq")).alias("s"), F.max_by("status", "seq").alias("status"))
+    return two.join(last, "key", "left").select("key", F.coalesce("s.text", "current").alias("text"), F.coalesce("s.version", "latest").alias("version"), F.coalesce("status", F.lit("active")).alias("status"))

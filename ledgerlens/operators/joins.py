@@ -27,22 +27,31 @@ def look_back(rows: DataFrame, key: Sequence[str], order: Sequence[str], value:
     return rows.withColumn(name, F.collect_list(value).over(w))
 
 
-def contained(inner: DataFrame, outer: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame, key: Sequence[str], how: str = "inner", width: int = 4096) -> DataFrame:
     """Spans [start, end) of inner that lie inside a span of outer with the same key.
 
-    Columns: key, start, end on both sides; outer's span comes as outer_start, outer_end. The key is an equi-join.
+    Columns: key, start, end on both sides; outer's span comes as outer_start, outer_end. An outer span stands in every
+    stretch of ``width`` positions that it reaches into and an inner one in that of its start, so a key with very many
+    spans is no single group of the join.
     """
-    o = outer.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"))
-    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key)) & (F.col("outer_start") <= F.col("start")) & (F.col("end") <= F.col("outer_end"))
+    at = lambda c: F.floor(F.col(c) / width)
+    o = outer.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"), F.explode(F.sequence(at("start"), F.greatest(at("start"), at("end")))).alias("_at"))
+    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key)) & (F.col("_at") == at("start")) & (F.col("outer_start") <= F.col("start")) & (F.col("end") <= F.col("outer_end"))
     out = inner.join(o, on, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*(f"_{k}" for k in key))
+    return out if how in ("left_semi", "left_anti") else out.drop("_at", *(f"_{k}" for k in key))
 
 
 def without_overlap(spans: DataFrame, taken: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Spans that no span of ``taken`` with the same key overlaps."""
-    o = taken.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key)) & (F.col("_start") < F.col("end")) & (F.col("start") < F.col("_end"))
-    return spans.join(o, on, "left_anti")
+    """Spans that no span of ``taken`` with the same key overlaps.
+
+    A span is free if, of the taken ones that start before its end, none ends after its start: one running maximum over
+    both sides in order of position, and no join of spans with spans.
+    """
+    mine = spans.select(F.struct(*spans.columns).alias("row"), *key, F.col("end").alias("_pos"), F.lit(0).alias("_kind"), F.lit(None).cast(taken.schema["end"].dataType).alias("_to"))
+    theirs = taken.select(F.lit(None).cast(mine.schema["row"].dataType).alias("row"), *key, F.col("start").alias("_pos"), F.lit(1).alias("_kind"), F.col("end").alias("_to"))
+    order = Window.partitionBy(*key).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = mine.unionByName(theirs).withColumn("_reach", F.max("_to").over(order))
+    return swept.where("_kind = 0 and (_reach is null or _reach <= row.start)").select("row.*")
 
 
 def orphans(children: DataFrame, parents: DataFrame, foreign: str, primary: str) -> DataFrame:
@@ -51,9 +60,15 @@ def orphans(children: DataFrame, parents: DataFrame, foreign: str, primary: str)
 
 
 def in_either(rows: DataFrame, first: tuple[str, DataFrame, str], second: tuple[str, DataFrame, str]) -> DataFrame:
-    """Rows whose column is in one key set or in the other: two semi-joins, never a join on OR."""
-    parts = [rows.join(keys.select(F.col(k).alias("_k")).distinct(), F.col(c) == F.col("_k"), "left_semi") for c, keys, k in (first, second)]
-    return parts[0].unionByName(parts[1]).distinct()
+    """Rows whose column is in one key set or in the other: two flags by joins with distinct keys, never a join on OR.
+
+    Equal rows stay as many as they are.
+    """
+    out = rows
+    for i, (c, keys, k) in enumerate((first, second)):
+        known = keys.select(F.col(k).alias(f"_key{i}"), F.lit(True).alias(f"_in{i}")).distinct()
+        out = out.join(known, F.col(c) == F.col(f"_key{i}"), "left")
+    return out.where("_in0 or _in1").select(*rows.columns)
 
 
 def resolve_aliases(requests: DataFrame, aliases: DataFrame) -> DataFrame:

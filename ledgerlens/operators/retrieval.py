@@ -1,7 +1,7 @@
 """Hybrid recall: BM25, vectors, recency, fusion, diversity, selection and budget packing.
 
 Queries are rows, so many are answered in one job. Candidate lists are cut to their k inside the query's group after a
-partial aggregation, and the only broadcast sides are query sets whose size is checked.
+partial aggregation, and the only broadcast side is the one row of corpus statistics; whether query sets are broadcast is up to the optimizer.
 """
 
 from __future__ import annotations
@@ -22,18 +22,28 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf, length: an inverted index (counted per document before the shuffle by term)."""
-    words = docs.select(key, terms(F.col(text)).alias("w")).withColumn("length", F.size("w"))
-    return words.select(key, "length", F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """term, key, tf, length: an inverted index. only: the terms (column term) that are asked for; others are not counted."""
+    words = docs.select(key, terms(F.col(text)).alias("w")).withColumn("length", F.size("w")).select(key, "length", F.explode("w").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, key: str, query: str, k: int) -> DataFrame:
+def lengths(docs: DataFrame, text: str) -> DataFrame:
+    """One row: the number of documents with words and their mean length, from one pass without a shuffle of words."""
+    n = F.size(terms(F.col(text)))
+    return docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
+
+
+def bm25(index: DataFrame, queries: DataFrame, key: str, query: str, k: int, stats: DataFrame | None = None) -> DataFrame:
     """query, key, score, rank: the k best documents of each query by BM25.
 
-    queries: query, term (distinct). idf is log((N - n + 0.5) / (n + 0.5)), not below 1e-6.
+    queries: query, term (distinct). stats: ``lengths`` of the documents, else taken from the index. idf is
+    log((N - n + 0.5) / (n + 0.5)), not below 1e-6.
     """
-    stats = index.groupBy(key, "length").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    if stats is None:
+        stats = index.groupBy(key, "length").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     hits = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row

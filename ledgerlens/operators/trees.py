@@ -12,11 +12,36 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpointed
 
 
-def validate(nodes: DataFrame) -> DataFrame:
-    """conv, node, issue: missing_parent and self_parent. nodes: conv, node, parent."""
+def validate(nodes: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """conv, node, issue: missing_parent, self_parent, message_cycle and, with leaves (conv, leaf), missing_active_leaf.
+
+    nodes: conv, node, parent. A cycle is reported at its nodes; those that merely hang below one are not.
+    """
     known = nodes.select("conv", F.col("node").alias("parent")).distinct()
-    missing = nodes.where("parent is not null").join(known, ["conv", "parent"], "left_anti").select("conv", "node", F.lit("missing_parent").alias("issue"))
-    return missing.unionByName(nodes.where("node = parent").select("conv", "node", F.lit("self_parent").alias("issue")))
+    out = nodes.where("parent is not null").join(known, ["conv", "parent"], "left_anti").select("conv", "node", F.lit("missing_parent").alias("issue"))
+    out = out.unionByName(nodes.where("node = parent").select("conv", "node", F.lit("self_parent").alias("issue")))
+    out = out.unionByName(cycles(nodes).select("conv", "node", F.lit("message_cycle").alias("issue")))
+    if leaves is not None:
+        gone = leaves.where("leaf is not null").join(nodes.select("conv", F.col("node").alias("leaf")), ["conv", "leaf"], "left_anti")
+        out = out.unionByName(gone.select("conv", F.col("leaf").alias("node"), F.lit("missing_active_leaf").alias("issue")))
+    return out
+
+
+def cycles(nodes: DataFrame) -> DataFrame:
+    """conv, node of the nodes that are their own ancestors by two steps or more.
+
+    After as many doublings as the largest conversation asks for, every jump that has not left the tree ends on a cycle,
+    and each node of a cycle is the end of one.
+    """
+    jump = nodes.where("parent is not null and parent <> node").select("conv", "node", F.col("parent").alias("up"))
+    most = nodes.groupBy("conv").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    reach = 1
+    while reach < most:
+        far = jump.select("conv", F.col("node").alias("up"), F.col("up").alias("end"))
+        jump = checkpointed(jump.join(far, ["conv", "up"]).select("conv", "node", F.col("end").alias("up")))
+        reach *= 2
+    alive = nodes.where("parent is not null and parent <> node").select("conv", F.col("node").alias("up"))
+    return jump.select("conv", "up").distinct().join(alive.distinct(), ["conv", "up"], "left_semi").select("conv", F.col("up").alias("node"))
 
 
 def roots(nodes: DataFrame) -> DataFrame:

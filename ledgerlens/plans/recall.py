@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..operators import consolidation, evaluation, retrieval, trees
 from ..registry import query
 
@@ -29,7 +30,8 @@ bm AS (SELECT query, doc_id, score, rank FROM (SELECT *, row_number() OVER (PART
 
 
 def bm25_list(t):
-    return retrieval.bm25(retrieval.postings(t("documents"), "doc_id", "text"), _query_terms(t), "doc_id", "query", 20)
+    q = _query_terms(t)
+    return retrieval.bm25(retrieval.postings(t("documents"), "doc_id", "text", q), q, "doc_id", "query", 20, retrieval.lengths(t("documents"), "text"))
 
 
 @query("r04_postings", f"WITH d AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY 1")
@@ -68,9 +70,10 @@ def _(t):
 
 def hybrid(t):
     """BM25 and quality-labelled generators fused, best 30 of each query."""
-    lexical = bm25_list(t).select("query", "doc_id", F.lit("fts5_bm25").alias("generator"), "rank")
+    best = checkpointed(bm25_list(t))  # at most 20 rows a query, read twice
+    lexical = best.select("query", "doc_id", F.lit("fts5_bm25").alias("generator"), "rank")
     good = t("labels").where("quality = 1 and toxic = 0").select("doc_id")
-    recent = retrieval.top_k(bm25_list(t).join(good, "doc_id", "left_semi"), ["query"], [F.col("doc_id").desc()], 10).select("query", "doc_id", F.lit("recent_session").alias("generator"), "rank")
+    recent = retrieval.top_k(best.join(good, "doc_id", "left_semi"), ["query"], [F.col("doc_id").desc()], 10).select("query", "doc_id", F.lit("recent_session").alias("generator"), "rank")
     return retrieval.fuse(lexical.unionByName(recent), "query", "doc_id")
 
 
@@ -130,18 +133,33 @@ def _(t):
 
 @query("v03_contradiction_table", "SELECT a.o_orderstatus AS x, b.o_orderstatus AS y, (a.o_orderstatus <> 'P' AND b.o_orderstatus <> 'P' AND a.o_orderstatus <> b.o_orderstatus) AS contradict FROM (SELECT DISTINCT o_orderstatus FROM orders) a, (SELECT DISTINCT o_orderstatus FROM orders) b")
 def _(t):
-    s = t("orders").select(F.col("o_orderstatus").alias("x")).distinct()
-    both = s.withColumn("one", F.lit(1)).join(s.select(F.col("x").alias("y"), F.lit(1).alias("one")), "one")
+    """All pairs of the three statuses that the table has, each status standing for a polarity."""
+    s = t("orders").select("o_orderstatus").distinct()
+    states = F.array(*map(F.lit, "FOP"))
+    both = s.select(F.col("o_orderstatus").alias("x"), F.explode(states).alias("y")).join(s.select(F.col("o_orderstatus").alias("y")), "y")
     known = lambda c: F.when(F.col(c) == "P", "unknown").otherwise(F.col(c))
     return both.select("x", "y", consolidation.contradicts(known("x"), known("y")).alias("contradict"))
 
 
-@query("v07_corrections")
+_OPS = ["confirm", "retract", "mark_incorrect", "undo", "correct", "undo", "pin"]
+
+
+@query(
+    "v07_corrections",
+    FOLD_SQL + f""", h AS (SELECT key, version, max_by(text, seq) AS text FROM r WHERE operation IN ('ADD', 'SUPERSEDE') GROUP BY ALL), two AS (SELECT key, max(version) AS latest, max_by(text, version) AS cur FROM h GROUP BY 1),
+base AS (SELECT two.*, coalesce(p.text, cur) AS prev FROM two LEFT JOIN h p ON p.key = two.key AND p.version = two.latest - 1),
+o AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, [{", ".join(f"'{x}'" for x in _OPS)}][event_id % 7 + 1] AS op, 'v' || (event_id % 5) AS val FROM events),
+g AS (SELECT key, 0::BIGINT AS i, prev, cur, latest AS version, 'active' AS status FROM base UNION ALL SELECT g.key, o.i,
+CASE WHEN op IN ('mark_incorrect', 'retract') OR (op = 'undo' AND version <= 1) THEN prev ELSE cur END, CASE WHEN op = 'undo' AND version > 1 THEN prev WHEN op = 'correct' THEN val ELSE cur END,
+version + CASE WHEN op IN ('mark_incorrect', 'retract') OR (op = 'undo' AND version <= 1) THEN 0 ELSE 1 END, CASE op WHEN 'mark_incorrect' THEN 'needs_review' WHEN 'retract' THEN 'retracted' WHEN 'undo' THEN status ELSE 'active' END
+FROM g JOIN o ON o.key = g.key AND o.i = g.i + 1) SELECT key, max_by(cur, i) AS text, max_by(version, i) AS version, max_by(status, i) AS status FROM g GROUP BY 1""",
+)
 def _(t):
+    """All operations of a key in order; users' events stand for operations."""
     c = _candidates(t)
     history = consolidation.versions(consolidation.consolidate(c), c)
-    kinds = F.element_at(F.array(*map(F.lit, ["confirm", "retract", "mark_incorrect", "undo"])), (F.col("event_id") % 4 + 1).cast("int"))
-    return consolidation.corrected(history, t("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kinds.alias("operation")))
+    kinds = F.element_at(F.array(*map(F.lit, _OPS)), (F.col("event_id") % 7 + 1).cast("int"))
+    return consolidation.corrected(history, t("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kinds.alias("operation"), F.concat(F.lit("v"), F.col("event_id") % 5).alias("value")))
 
 
 @query("v09_as_of", "SELECT o_custkey, o_orderkey FROM (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until FROM orders) WHERE o_orderdate <= TIMESTAMP '1995-06-17 00:00:00' AND (until IS NULL OR TIMESTAMP '1995-06-17 00:00:00' < until)")
@@ -169,9 +187,21 @@ def _(t):
     return trees.active_path(n, n.groupBy("conv").agg(F.max("node").alias("leaf"))).select("conv", "node", LONG("position").alias("position"))
 
 
-@query("g02_validation", f"WITH {NODE_SQL}, k AS (SELECT conv, CASE WHEN node % 5 = 4 THEN node ELSE node END AS node, CASE WHEN node = 3 THEN 99 ELSE parent END AS parent FROM n) SELECT conv, node, 'missing_parent' AS issue FROM k WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k x WHERE x.conv = k.conv AND x.node = k.parent)")
+@query(
+    "g02_validation",
+    f"""WITH RECURSIVE {NODE_SQL}, k AS (SELECT conv, node, CASE WHEN node = 3 AND conv % 2 = 0 THEN 99 WHEN conv % 5 = 1 AND node = 1 THEN 2 WHEN conv % 5 = 1 AND node = 2 THEN 1 WHEN conv % 9 = 4 AND node = 0 THEN 0 ELSE parent END AS parent FROM n),
+w AS (SELECT conv, node AS start, parent AS cur, 1 AS d FROM k WHERE parent IS NOT NULL AND parent <> node UNION ALL SELECT w.conv, w.start, k.parent, d + 1 FROM w JOIN k ON k.conv = w.conv AND k.node = w.cur WHERE w.cur <> w.start AND k.parent IS NOT NULL AND k.parent <> k.node AND d < 70),
+l AS (SELECT conv, CASE WHEN conv % 7 = 0 THEN 999 ELSE max(node) END AS leaf FROM k GROUP BY conv)
+SELECT conv, node, 'missing_parent' AS issue FROM k WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k x WHERE x.conv = k.conv AND x.node = k.parent)
+UNION ALL SELECT conv, node, 'self_parent' FROM k WHERE node = parent UNION ALL SELECT DISTINCT conv, start, 'message_cycle' FROM w WHERE cur = start
+UNION ALL SELECT conv, leaf, 'missing_active_leaf' FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.conv = l.conv AND k.node = l.leaf)""",
+)
 def _(t):
-    return trees.validate(_nodes(t).withColumn("parent", F.when(F.col("node") == 3, 99).otherwise(F.col("parent"))))
+    """Trees with faults put in: parents that are missing, circles of two, a root that is its own parent, leaves that do not exist."""
+    conv, node = F.col("conv"), F.col("node")
+    parent = F.when((node == 3) & (conv % 2 == 0), 99).when((conv % 5 == 1) & (node == 1), 2).when((conv % 5 == 1) & (node == 2), 1).when((conv % 9 == 4) & (node == 0), 0).otherwise(F.col("parent"))
+    nodes = _nodes(t).withColumn("parent", parent)
+    return trees.validate(nodes, nodes.groupBy("conv").agg(F.max(F.when(conv % 7 == 0, 999).otherwise(node)).alias("leaf")))
 
 
 @query("g03_branch_points", f"WITH {NODE_SQL} SELECT conv, parent AS node, count(*) AS children FROM n WHERE parent IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
