@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import classify, recall, relational, rules, scalar, streams  # noqa: F401  (register their queries)
+from .plans import answers, classify, queues, recall, relational, rules, scalar, streams  # noqa: F401  (register their queries)
 
 flagship = recall.flagship
 

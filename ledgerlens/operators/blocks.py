@@ -57,7 +57,7 @@ def stale(built: DataFrame, now: DataFrame) -> DataFrame:
 def rolled_back(versions: DataFrame, targets: DataFrame) -> DataFrame:
     """A new version of each target block (block, to) with the body of version ``to``. versions: block, version, body."""
     last = versions.groupBy("block").agg(F.max("version").alias("last"))
-    picked = versions.join(targets, (versions["block"] == targets["block"]) & (versions["version"] == targets["to"])).select(versions["block"], "body", F.col("to").alias("restored_from"))
+    picked = versions.select("block", F.col("version").alias("restored_from"), "body").join(targets.select("block", F.col("to").alias("restored_from")), ["block", "restored_from"])
     return picked.join(last, "block").select("block", (F.col("last") + 1).alias("version"), "body", "restored_from")
 
 

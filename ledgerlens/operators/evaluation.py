@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,18 @@ def residue(tables: list[tuple[str, DataFrame, str, str]], fragments: DataFrame,
         part = hit.orderBy(key).limit(limit).select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def fragments_erased(rows: DataFrame, fragments: list[str], text: str) -> DataFrame:
+    """Rows whose text holds one of the fragments (a request's short list), with every occurrence overwritten."""
+    body = F.col(text)
+    hit = reduce(lambda a, b: a | b, (F.contains(body, F.lit(f)) for f in fragments))
+    return rows.where(hit).withColumn(text, reduce(lambda out, f: F.replace(out, F.lit(f), F.lit("[erased]")), fragments, body))
+
+
+def schema_diff(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """name, difference of the columns of two tables: same, missing, extra, or the change of type."""
+    want, have = dict(expected.dtypes), dict(found.dtypes)
+    rows = [(c, "missing" if c not in have else "same" if have[c] == k else f"type {k} -> {have[c]}") for c, k in want.items()]
+    rows += [(c, "extra") for c in have if c not in want]
+    return expected.sparkSession.createDataFrame(rows, "name string, difference string")

@@ -7,6 +7,7 @@ partial aggregation, and the only broadcast side is the one row of corpus statis
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,3 +108,18 @@ def packed(items: DataFrame, group: str, order: str, size: str, limit: int) -> D
     inside = lambda x: (x["after"].isNull() | (F.col("k") > x["after"])) & (x["upto"].isNull() | (F.col("k") < x["upto"])) & (F.col("s") <= x["left"])
     taken = F.coalesce(F.exists("spans", inside), F.lit(False))
     return rows.join(spans, same).select(F.col("g").alias(group), F.col("o").alias(order), F.col("s").alias(size), taken.alias("taken"))
+
+
+def reranked(best: DataFrame, order: Callable[[DataFrame], DataFrame], key: str, score: str) -> DataFrame:
+    """key, rank, reranked of a short list of candidates (one ranked list) after a reranker's ``key`` (column key, ascending).
+
+    A reranker that names what was not given to it, or leaves something out, is refused.
+    """
+    first = Window.orderBy(F.col(score).desc(), key)
+    ranked = checkpointed(best.select(key, F.row_number().over(first).cast("long").alias("rank")))
+    own = order(best)
+    odd = own.join(ranked.select(key), key, "left_anti").limit(1).count() + ranked.join(own.select(key), key, "left_anti").limit(1).count()
+    if odd:
+        raise ValueError("the reranker may only order what it was given")
+    again = Window.orderBy("key", "rank")
+    return ranked.join(own, key).select(key, "rank", F.row_number().over(again).cast("long").alias("reranked"))

@@ -150,11 +150,29 @@ def _(t):
     return ledger.run_available(ledger.numbered(s, "user_id", "event_id"), _folder(t))
 
 
-@query("x08_outbox_once", "SELECT count(DISTINCT event_id) AS delivered FROM events")
+@query("x08_outbox_once", "SELECT event_id, user_id FROM events")
 def _(t):
-    """A sink that writes a batch once and skips rows that an earlier batch delivered."""
-    s = _streamed(t)
-    return ledger.run_available(s.select("event_id"), _folder(t)).distinct().agg(F.count("*").alias("delivered"))
+    """All events are delivered by two runs of the stream, the second one without the first one's checkpoint; none arrives twice."""
+    folder = _folder(t)
+    rows = _streamed(t).select("event_id", "user_id")
+    ledger.deliver_once(rows, "event_id", folder, f"{folder}/first")
+    return ledger.deliver_once(rows, "event_id", folder, f"{folder}/second")
+
+
+@query("s18_live_capture", "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL")
+def _(t):
+    """Requests as a stream: of those with the same idempotency key (user and type) the first is captured."""
+    once = ledger.captured_once(_streamed(t).withColumn("key", F.concat_ws(":", "user_id", "event_type")), ["key"], "ts", "36500 days")
+    return ledger.run_available(once.select("user_id", "event_type"), _folder(t)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("s11_history_adapter", "SELECT conv_id::VARCHAR AS conv, turn::VARCHAR AS node, CASE WHEN turn > 0 THEN (turn - 1)::VARCHAR END AS parent, role, text, turn = max(turn) OVER (PARTITION BY conv_id) AS active FROM conversations")
+def _(t):
+    node = F.struct(F.col("turn").cast("string").alias("id"), "role", F.col("text").alias("content"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parentId"), F.lit(1700000000.0).alias("timestamp"))
+    g = t("conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), node))).alias("messages"), F.max("turn").cast("string").alias("leaf"))
+    history = F.struct(F.struct(F.col("leaf").alias("currentId"), "messages").alias("history"))
+    payload = _json(g.select(F.array(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("x").alias("title"), history.alias("chat"))).alias("v")))
+    return exports.read_history(payload).select("conv", "node", "parent", "role", "text", "active")
 
 
 @query("w04_idempotent_replay", "SELECT source, count(*) AS replays FROM (SELECT source, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents) WHERE n > 1 GROUP BY 1")

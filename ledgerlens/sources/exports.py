@@ -5,9 +5,14 @@ Adapters give one row for each message: conv, title, node, parent, role, text, c
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,3 +112,56 @@ def generated(spark: SparkSession, conversations: int, messages: int, branches:
     name: Column = F.when(F.col("i") == 0, F.lit("0-0")).otherwise(F.concat_ws("-", "branch", "i"))
     parent = F.when(F.col("i") == 1, "0-0").when(F.col("i") > 1, F.concat_ws("-", "branch", F.col("i") - 1))
     return m.select("conv", name.alias("node"), parent.alias("parent"), F.when(F.col("i") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("message "), "source", F.lit(" "), name).alias("text"))
+
+
+def json_records(lines: DataFrame, schema: str) -> DataFrame:
+    """The records of JSON text (column value) with the given DDL schema; what does not parse is left out, and so are blank lines."""
+    own = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rest = [c for c in lines.columns if c != "value"]
+    return lines.where(F.trim("value") != "").select(*rest, own.alias("r")).where("r is not null and r._corrupt is null").select(*rest, "r.*").drop("_corrupt")
+
+
+def read_json_files(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """JSON lines, or with ``whole`` one JSON value in each file; malformed records or files are skipped."""
+    text = spark.read.text(path, wholetext=whole)
+    return json_records(text, schema)
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Manual transcripts (.md, .txt): one row a file, with little confidence and no messages until someone reconstructs them."""
+    return transcripts(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+
+
+def transcripts(files: DataFrame) -> DataFrame:
+    title = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"^#+\s*", ""))
+    return files.select("path", title.alias("title"), F.lit(0.2).alias("confidence"), F.lit(0).alias("messages"), "text")
+
+
+MEMBER = T.StructType([T.StructField("archive", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("staged", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("role", T.StringType())])
+#: What a member is by the ending of its name.
+MEMBER_ROLES = {".json": "conversations", ".jsonl": "conversations", ".html": "activity", ".htm": "activity", ".md": "transcript", ".txt": "transcript"}
+
+
+def staged(archives: DataFrame) -> DataFrame:
+    """The members of ZIP archives (path, content, as the binaryFile source reads them) under neutral names, with size, digest and role.
+
+    A member is read in pieces, so its size does not matter; run ``archive_verdict`` on the metadata first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for i, m in enumerate(x for x in z.infolist() if not x.is_dir()):
+                        digest, size = hashlib.sha256(), 0
+                        with z.open(m) as f:
+                            while piece := f.read(1 << 20):
+                                digest.update(piece)
+                                size += len(piece)
+                        role = next((r for end, r in MEMBER_ROLES.items() if m.filename.lower().endswith(end)), "attachment")
+                        rows.append((path, i, m.filename, f"artifact-{i:06d}", size, digest.hexdigest(), role))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(MEMBER)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if f.name == "place" else pa.int64() if f.name == "size" else pa.string()) for c, f in zip(columns, MEMBER, strict=True)], names=MEMBER.names)
+
+    return archives.select("path", "content").mapInArrow(run, MEMBER)

@@ -81,6 +81,35 @@ def leases(events: DataFrame, job: str, time: str, seconds: int, late: str = "1
     return marked.groupBy(job).applyInPandasWithState(follow, f"{job} long, status string", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def deliver_once(stream: DataFrame, key: str, folder: str, checkpoint: str) -> DataFrame:
+    """Delivers the rows of a stream to a sink, each key once, and reads the sink.
+
+    A batch goes to a folder of its own number by overwriting, so that a batch that is tried again replaces itself; rows
+    that another batch has delivered are left out, so that a stream that starts over from a lost checkpoint adds nothing.
+    """
+    spark, schema, out = stream.sparkSession, stream.schema, f"{folder}/outbox"
+    written: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        own = f"{out}/run={checkpoint.rsplit('/', 1)[-1]}/batch={number}"
+        others = sent(lambda p: p != own)
+        rows = batch.dropDuplicates([key])
+        (rows.join(others.select(key), key, "left_anti") if others is not None else rows).write.mode("overwrite").parquet(own)
+        written.append(own)
+
+    def sent(which) -> DataFrame | None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(f"{out}/*/*")
+        found = [str(f.getPath()) for f in (where.getFileSystem(conf).globStatus(where) or [])]
+        here = [p for p in found if which(p) and which(p.replace("file:/", "file:///", 1))]
+        return spark.read.schema(schema).parquet(*here) if here else None
+
+    q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start()
+    q.awaitTermination()
+    done = sent(lambda p: True)
+    return done if done is not None else spark.createDataFrame([], schema)
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now into Parquet (append) with a checkpoint, and reads the result.
 
