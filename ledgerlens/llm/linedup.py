@@ -6,8 +6,9 @@ lines as well. So every stretch of ``span`` words has a cut line in it, cut
 lines depend on nothing but the lines near them, and a passage that moves to another place keeps its inner cuts. A chunk
 is a shortest run of whole lines that starts at a cut line, or ends with one, and holds ``min_words`` words. Rolling
 hashes (differences of prefix sums of hashed lines) name the chunks; the first occurrence by (doc_id, row, line) stays,
-and later ones go once their bytes equal the first one's. A passage of min_words + span words and a line more is found
-wherever it is; of shorter ones, those are lost whose only cut lines lie inside (see the README for shares by length).
+and later ones go once their bytes equal the first one's. A passage of min_words + span words (50 by default) and a
+line more is found wherever it is; of shorter ones, those are lost whose only cut lines lie inside (see the README for
+measured shares by length).
 A line that holds min_words words by itself is a chunk too, as a passage may stand in one line.
 
 A removed line always has an equal line at an earlier place, so one copy of every line text stays.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .hashing import U, mix, salt
 from .store import bucketed, dropped, saved, table
 
-MIN_WORDS, WINDOW, SPAN = 50, 2, 10
+MIN_WORDS, WINDOW, SPAN = 40, 2, 10
 #: Odd base of the rolling hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
