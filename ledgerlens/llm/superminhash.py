@@ -28,8 +28,8 @@ from .hashing import U, mix, salt, shingle_set
 from .store import dropped, saved, table
 
 SHINGLE, SHARE, BANDS, ROWS = 5, 75, 40, 5
-#: Hub rounds at most, pairs for each bucket row from which another round is worth it, and bucket rows that one task pairs.
-HUBS, FEW, CHUNK = 2, 1, 512
+#: Hub rounds at most, pairs for each bucket row from which another round is worth it, and bucket rows that a task pairs with.
+HUBS, FEW, CHUNK = 2, 1, 4096
 #: Standard deviations by which a full signature may fall below the similarity before a pair is taken for different.
 DOUBT = 3.3
 #: Elements that one vectorised signature step holds at once.
@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands
     compare the members of a bucket with one member of its largest component (at first the one with most bucket
     company, as an original among its edited copies has), while that leaves more than a few pairs to try. Then members
     that are still in different components and share two bands are compared pairwise, so a pair is left out only if
-    its ends are linked already; large buckets are dealt into pieces of CHUNK rows that meet two by two. At a similarity
-    of 0.75 two of 40 bands of 5 rows are shared with probability 0.9997.
+    its ends are linked already: those outside a bucket's largest component meet all its members, dealt into pieces of
+    CHUNK rows. At a similarity of 0.75 two of 40 bands of 5 rows are shared with probability 0.9997.
     """
     row = F.col(f"`{key}`").cast("long") if key else F.monotonically_increasing_id()
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"))
@@ -223,20 +223,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, share: int = SHARE, bands
     private = owned.groupBy("part").applyInArrow(_private, "node long, private long").groupBy("node").agg(F.sum("private").alias("private"))
     # shingles that no other open document has cannot be in an intersection
     common = last.join(private, "node", "left").select("node", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common")).where(F.col("common") * 100 >= share * F.col("n")).join(only.select("node", "bands", "slots"), "node")
-    rest = saved(open_.select("bucket", "all", "node", "n", "component").join(common, "node"), "rest")
-    # piece i of a bucket meets the pieces from i on; with its own, only in order of component
+    rest = saved(open_.select("bucket", "all", "lead", "node", "n", "component").join(common, "node"), "rest")
+    # pairs inside a bucket's largest component are no pairs to try: its other members meet all, which are dealt into pieces
     pieces = F.ceil(F.col("all") / CHUNK).cast("int")
-    dealt = rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int")).withColumn("pieces", pieces)
-    side = lambda frame, c, *more: frame.select("bucket", *more, *(F.col(x).alias(f"{x}_{c}") for x in ("piece", "node", "n", "component", "common", "bands", "slots")))
-    left = side(dealt.withColumn("meet", F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1))), "a", "meet")
-    right = side(dealt.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("piece")))), "b", "from")
+    side = lambda frame, c, *more: frame.select("bucket", *more, *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "component", "common", "bands", "slots")))
+    left = side(rest.where("component <> lead").withColumn("meet", F.explode(F.sequence(F.lit(0), pieces - 1))), "a", "meet")
+    right = side(rest.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int")).withColumn("is_lead", F.col("component") == F.col("lead")), "b", "piece", "is_lead")
     bands_both = F.array_intersect("bands_a", "bands_b")
     # a pair at the similarity has a union of (n_a + n_b) / (1 + J); 64 of the sum are 32 of half the sum and no more of that
     slots, j = bands * rows, share / 100
     least = [slots * (j - DOUBT * (j * (1 - j) / slots * min(1.0, variance_factor(slots, int(64 * (i + 1) / (1 + j)) + 1))) ** 0.5) for i in range(48)]
     alike = F.aggregate(F.zip_with("slots_a", "slots_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    met = (left.bucket == right.bucket) & (left.piece_a == right["from"]) & (left.meet == right.piece_b)
-    new = F.when(F.col("piece_a") == F.col("piece_b"), F.col("component_a") < F.col("component_b")).otherwise(F.col("component_a") != F.col("component_b"))
+    met = (left.bucket == right.bucket) & (left.meet == right.piece)
+    new = (F.col("component_a") != F.col("component_b")) & (F.col("is_lead") | (F.col("component_a") < F.col("component_b")))
     close = new & ((100 + share) * F.least("common_a", "common_b") >= share * (F.col("n_a") + F.col("n_b"))) & (F.size(bands_both) > 1) & (F.array_min(bands_both) == left.bucket) & (alike >= F.element_at(F.array(*map(F.lit, least)), F.least(F.floor((F.col("n_a") + F.col("n_b")) / 64) + 1, F.lit(len(least))).cast("int")))
     cross = left.join(right, met & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     final = _joined(found, verified(cross, texts, k, share))
