@@ -1,7 +1,8 @@
 """Connected components of an edge table, without collecting links anywhere.
 
-Each partition first folds its own edges with union-find into a forest (bounded by the partition), then
-min-label rounds over the forest shrink every component to a star. Rounds are written to the shared folder.
+Each partition first folds its own edges with union-find into a forest (bounded by the partition). Up to ``FEW`` edges of
+what is left are folded by one task in the same way, as they fit it; of more, rounds of large and small stars shrink every
+component to a star. Rounds are written to the shared folder and compared by count and hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from .store import dropped, saved
 
 
+#: Edges that one task folds at once.
+FEW = 300_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
@@ -35,7 +40,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def components(edges: DataFrame, label: str = "cc", few: int = FEW) -> DataFrame:
     """(node, component) for every node of ``edges`` (two long columns): component is the smallest node reachable.
 
     Rows with a null end and self-links add nothing. An empty table gives an empty table.
@@ -43,7 +48,10 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     x, y = edges.columns[:2]
     pairs = edges.select(F.col(x).cast("long").alias("a"), F.col(y).cast("long").alias("b")).where("a <> b")
     links = saved(pairs.mapInArrow(_forest, "a long, b long"), label)
-    while True:
+    if at_once := links.limit(few + 1).count() <= few:
+        links = saved(links.coalesce(1).mapInArrow(_forest, "a long, b long"), label)
+    seen = None
+    while not at_once:
         # large star: the neighbours above a node are hung on its smallest neighbour
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -53,10 +61,11 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = saved(small, label)
-        changed = new.exceptAll(links).limit(1).count() or links.exceptAll(new).limit(1).count()
+        mark = new.agg(F.count("*"), *(F.sum(F.xxhash64("a", "b", F.lit(i)).cast("decimal(38,0)")) for i in (1, 2))).first()
         dropped(large, links)
         links = new
-        if not changed:
+        if mark == seen:
             break
+        seen = mark
     roots = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

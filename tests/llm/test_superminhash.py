@@ -112,5 +112,7 @@ def test_signature_estimates_jaccard():
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long").repartition(7)
-    got = {r.node: r.component for r in components(edges).collect()}
-    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+    for few in (0, 10_000):
+        got = {r.node: r.component for r in components(edges, few=few).collect()}
+        assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+    assert components(edges.limit(0), few=0).count() == 0 and components(edges.limit(0)).count() == 0
