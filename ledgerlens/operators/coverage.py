@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import without_overlap
+
 
 def disposition() -> Column:
     """disposition and reasons of a unit with columns authorities (number), conflicting, ceiling, unresolved, durability,
@@ -62,15 +64,11 @@ def validated(units: DataFrame) -> DataFrame:
 
 
 def uncovered(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """(message, start, end) runs of tokens that no span covers; a covered token or a gap of other characters divides runs.
+    """message, start, end, tokens of the runs of neighbouring tokens that no span overlaps.
 
-    tokens: message, place, start, end. spans: message, start, end, which may overlap. One window over both by position
-    finds for each token how far the spans before it reach, so no token meets all spans.
+    tokens: message, place, start, end. spans: message, start, end, which may overlap each other.
     """
-    both = tokens.select("message", "place", "start", "end", F.lit(1).alias("token")).unionByName(spans.select("message", F.lit(None).cast("long").alias("place"), "start", "end", F.lit(0).alias("token")))
-    order = Window.partitionBy("message").orderBy("start", "token").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(F.col("token") == 0, F.col("end"))).over(order)
-    free = both.withColumn("reach", reach).where("token = 1 and (reach is null or reach <= start)").drop("reach", "token")
+    free = without_overlap(tokens.select("message", "place", "start", "end"), spans.select("message", "start", "end"), ["message"])
     run = Window.partitionBy("message").orderBy("place")
-    new = F.when(F.coalesce(F.col("place") - F.lag("place").over(run), F.lit(2)) == 1, 0).otherwise(1)
-    return free.withColumn("new", new).withColumn("run", F.sum("new").over(run)).groupBy("message", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tokens")).drop("run")
+    own = free.withColumn("run", F.col("place") - F.row_number().over(run))
+    return own.groupBy("message", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tokens")).drop("run")

@@ -279,6 +279,44 @@ def _(t):
     return t("documents").select("doc_id", items.alias("items"), F.when((F.length(F.trim(text)) >= 200) & (items >= 3), kind).alias("artifact"), F.when(user, 0.9).otherwise(0.62).alias("confidence"))
 
 
+_UNITS = """mm AS (SELECT conv_id * 1000 + turn AS message, text AS raw FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT message, i AS "at", CASE WHEN i = 4 AND message % 2 = 0 THEN 'u2' ELSE 'u' || i END AS id, 8 * i AS s, 8 * i + 10 AS e, length(raw) AS n FROM mm, range(0, 6) t(i)),
+r AS (SELECT message, "at", s, e, CASE WHEN "at" = 4 AND message % 2 = 0 AND n >= 26 THEN 'duplicate_unit_id' WHEN e > n THEN 'span_out_of_range' WHEN ("at" % 2 = 1 AND NOT ("at" = 5 AND message % 2 = 0)) THEN 'units_overlap' END AS reason FROM u)"""
+
+
+def units_of(t) -> DataFrame:
+    """Six units of ten characters in every message, each overlapping the one before; in some messages one repeats an id."""
+    m = t("conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), F.col("text").alias("raw"))
+    u = m.select("message", "raw", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("at")).withColumns({"start": F.col("at") * 8, "end": F.col("at") * 8 + 10})
+    id_ = F.when((F.col("at") == 4) & (F.col("message") % 2 == 0), "u2").otherwise(F.concat(F.lit("u"), "at"))
+    return u.withColumns({"id": id_, "evidence": F.expr("substring(raw, start + 1, 10)")})
+
+
+@query("c17_validated_units", f'WITH {_UNITS} SELECT message, "at", reason FROM r')
+def _(t):
+    from ..operators import coverage
+
+    return coverage.validated(units_of(t)).select("message", F.col("at"), "reason")
+
+
+@query("c18_uncovered_text", f"""WITH {_UNITS}, w AS (SELECT message, unnest(string_split(raw, ' ')) AS word, generate_subscripts(string_split(raw, ' '), 1) AS place FROM mm),
+p AS (SELECT message, place, sum(length(word) + 1) OVER (PARTITION BY message ORDER BY place) - length(word) - 1 AS s, sum(length(word) + 1) OVER (PARTITION BY message ORDER BY place) - 1 AS e FROM w),
+f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.message = p.message AND r.reason IS NULL AND r.s < p.e AND p.s < r.e)), g AS (SELECT *, place - row_number() OVER (PARTITION BY message ORDER BY place) AS run FROM f)
+SELECT message, min(s) AS start, max(e) AS "end", count(*) AS tokens FROM g GROUP BY message, run""")
+def _(t):
+    """Runs of blank-separated words that no accepted unit touches."""
+    from pyspark.sql import Window
+
+    from ..operators import coverage
+
+    u = units_of(t)
+    taken = coverage.validated(u).where("reason is null").select("message", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    words = t("conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), F.posexplode(F.split("text", " ")).alias("place", "word"))
+    so_far = F.sum(F.length("word") + 1).over(Window.partitionBy("message").orderBy("place"))
+    tokens = words.select("message", F.col("place").cast("long").alias("place"), (so_far - F.length("word") - 1).alias("start"), (so_far - 1).alias("end"))
+    return coverage.uncovered(tokens, taken)
+
+
 @query("c19_dispositions", """WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey % 23 = 0 AS missing, CASE WHEN l_suppkey % 13 = 0 THEN 'sensitive' ELSE 'normal' END AS ceiling, l_suppkey % 17 = 0 AS conflicting, l_partkey % 19 = 0 AS unresolved, ['durable', 'transient', 'context_only', 'unknown'][l_linenumber % 4 + 1] AS durability, ['statement', 'instruction', 'question'][l_partkey % 3 + 1] AS kind, ['asserted', 'hypothetical', 'unknown'][CASE WHEN l_quantity > 10 THEN 1 WHEN l_quantity > 5 THEN 2 ELSE 3 END] AS epistemic, l_returnflag <> 'R' AS supported FROM lineitem)
 SELECT disposition, reason, count(*) AS n FROM (SELECT CASE WHEN missing OR conflicting OR ceiling <> 'normal' THEN 'needs_review' WHEN unresolved THEN 'unresolved_reference' WHEN durability = 'context_only' THEN 'context_only' WHEN kind = 'instruction' AND durability = 'transient' THEN 'transient_instruction' WHEN kind = 'question' OR epistemic = 'hypothetical' THEN 'context_only' WHEN durability = 'unknown' OR epistemic = 'unknown' THEN 'needs_review' WHEN NOT supported OR durability <> 'durable' THEN 'unsupported' ELSE 'durable_candidate' END AS disposition,
 CASE WHEN missing THEN 'missing_persisted_authority' WHEN conflicting AND ceiling <> 'normal' THEN 'conflicting_persisted_authority,privacy_or_sensitivity_ceiling' WHEN conflicting THEN 'conflicting_persisted_authority' WHEN ceiling <> 'normal' THEN 'privacy_or_sensitivity_ceiling' WHEN unresolved THEN 'ambiguous_or_unresolved_reference' WHEN durability = 'context_only' THEN 'context_only' WHEN kind = 'instruction' AND durability = 'transient' THEN 'transient_instruction' WHEN kind = 'question' OR epistemic = 'hypothetical' THEN 'non_asserted_or_question' WHEN durability = 'unknown' OR epistemic = 'unknown' THEN 'unknown_durability_or_epistemic_status' WHEN NOT supported THEN 'route_mapping_unsupported' WHEN durability <> 'durable' THEN 'durability_not_candidate_eligible' ELSE 'durable_policy_eligible' END AS reason FROM u) GROUP BY ALL""")
