@@ -211,6 +211,11 @@ def _(t):
     return drafts(t).groupBy("kind", R.looked_up(F.col("kind"), R.TYPE_IMPORTANCE, 0.6).alias("importance")).agg(F.count("*").alias("n"))
 
 
+@query("c12_polarity", f"{SQL} SELECT conv_id, turn, CASE WHEN len(words) = 0 THEN 'unknown' WHEN regexp_matches(plain, {_q(U.phrase_pattern(U.NEGATIONS + U.CONTRACTIONS))}) OR len(list_filter(words, lambda w: starts_with(w, {_q(U.NEGATION_PREFIX)}))) > 0 THEN 'negated' ELSE 'affirmed' END AS polarity FROM m")
+def _(t):
+    return messages(t).select(*KEYS, U.polarity_udf("raw")["polarity"].alias("polarity"))
+
+
 @query("c13_hypothetical", f"{SQL} SELECT conv_id, turn, regexp_matches(plain, {_q(U.phrase_pattern(U.SUPPOSITIONS))}) AS hypothetical FROM m")
 def _(t):
     return messages(t).select(*KEYS, U.has(F.col("plain"), U.SUPPOSITIONS).alias("hypothetical"))

@@ -67,7 +67,7 @@ def _(t):
     return t("documents").select("doc_id", U.normalized(F.col("text")).alias("text"))
 
 
-@query("f06_tokens")
+@query("f06_tokens", "SELECT conv_id, turn, coalesce(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}]*')), 0) AS tokens FROM conversations")
 def _(t):
     return t("conversations").select("conv_id", "turn", F.coalesce(F.size(U.words(F.col("text"))), F.lit(0)).cast("long").alias("tokens"))
 
@@ -96,16 +96,11 @@ def _(t):
     return b.select("doc_id", of("prose"), of("code"))
 
 
-@query("f20_label")
+@query("f20_label", "SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS label FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", U.label_udf("n_name").alias("label"))
 
 
-@query("c12_polarity")
-def _(t):
-    return t("conversations").select("conv_id", "turn", U.polarity_udf("text")["polarity"].alias("polarity"))
-
-
 def _streamed(t) -> DataFrame:
     """The events as a file stream, with an event time that has a zone."""
     e = t("events")
