@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,19 +166,29 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first, [*first[1:], len(x)], strict=False))
 
 
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unpacked(x: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x.as_buffer())
+
+
 def _gram_blobs(shard: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(shard, kind="stable")
     parts = [order[x:y] for x, y in _runs(shard[order])]
-    cells = [[shard[p[0]] for p in parts], *([x[p].tobytes() for p in parts] for x in (context, word)), [_narrow(times[p]).tobytes() for p in parts]]
+    # contexts come in order, so their differences are small numbers
+    steps = lambda p: np.diff(context[p].astype(U), prepend=U(0))
+    cells = [[shard[p[0]] for p in parts], *([packed(x(p)) for p in parts] for x in (steps, lambda p: word[p], lambda p: _narrow(times[p])))]
     return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cells[1:])], names=["shard", "context", "word", "times"])
 
 
 def _gram_read(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for c, w, t in zip(group.column("context"), group.column("word"), group.column("times"), strict=True):
-        context, word = np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.uint32)
-        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(t.as_buffer()) // max(1, len(word))]
-        parts.append((context, word, np.frombuffer(t.as_buffer(), kind).astype(np.int64)))
+        context, word, own = np.cumsum(np.frombuffer(unpacked(c), np.uint64), dtype=np.uint64), np.frombuffer(unpacked(w), np.uint32), unpacked(t)
+        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(own) // max(1, len(word))]
+        parts.append((context, word, np.frombuffer(own, kind).astype(np.int64)))
     return _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -466,11 +477,13 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
     three = saved(text.mapInArrow(trigrams, GRAMS).groupBy("shard").applyInArrow(contexts, FOLD), "lm-trigrams")
     rows = _hot_rows(three).mapInArrow(numbered, "shard long, context long, s0 long, s1 long, s2 long, s3 long")
     rows.groupBy("shard").applyInArrow(apart_sums, "n long").agg(F.sum("n")).collect()
+    stats = [_sums(three)]
     two = saved(cells(three).applyInArrow(pairs, FOLD), "lm-pairs")
+    dropped(three)
     heads = {r.context: [r.s0, r.s1, r.s2, r.s3] for r in _hot_rows(two).collect()}
     below = _sums(cells(two).applyInArrow(singles, STATS))
-    stats = [below, _sums(two), _sums(three)]
-    dropped(three, two)
+    stats = [below, _sums(two), *stats]
+    dropped(two)
     discounts = [_discounts(x[2:]) for x in stats]
     mass = sum(d * x for d, x in zip(discounts[0], (below[2], below[3], below[0] - below[2] - below[3]), strict=True)) / below[1] if below[1] else 1.0
     hot_sums = np.array([heads.get(int(h), [0, 0, 0, 0]) for h in hot.view(np.int64)], np.float64).reshape(len(hot), 4)
