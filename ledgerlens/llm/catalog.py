@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, linedup, lm, packing, resample, superminhash, toxicity, vectorgraph
+from . import chat, decontaminate, fim, licenses, linedup, lm, packing, resample, spelling, superminhash, toxicity, urlfilter, vectorgraph
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
             lm.op8_kneser_ney,
             chat.op9_event_chat,
             linedup.op10_line_chunks,
+            urlfilter.op11_url_sweep,
+            spelling.op12_half_dictionaries,
+            fim.op13_chunked_fim,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_dice": licenses.SQL, "op9_event_chat": chat.SQL}
+    return {"op5_license_dice": licenses.SQL, "op9_event_chat": chat.SQL, "op11_url_sweep": urlfilter.SQL, "op13_chunked_fim": fim.SQL}
