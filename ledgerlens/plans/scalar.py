@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, times
+from ..operators import substrings
 from ..registry import query
 
 D = lambda c: F.col(c).cast("double")
@@ -87,13 +88,14 @@ def _(t):
 
 @query(
     "f33_query_relevance",
-    "SELECT item_id, doc_id, greatest(0.25::DOUBLE, least(1.0::DOUBLE, len(list_filter(q, lambda w: contains(lower(d.text), w))) / len(q)::DOUBLE)) AS relevance FROM documents d JOIN labels USING (doc_id) JOIN (SELECT item_id, item_id % 7 AS b, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 2)[1:5] AS q FROM benchmark) ON b = d.doc_id % 7 WHERE quality = 0 AND len(q) > 0",
+    r"""WITH q AS (SELECT item_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_؀-ۿ][\p{L}\p{N}_\-؀-ۿ]+'), lambda w: length(w) > 2), lambda w: lower(w))) AS terms FROM benchmark),
+    d AS MATERIALIZED (SELECT doc_id, lower(text) AS low FROM documents)
+    SELECT item_id, doc_id, len(list_filter(terms, lambda w: contains(low, w)))::BIGINT AS overlap, len(list_filter(terms, lambda w: contains(low, w))) / len(terms)::DOUBLE AS relevance FROM d, q
+    WHERE len(list_filter(terms, lambda w: contains(low, w))) * 4 > len(terms)""",
 )
 def _(t):
-    terms = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2), 1, 5)
-    q = t("benchmark").select("item_id", terms.alias("q"), (F.col("item_id") % 7).alias("b")).where(F.size("q") > 0)
-    d = t("documents").join(t("labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", (F.col("doc_id") % 7).alias("b"))
-    return d.join(q, "b").select("item_id", "doc_id", text.relevance(F.col("q"), F.col("text")).alias("relevance"))
+    """Every item against every document; pairs that are left out have the least relevance."""
+    return substrings.relevance(t("benchmark"), t("documents"), "item_id", "doc_id")
 
 
 @query("f36_safe_file_name", "SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9._ \\-]', '_', 'g'), 180) AS name FROM pages")
