@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ijson
+from ..functions import sentence_units as S
 from ..functions import unicode_text as U
 from ..operators import sets
 from ..registry import query
@@ -14,6 +16,10 @@ from ..sources import exports
 from ..streaming import ledger
 
 
+#: Fixed value: the namespace of URLs.
+URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
 def _json(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit("conversations").alias("path"), F.to_json("v").alias("value"))
 
@@ -96,6 +102,15 @@ def _(t):
     return b.select("doc_id", of("prose"), of("code"))
 
 
+@query("f16_sentence_units")
+def _(t):
+    """Sentence units of all documents by lines, with ids made of the document, the place and the unit's digest."""
+    each = t("documents").select("doc_id", "text", F.posexplode(S.sentence_units_udf("text")).alias("at", "u"))
+    cut = each.select("doc_id", (F.col("at") + 1).alias("place"), "u.*", F.expr("substring(text, u.start + 1, u.end - u.start)").alias("sentence"))
+    name = F.concat_ws(":", F.lit("unit"), "doc_id", "place", F.sha2("sentence", 256))
+    return cut.withColumns({"script": S.script(F.col("sentence")), "unit_id": ijson.uuid5(URL_NAMESPACE, name)})
+
+
 @query("f20_label", "SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS label FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", U.label_udf("n_name").alias("label"))
