@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import ijson
 from ..functions import sentence_units as S
 from ..functions import unicode_text as U
-from ..operators import sets
+from ..operators import lexicons, sets
 from ..registry import query
 from ..sources import exports
 from ..streaming import ledger
@@ -111,6 +112,38 @@ def _(t):
     return cut.withColumns({"script": S.script(F.col("sentence")), "unit_id": ijson.uuid5(URL_NAMESPACE, name)})
 
 
+def _lexicons(t) -> DataFrame:
+    """The fixed lexicons, and a large one of the clauses of the benchmark's items (a phrase has no marks inside) of three words and more."""
+    fixed = {"negation": U.NEGATIONS + U.CONTRACTIONS, "supposition": U.SUPPOSITIONS, "deictic": U.DEICTICS}
+    rows = t("benchmark").sparkSession.createDataFrame([(name, p) for name, ps in fixed.items() for p in ps], "lexicon string, phrase string")
+    clauses = t("benchmark").select(F.lit("benchmark").alias("lexicon"), F.explode(F.split("text", r"[^\p{L}\p{N}\p{M} ]+")).alias("phrase"))
+    return rows.unionByName(clauses.where(F.trim("phrase").rlike(r"\S+ +\S+ +\S+")))
+
+
+@query("f12_lexicon_hits")
+def _(t):
+    """All lexicons over all documents: hits that do not overlap, the first one's raw span and text."""
+    d = t("documents").select("doc_id", "text")
+    found = lexicons.find(d, "doc_id", "text", _lexicons(t)).groupBy("doc_id", "lexicon").agg(F.count("*").alias("hits"), F.min(F.struct("start", "end")).alias("first"))
+    cut = F.expr("substring(text, first.start + 1, first.end - first.start)")
+    return found.join(d, "doc_id").select("doc_id", "lexicon", "hits", "first.start", "first.end", cut.alias("evidence"))
+
+
+@query("f09_all_phrases")
+def _(t):
+    """Every negation of every message with its raw span, those that do not overlap."""
+    m = t("conversations").select(F.struct("conv_id", "turn").alias("message"), "text")
+    return lexicons.find(m, "message", "text", _lexicons(t).where("lexicon = 'negation'")).select("message.*", "phrase", "start", "end")
+
+
+@query("k07_overlaps")
+def _(t):
+    """Of all hits in each document, overlapping ones too, how many are kept as leftmost and longest."""
+    found = checkpointed(lexicons.all_hits(t("documents").select("doc_id", "text"), "doc_id", "text", _lexicons(t)))
+    kept = lexicons.resolved(found, "doc_id").groupBy("doc_id", "lexicon").agg(F.count("*").alias("kept"))
+    return found.groupBy("doc_id", "lexicon").agg(F.count("*").alias("hits")).join(kept, ["doc_id", "lexicon"])
+
+
 @query("f20_label", "SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS label FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", U.label_udf("n_name").alias("label"))
