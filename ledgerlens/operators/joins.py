@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The grid width of versions that are still open.
+OPEN = 127
+
+
 def latest(children: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first child of each key in the given order. A total order makes the choice reproducible."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -88,3 +92,29 @@ def longest_rule_first(rows: DataFrame, name: str, rules: DataFrame) -> DataFram
     """The first rule (by ``rule_order``) whose prefix begins the name. rules must be a small fixed table; it is broadcast."""
     met = rows.join(F.broadcast(rules), F.col(name).startswith(F.col("prefix")), "left")
     return latest(met, rows.columns, [F.col("rule_order").asc_nulls_last()])
+
+
+def as_of(probes: DataFrame, versions: DataFrame, key: str) -> DataFrame:
+    """All pairs of a probe and a version of its key that was valid at ``valid_at`` as it was known at ``known_at``.
+
+    probes: key, valid_at, known_at and more. versions: key, valid_from, valid_until, known_from, known_until (times; an
+    end that is null is open) and more; no other name may be on both sides. A version holds for [from, until) on both
+    axes; one whose end is not after its start holds never. Null keys and null times meet nothing.
+
+    Versions are laid on a grid of their known interval's own width: cells as wide as the next power of two seconds, of
+    which an interval touches two or three. A probe looks into one cell of each width that occurs. So a key with very
+    many versions is spread over cells, and no probe meets those of another time.
+    """
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    width = F.when(F.col("known_until").isNull(), F.lit(OPEN)).otherwise(F.ceil(F.log2(F.greatest(seconds("known_until") - seconds("known_from"), F.lit(1.0)))).cast("int"))
+    cell = lambda c, w: F.when(w == OPEN, F.lit(0).cast("long")).otherwise(F.floor(c / F.pow(F.lit(2.0), w)).cast("long"))
+    held = versions.where("(valid_until is null or valid_until > valid_from) and (known_until is null or known_until > known_from) and known_from is not null").withColumn("_width", width)
+    first, last = cell(seconds("known_from"), F.col("_width")), cell(F.coalesce(seconds("known_until"), F.lit(0.0)), F.col("_width"))
+    laid = held.withColumn("_cell", F.explode(F.sequence(first, last)))
+    widths = [r[0] for r in held.select("_width").distinct().collect()]  # a few dozen at most: powers of two
+    if not widths:
+        widths = [OPEN]
+    asked = probes.withColumn("_width", F.explode(F.array(*map(F.lit, widths)))).withColumn("_cell", cell(seconds("known_at"), F.col("_width")))
+    met = asked.join(laid, [key, "_width", "_cell"])
+    inside = [(F.col(f"{a}_from") <= F.col(f"{a}_at")) & (F.col(f"{a}_until").isNull() | (F.col(f"{a}_at") < F.col(f"{a}_until"))) for a in ("valid", "known")]
+    return met.where(inside[0] & inside[1]).drop("_width", "_cell")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
-from ..operators import consolidation, evaluation, retrieval, trees
+from ..checkpoints import checkpointed, shared_folder
+from ..operators import consolidation, evaluation, joins, retrieval, segments, trees
 from ..registry import query
 
 LONG = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
@@ -39,6 +41,24 @@ def _(t):
     return retrieval.postings(t("documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
+@query(
+    "r04_incremental_index",
+    f"""WITH f AS (SELECT doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'restored ' || text WHEN toxic = 1 THEN NULL WHEN quality = 0 THEN text || ' revised' ELSE text END AS text FROM documents LEFT JOIN labels USING (doc_id)),
+    d AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM f), p AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY 1""",
+)
+def _(t):
+    """The index after deletions, new texts, a merge and documents that come back, by segments."""
+    d = t("documents").select("doc_id", "text")
+    labelled = d.join(t("labels"), "doc_id")
+    index = segments.SegmentedIndex(d.sparkSession, f"{shared_folder(d.sparkSession)}/index-{uuid.uuid4().hex}", "doc_id")
+    index.rebuild(d)
+    changed = labelled.where("toxic = 1 or quality = 0")
+    index.append(changed.select("doc_id", F.concat("text", F.lit(" revised")).alias("text"), (F.col("toxic") == 1).alias("deleted")))
+    index.merge()
+    index.append(labelled.where("toxic = 1 and quality = 1").select("doc_id", F.concat(F.lit("restored "), "text").alias("text"), F.lit(False).alias("deleted")))
+    return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @query("r03_bm25_top20", f"WITH {BM_SQL} SELECT query, doc_id, rank FROM bm")
 def _(t):
     return bm25_list(t).select("query", "doc_id", "rank")
@@ -171,6 +191,26 @@ def _(t):
     return o.where(as_of(F.col("o_orderdate"), F.col("until"), F.lit("1995-06-17").cast("timestamp"))).select("o_custkey", "o_orderkey")
 
 
+_VERSIONS = """SELECT user_id, event_id AS version, ts - INTERVAL (event_id % 36) HOUR AS valid_from, CASE WHEN event_id % 11 <> 0 THEN ts - INTERVAL (event_id % 36) HOUR + INTERVAL (12 * (1 + event_id % 5)) HOUR END AS valid_until,
+    ts AS known_from, lead(ts, 2) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS known_until FROM events"""
+
+
+@query(
+    "v09_bitemporal",
+    f"WITH v AS ({_VERSIONS}), p AS (SELECT user_id, event_id AS probe, ts - INTERVAL 6 HOUR AS valid_at, ts + INTERVAL 30 MINUTE AS known_at FROM events) SELECT probe, version FROM p JOIN v USING (user_id) WHERE valid_from <= valid_at AND (valid_until IS NULL OR valid_at < valid_until) AND known_from <= known_at AND (known_until IS NULL OR known_at < known_until)",
+)
+def _(t):
+    """Every event asks what was valid six hours before it, as it was known half an hour after it."""
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    hours = lambda n: F.make_dt_interval(hours=n)
+    since = F.col("ts") - hours((F.col("event_id") % 36).cast("int"))
+    until = F.when(F.col("event_id") % 11 != 0, since + hours((12 * (1 + F.col("event_id") % 5)).cast("int")))
+    later = F.lead("ts", 2).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    v = e.select("user_id", F.col("event_id").alias("version"), since.alias("valid_from"), until.alias("valid_until"), F.col("ts").alias("known_from"), later.alias("known_until"))
+    p = e.select("user_id", F.col("event_id").alias("probe"), (F.col("ts") - F.expr("INTERVAL 6 HOURS")).alias("valid_at"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("known_at"))
+    return joins.as_of(p, v, "user_id").select("probe", "version")
+
+
 def _nodes(t):
     """Turns as a tree: every third turn hangs two levels up, so conversations branch."""
     c = t("conversations")
