@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed, shared_folder
-from ..operators import consolidation, evaluation, joins, retrieval, segments, trees
+from ..operators import consolidation, evaluation, joins, retrieval, segments, trees, vectors
 from ..registry import query
 
 LONG = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
@@ -64,10 +64,10 @@ def _(t):
     return bm25_list(t).select("query", "doc_id", "rank")
 
 
-@query(
-    "r05_vector_top20",
-    "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS ver, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query, ver, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ver) AS rank FROM s) WHERE rank <= 20",
-)
+R05_SQL = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS ver, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query, ver, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ver) AS rank FROM s) WHERE rank <= 20"
+
+
+@query("r05_vector_top20", R05_SQL)
 def _(t):
     """Queries are the vectors whose id 20 divides, against all vectors of their scope."""
     from ..functions.scoring import cosine
@@ -78,6 +78,14 @@ def _(t):
     return retrieval.top_k(s.select("query", "ver", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score")), ["query"], [F.col("score").desc(), F.col("ver")], 20)
 
 
+@query("r05_pruned_search", R05_SQL)
+def _(t):
+    """The same as r05_vector_top20 by shards; those that cannot hold one of the 20 best are skipped."""
+    e = t("embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = e.where("id % 20 = 0").select("scope", F.col("id").alias("query"), "vec")
+    return vectors.PivotSearch(e).search(q, 20).select("query", F.col("id").alias("ver"), "score", "rank")
+
+
 @query("r07_recency_top10", "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 10")
 def _(t):
     return retrieval.top_k(t("events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 10).select("user_id", "event_id", "rank")
