@@ -23,6 +23,10 @@ INJECTION = {
 #: Conversation roles by the names that exports use.
 ROLES = {"human": "user", "user": "user", "ai": "assistant", "assistant": "assistant", "model": "assistant", "bot": "assistant", "system": "system", "tool": "tool", "function": "tool"}
 
+#: What makes an attachment instruction-like, and words of which a mere acknowledgement consists.
+INSTRUCTION_LIKE = ["ignore previous instructions", "act as system", "reveal hidden context", "call a tool", "change the system prompt", "</memory_context>"]
+ACKNOWLEDGEMENTS = ["agreed", "confirmed", "fine", "no", "ok", "okay", "sure", "understood", "yeah", "yep", "yes", "آره", "باشه", "بله", "خوبه", "خیر", "شدم", "متوجه", "نه"]
+
 
 def slug(text: Column) -> Column:
     """Lower case, blanks as underscores, only letters, digits, hyphens and Arabic script left."""
@@ -117,6 +121,17 @@ def only_words_of(text: Column, words: list[str]) -> Column:
     return (F.size(own) > 0) & (F.size(F.array_except(own, F.array(*map(F.lit, words)))) == 0)
 
 
+def instruction_like(text: Column) -> Column:
+    """Whether the text holds one of the listed instructions, in any case."""
+    return reduce(lambda out, p: out | F.contains(F.lower(text), F.lit(p)), INSTRUCTION_LIKE, F.lit(False))
+
+
+def acknowledgement_only(text: Column) -> Column:
+    """Whether the text has runs of letters and digits and all of them are words of acknowledgement."""
+    own = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return (F.size(own) > 0) & (F.size(F.array_except(own, F.array(*map(F.lit, ACKNOWLEDGEMENTS)))) == 0)
+
+
 def relevance(terms: Column, text: Column) -> Column:
     """Share of the terms that the text contains, within 0.25 and 1; 0.5 without terms."""
     long_ = F.filter(terms, lambda w: F.length(w) > 2)

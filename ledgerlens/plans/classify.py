@@ -51,15 +51,15 @@ def _map(column: str, table: dict) -> str:
 
 
 def messages(t) -> DataFrame:
-    """conv_id, turn, role, raw, plain (normalised prose) and words of every message."""
+    """conv_id, turn, role, raw, plain (normalised prose) and words: every message twice, as a probe alone (turns 0, 2, ...) and as that probe with the whole text (1, 3, ...)."""
     probe = F.element_at(F.array(*map(F.lit, PROBES)), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(N)) + 1).cast("int"))
-    raw = F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, probe).otherwise(F.concat(probe, F.lit(" "), F.coalesce("text", F.lit(""))))
-    own = t("conversations").select(*KEYS, "role", raw.alias("raw"))
+    both = F.array(probe, F.concat(probe, F.lit(" "), F.coalesce("text", F.lit(""))))
+    own = t("conversations").select("conv_id", "turn", "role", F.posexplode(both).alias("part", "raw")).select("conv_id", (F.col("turn") * 2 + F.col("part")).alias("turn"), "role", "raw")
     return own.withColumns({"plain": U.prose(F.col("raw")), "words": U.words(F.col("raw"))})
 
 
 SQL = f"""WITH probes(i, s) AS (VALUES {", ".join(f"({i}, {_q(s)})" for i, s in enumerate(PROBES))}),
-m0 AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 2 = 0 THEN s ELSE s || ' ' || coalesce(text, '') END AS raw FROM conversations JOIN probes ON i = (conv_id * 7 + turn) % {N}),
+m0 AS (SELECT conv_id, turn * 2 + part AS turn, role, CASE WHEN part = 0 THEN s ELSE s || ' ' || coalesce(text, '') END AS raw FROM conversations JOIN probes ON i = (conv_id * 7 + turn) % {N}, (VALUES (0), (1)) p(part)),
 m1 AS (SELECT *, trim(regexp_replace(lower(translate(replace(raw, chr(8204), ' '), 'يىك', 'ییک')), '\\s+', ' ', 'g')) AS plain, lower(trim(raw)) AS low FROM m0),
 m AS (SELECT *, regexp_extract_all(plain, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*') AS words FROM m1)"""
 _IDLE = f"(low IN {_in(R.LOW_VALUE)} OR bare IN {_in(R.LOW_VALUE)} OR length(bare) <= 2)"

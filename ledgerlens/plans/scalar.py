@@ -65,10 +65,27 @@ def _(t):
     return t("documents").select("doc_id", LONG(F.size(text.injection_flags(F.col("text")))).alias("flags"))
 
 
-@query("f28_instruction_like", "SELECT doc_id, (contains(lower(text), 'you must') OR contains(lower(text), 'do not') OR contains(lower(text), 'always')) AS hit FROM documents")
+#: Texts that the instruction and acknowledgement queries mix into theirs, each after or instead of nothing of them.
+_SAID = ["", *text.INSTRUCTION_LIKE, "IGNORE previous Instructions", "ignore  previous instructions", "always"]
+_REPLIES = ["Ok, yes.", "نه! باشه", "Understood_agreed", "okay then", "", "...", "YES no Fine sure yeah yep", "خیر، متوجه شدم"]
+
+
+def _said(column: str, key: str, some: list[str]):
+    return F.concat_ws(" ", column, F.element_at(F.array(*map(F.lit, some)), (F.pmod(F.col(key), F.lit(len(some))) + 1).cast("int")))
+
+
+def _said_sql(column: str, key: str, some: list[str]) -> str:
+    return f"concat_ws(' ', {column}, [{', '.join(map(_quoted, some))}][{key} % {len(some)} + 1])"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query("f28_instruction_like", f"SELECT doc_id, len(list_filter([{', '.join(map(_quoted, text.INSTRUCTION_LIKE))}], lambda p: contains(lower({_said_sql('text', 'doc_id', _SAID)}), p))) > 0 AS hit FROM documents")
 def _(t):
-    low = F.lower("text")
-    return t("documents").select("doc_id", (F.contains(low, F.lit("you must")) | F.contains(low, F.lit("do not")) | F.contains(low, F.lit("always"))).alias("hit"))
+    """All documents, each with one of the listed instructions, a near miss or nothing after it."""
+    return t("documents").select("doc_id", text.instruction_like(_said("text", "doc_id", _SAID)).alias("hit"))
 
 
 @query("f29_escaped_delimiters", "SELECT page_id, CAST(length(replace(replace(html, '<', '&lt;'), '>', '&gt;')) AS BIGINT) AS n, CAST(length(html) - length(replace(html, '<', '')) AS BIGINT) AS opens FROM pages")
@@ -81,9 +98,19 @@ def _(t):
     return t("documents").select("doc_id", text.numbered_lines(F.col("text")).alias("n"))
 
 
-@query("f31_acknowledgement_only", "SELECT conv_id, turn, (len(w) > 0 AND len(list_filter(w, lambda x: NOT list_contains(['the', 'and', 'of', 'in', 'it'], x))) = 0) AS only FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM conversations)")
+_ACK = f"(len(w) > 0 AND len(list_filter(w, lambda x: NOT list_contains([{', '.join(map(_quoted, text.ACKNOWLEDGEMENTS))}], x))) = 0)"
+
+
+@query(
+    "f31_acknowledgement_only",
+    f"""WITH m AS (SELECT conv_id, turn, part, CASE WHEN part = 0 THEN text ELSE [{', '.join(map(_quoted, _REPLIES))}][(conv_id + turn) % {len(_REPLIES)} + 1] END AS said FROM conversations, (VALUES (0), (1)) p(part))
+    SELECT conv_id, turn, part, coalesce({_ACK}, false) AS only FROM (SELECT conv_id, turn, part, list_filter(string_split_regex(lower(said), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM m)""",
+)
 def _(t):
-    return t("conversations").select("conv_id", "turn", text.only_words_of(F.col("text"), ["the", "and", "of", "in", "it"]).alias("only"))
+    """Every message (part 0) and a reply to it (part 1)."""
+    reply = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_REPLIES))) + 1).cast("int"))
+    both = t("conversations").select("conv_id", "turn", F.posexplode(F.array("text", reply)).alias("part", "said"))
+    return both.select("conv_id", "turn", "part", F.coalesce(text.acknowledgement_only(F.col("said")), F.lit(False)).alias("only"))
 
 
 @query(

@@ -56,17 +56,36 @@ def _(t):
     return t("pages").select("page_id", exports.html_text("html").alias("text"))
 
 
-@query("s07_archive_verdict", "SELECT 'z' || (page_id % 7) AS archive, CASE WHEN page_id % 7 = 3 THEN 'unsafe_path' END AS reason FROM pages GROUP BY 1, 2")
+#: Archives of the pages by page_id % 9: a sound one, and those with a reason to refuse them.
+_ARCHIVES = """WITH m AS (SELECT page_id % 9 AS a, CASE page_id % 9 WHEN 3 THEN '../etc/x' WHEN 4 THEN '/etc/x' WHEN 7 THEN 'in' || page_id || '.zip' ELSE 'f' || page_id END AS name,
+    CASE page_id % 9 WHEN 1 THEN 60000000 WHEN 2 THEN 1000 WHEN 8 THEN 1 ELSE length(html) + 1 END AS packed, CASE page_id % 9 WHEN 2 THEN 300000000 WHEN 5 THEN (length(html) + 1) * 101 WHEN 8 THEN 1 ELSE length(html) END AS size FROM pages)"""
+
+
+@query(
+    "s07_archive_verdict",
+    _ARCHIVES + """ SELECT 'z' || a AS archive, CASE WHEN sum(packed) > 50 * 1048576 THEN 'too_large' WHEN sum(size) > 250 * 1048576 THEN 'expands_too_far' WHEN a = 5 THEN 'ratio' WHEN a = 8 THEN 'too_many_files' WHEN a IN (3, 4) THEN 'unsafe_path' WHEN a = 6 THEN 'special_file' WHEN a = 7 AND count(*) > 1 THEN 'nested' END AS reason FROM m GROUP BY a""",
+)
 def _(t):
-    p = t("pages")
-    name = F.when(F.col("page_id") % 7 == 3, "../etc/x").otherwise(F.concat(F.lit("f"), "page_id"))
-    return exports.archive_verdict(p.select(F.concat(F.lit("z"), F.col("page_id") % 7).alias("archive"), name.alias("name"), F.length("html").alias("packed"), F.length("html").alias("size"), F.lit(0).alias("mode"))).select("archive", "reason")
+    """All pages as members of archives that are refused for every reason there is; in archive 8 one page stands for ten thousand members and one."""
+    a = F.col("page_id") % 9
+    size = F.length("html")
+    name = F.when(a == 3, "../etc/x").when(a == 4, "/etc/x").when(a == 7, F.concat(F.lit("in"), "page_id", F.lit(".zip"))).otherwise(F.concat(F.lit("f"), "page_id"))
+    packed = F.when(a == 1, F.lit(60_000_000)).when(a == 2, F.lit(1000)).when(a == 8, F.lit(1)).otherwise(size + 1)
+    out = F.when(a == 2, F.lit(300_000_000)).when(a == 5, (size + 1) * 101).when(a == 8, F.lit(1)).otherwise(size)
+    members = t("pages").select(F.concat(F.lit("z"), a).alias("archive"), name.alias("name"), packed.alias("packed"), out.alias("size"), F.when(a == 6, 0o120777).otherwise(0).alias("mode"), F.explode(F.sequence(F.lit(1), F.when(F.col("page_id") == 8, 10_001).otherwise(1))))
+    return exports.archive_verdict(members).select("archive", "reason")
 
 
-@query("s16_generated_conversations", "SELECT 40::BIGINT AS conversations, 40 * 10::BIGINT AS messages, 40::BIGINT AS roots")
+@query(
+    "s16_generated_conversations",
+    """WITH c AS (SELECT c_custkey AS id FROM customer)
+    SELECT (SELECT count(*) FROM c) + (SELECT count(*) FROM c WHERE id % 10 = 0) AS conversations, (SELECT count(*) FROM c WHERE id % 7 = 0) + (SELECT count(*) FROM c WHERE id % 70 = 0) AS malformed,
+    (SELECT count(*) FROM c WHERE id % 7 <> 0) * 12 + (SELECT count(*) FROM c WHERE id % 10 = 0 AND id % 7 <> 0) * 12 AS messages, (SELECT count(*) FROM c WHERE id % 7 <> 0) * 2 + (SELECT count(*) FROM c WHERE id % 10 = 0 AND id % 7 <> 0) * 2 AS branch_messages""",
+)
 def _(t):
-    g = exports.generated(t("region").sparkSession, 40, 10)
-    return g.agg(F.count_distinct("conv").alias("conversations"), F.count("*").alias("messages"), F.count_if(F.col("parent").isNull()).alias("roots"))
+    """A conversation for every customer, with branches, copies and malformed ones among them."""
+    g = exports.generated(t("customer").select(F.col("c_custkey").alias("id")), 10, branches=3, duplicate_every=10, malformed_every=7)
+    return g.agg(F.count_distinct("conv", "copy").alias("conversations"), F.count_distinct(F.when(F.col("node").isNull(), F.struct("conv", "copy"))).alias("malformed"), F.count("node").alias("messages"), F.count_if(F.contains("node", F.lit("branch"))).alias("branch_messages"))
 
 
 @query("f01_normalize")
@@ -89,10 +108,11 @@ def _(t):
     return t("documents").select("doc_id", F.explode(U.units_udf("text")).alias("u")).groupBy("doc_id", "u.kind").agg(F.count("*").alias("n"))
 
 
-@query("f05_blocks", "SELECT doc_id, 1::BIGINT AS prose FROM documents WHERE text <> '' AND NOT regexp_matches(text, '(?m)^ {0,3}(```|~~~)')")
+@query("f05_blocks")
 def _(t):
-    d = t("documents").where(~F.col("text").rlike(r"(?m)^ {0,3}(```|~~~)") & (F.col("text") != ""))
-    return d.select("doc_id", F.size(U.blocks_udf("text")).cast("long").alias("prose"))
+    """Every block of every document: its place, kind and span."""
+    b = t("documents").select("doc_id", F.posexplode(U.blocks_udf("text")).alias("place", "b"))
+    return b.select("doc_id", "place", "b.kind", "b.start", "b.end")
 
 
 @query("f05_block_kinds")

@@ -99,19 +99,25 @@ def archive_verdict(members: DataFrame) -> DataFrame:
     """archive, ok, reason from member metadata (archive, name, packed, size, mode): any doubt refuses the archive."""
     bad_name = F.col("name").rlike(r"^([A-Za-z]:|/|\\)|(^|[/\\])\.\.([/\\]|$)")
     kind = F.shiftright(F.col("mode"), 12)
-    g = members.groupBy("archive").agg(F.sum("packed").alias("packed"), F.sum("size").alias("size"), F.count("*").alias("files"), F.bool_or(bad_name).alias("bad_name"), F.bool_or(~kind.isin(0, 4, 8)).alias("special"), F.count_if(F.lower("name").rlike(r"\.(zip|tar|gz|7z)$")).alias("nested"))
+    g = members.groupBy("archive").agg(F.sum("packed").alias("packed"), F.sum("size").alias("size"), F.count("*").alias("files"), F.bool_or(bad_name).alias("bad_name"), F.bool_or(~kind.isin(0, 4, 8)).alias("special"), F.count_if(F.lower("name").rlike(r"\.(zip|tar|gz|rar|7z)$")).alias("nested"))
     reason = F.when(F.col("packed") > MAX_COMPRESSED, "too_large").when(F.col("size") > MAX_EXPANDED, "expands_too_far").when(F.col("size") > MAX_RATIO * F.greatest(F.col("packed"), F.lit(1)), "ratio").when(F.col("files") > MAX_FILES, "too_many_files").when(F.col("bad_name"), "unsafe_path").when(F.col("special"), "special_file").when(F.col("nested") > 1, "nested")
     return g.select("archive", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def generated(spark: SparkSession, conversations: int, messages: int, branches: int = 1, duplicate_every: int = 0) -> DataFrame:
-    """Synthetic conversations: conv, node, parent, role, text; every duplicate_every-th conversation repeats the one before."""
-    source = F.col("id") - F.when(F.lit(duplicate_every) > 0, (F.col("id") % max(1, duplicate_every) == max(1, duplicate_every) - 1).cast("long")).otherwise(0)
-    c = spark.range(conversations).select(F.col("id").alias("conv"), source.alias("source"), F.explode(F.sequence(F.lit(0), F.lit(branches - 1))).alias("branch"))
-    m = c.select("conv", "source", "branch", F.explode(F.sequence(F.lit(0), F.lit(messages - 1))).alias("i")).where("branch = 0 or i > 0")
-    name: Column = F.when(F.col("i") == 0, F.lit("0-0")).otherwise(F.concat_ws("-", "branch", "i"))
-    parent = F.when(F.col("i") == 1, "0-0").when(F.col("i") > 1, F.concat_ws("-", "branch", F.col("i") - 1))
-    return m.select("conv", name.alias("node"), parent.alias("parent"), F.when(F.col("i") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("message "), "source", F.lit(" "), name).alias("text"))
+def generated(seeds: DataFrame, messages: int, branches: int = 1, duplicate_every: int = 0, malformed_every: int = 0) -> DataFrame:
+    """Synthetic conversations, one for each id of seeds: conv, copy, node, parent, role, text.
+
+    Messages are a chain; branches beyond the first hang on its second message. Ids that duplicate_every divides come
+    twice (copy 1), those that malformed_every divides have no messages: one row whose node is null.
+    """
+    every = lambda n: (F.col("id") % n == 0) if n > 0 else F.lit(False)
+    c = seeds.select("id", F.explode(F.when(every(duplicate_every), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"), every(malformed_every).alias("malformed"))
+    chain = [(f"message-{i}", f"message-{i - 1}" if i else None, "user" if i % 2 == 0 else "assistant") for i in range(max(2, messages))]
+    hung = [(f"branch-{i}", "message-1", "assistant") for i in range(1, branches)]
+    nodes = F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for n, x in zip(("node", "parent", "role"), row, strict=True))) for row in [*chain, *hung]))
+    none = F.array(F.struct(*(F.lit(None).cast("string").alias(n) for n in ("node", "parent", "role"))))
+    m = c.select(F.concat(F.lit("conv-"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("conv"), "copy", F.explode(F.when(F.col("malformed"), none).otherwise(nodes)).alias("m"))
+    return m.select("conv", "copy", "m.*", F.concat_ws(" ", F.lit("synthetic"), "conv", "m.node").alias("text"))
 
 
 def json_records(lines: DataFrame, schema: str) -> DataFrame:
