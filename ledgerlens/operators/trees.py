@@ -84,3 +84,24 @@ def active_path(nodes: DataFrame, leaves: DataFrame, max_depth: int = 1 << 16) -
         jump = checkpointed(jump.join(far, ["conv", "parent"]).select("conv", "node", F.col("up").alias("parent")))
         reach *= 2
     return marked.join(level, ["conv", "node"])
+
+
+def walked(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """conv, node, steps of what a walk from the leaf (0 steps) along parents meets, to a root, a missing parent or a node that it met before.
+
+    nodes: conv, node, parent (one parent each). leaves: conv, leaf. Round r goes on by 2^r steps from all that is met so
+    far; a node on a cycle counts once, for the first time it is met.
+    """
+    met = checkpointed(leaves.select("conv", F.col("leaf").alias("node")).distinct().join(nodes.select("conv", "node"), ["conv", "node"], "left_semi").withColumn("steps", F.lit(0).cast("long")))
+    known = nodes.select("conv", F.col("node").alias("parent"))
+    jump = nodes.where("parent is not null").select("conv", "node", "parent").join(known, ["conv", "parent"], "left_semi")
+    reach = 1
+    while True:
+        ahead = met.join(jump, ["conv", "node"]).select("conv", F.col("parent").alias("node"), (F.col("steps") + reach).alias("steps"))
+        new = checkpointed(ahead.join(met, ["conv", "node"], "left_anti").groupBy("conv", "node").agg(F.min("steps").alias("steps")))
+        if new.isEmpty():
+            return met
+        met = checkpointed(met.unionByName(new))
+        far = jump.select("conv", F.col("node").alias("parent"), F.col("parent").alias("up"))
+        jump = checkpointed(jump.join(far, ["conv", "parent"]).select("conv", "node", F.col("up").alias("parent")))
+        reach *= 2

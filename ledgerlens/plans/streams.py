@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
 from ..functions import ijson
 from ..functions import sentence_units as S
 from ..functions import unicode_text as U
-from ..operators import lexicons, sets
+from ..operators import lexicons, sets, trees
 from ..registry import query
-from ..sources import exports
+from ..sources import datasource, exports
 from ..streaming import ledger
 
 
@@ -51,6 +51,59 @@ def _(t):
     return exports.read_tree(payload).select("conv", "node", "parent", "role", "text")
 
 
+@query(
+    "s09_active_paths",
+    """WITH RECURSIVE n AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 5 = 0 THEN max(turn) OVER (PARTITION BY conv_id) END WHEN turn % 3 = 0 THEN turn - 2 ELSE turn - 1 END AS parent, turn = max(turn) OVER (PARTITION BY conv_id) AS leaf FROM conversations),
+    p(conv_id, turn, steps) AS (SELECT conv_id, turn, 0 FROM n WHERE leaf UNION ALL SELECT n.conv_id, n.parent, p.steps + 1 FROM p JOIN n ON n.conv_id = p.conv_id AND n.turn = p.turn JOIN (SELECT conv_id, max(turn) AS most FROM conversations GROUP BY 1) m ON m.conv_id = p.conv_id WHERE n.parent IS NOT NULL AND p.steps <= m.most)
+    SELECT conv_id::VARCHAR AS conv, turn::VARCHAR AS node, min(steps)::BIGINT AS steps FROM p GROUP BY 1, 2""",
+)
+def _(t):
+    """Trees with branches, some with a root that hangs on its own leaf: what the walk from the active leaf meets, each node once."""
+    c = t("conversations")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    parent = F.when(F.col("turn") == 0, F.when(F.col("conv_id") % 5 == 0, last)).when(F.col("turn") % 3 == 0, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    node = F.struct(F.col("turn").cast("string").alias("id"), parent.cast("string").alias("parent"), F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content")).alias("message"))
+    made = c.select("conv_id", "turn", node.alias("n"))
+    g = made.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("n.id", "n"))).alias("mapping"), F.max("turn").cast("string").alias("leaf"))
+    payload = _json(g.select(F.array(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("leaf").alias("current_node"), "mapping")).alias("v")))
+    nodes = checkpointed(exports.read_tree(payload).select("conv", "node", "parent", "active"))
+    return trees.walked(nodes.select("conv", "node", "parent"), nodes.where("active").select("conv", F.col("node").alias("leaf")))
+
+
+def _mixed(t) -> DataFrame:
+    """A JSON line for each conversation in one of four formats; every eleventh is cut off in the middle and every thirteenth is of no format."""
+    m = t("conversations").select("conv_id", "turn", F.struct(F.col("turn").cast("string").alias("id"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent"), "role", "text").alias("m"))
+    g = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("ms"), F.max("turn").cast("string").alias("leaf")).withColumn("ms", F.transform("ms", lambda x: x["m"]))
+    conv = F.col("conv_id").cast("string").alias("id")
+    by_id = lambda make: F.map_from_entries(F.transform("ms", lambda x: F.struct(x["id"], make(x))))
+    tree = F.struct(conv, F.col("leaf").alias("current_node"), by_id(lambda x: F.struct(x["id"].alias("id"), x["parent"].alias("parent"), F.struct(F.struct(x["role"].alias("role")).alias("author"), F.struct(F.array(x["text"]).alias("parts")).alias("content")).alias("message"))).alias("mapping"))
+    history = F.struct(conv, F.struct(F.struct(F.col("leaf").alias("currentId"), by_id(lambda x: F.struct(x["id"].alias("id"), x["parent"].alias("parentId"), x["role"].alias("role"), x["text"].alias("content"))).alias("messages")).alias("history")).alias("chat"))
+    linear = F.struct(F.col("conv_id").cast("string").alias("uuid"), F.transform("ms", lambda x: F.struct(x["id"].alias("uuid"), x["role"].alias("sender"), x["text"].alias("text"))).alias("chat_messages"))
+    generic = F.struct(F.lit("conversation-import").alias("format"), F.array(F.struct(conv, F.col("ms").alias("messages"))).alias("conversations"))
+    kind = F.col("conv_id") % 4
+    line = F.when(F.col("conv_id") % 11 == 0, F.expr("left(line, length(line) div 2)")).when(F.col("conv_id") % 13 == 0, F.lit('{"something": "else"}')).otherwise(F.col("line"))
+    return g.withColumn("line", F.when(kind == 0, F.to_json(tree)).when(kind == 1, F.to_json(linear)).when(kind == 2, F.to_json(history)).otherwise(F.to_json(generic))).select(line.alias("value"))
+
+
+def _imported(t) -> tuple[DataFrame, DataFrame]:
+    folder = f"{_folder(t)}/exports"
+    _mixed(t).write.text(folder)
+    files = checkpointed(datasource.read_files(t("region").sparkSession, folder, kind="jsonl"))
+    return datasource.imported(files)
+
+
+@query("s05_mixed_exports", "SELECT conv_id::VARCHAR AS conv, turn::VARCHAR AS node, CASE WHEN turn > 0 THEN (turn - 1)::VARCHAR END AS parent, role, text, ['tree', 'linear', 'history', 'generic'][conv_id % 4 + 1] AS format FROM conversations WHERE conv_id % 11 <> 0 AND conv_id % 13 <> 0")
+def _(t):
+    """Conversations in four formats, written as files and read by the data source and the adapters."""
+    return _imported(t)[0].select("conv", "node", "parent", "role", "text", "format")
+
+
+@query("s05_import_faults", "SELECT CASE WHEN conv_id % 11 = 0 THEN 'malformed' ELSE 'unknown_format' END AS fault, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id % 11 = 0 OR conv_id % 13 = 0 GROUP BY 1")
+def _(t):
+    """What the same import could not read."""
+    return _imported(t)[1].groupBy("fault").agg(F.count("*").alias("n"))
+
+
 @query("s12_html_text")
 def _(t):
     return t("pages").select("page_id", exports.html_text("html").alias("text"))

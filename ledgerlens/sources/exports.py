@@ -65,6 +65,13 @@ def read_linear(payloads: DataFrame) -> DataFrame:
     return m.select("conv", "title", F.col("n.uuid").alias("node"), F.lag("n.uuid").over(w).alias("parent"), role_of(F.col("n.sender")).alias("role"), F.col("n.text").alias("text"), F.try_to_timestamp("n.created_at").alias("created"), F.lead("i").over(w).isNull().alias("active"))
 
 
+def read_generic(payloads: DataFrame) -> DataFrame:
+    """Files of the own format; without its marker there is nothing to read."""
+    g = payloads.select(F.from_json("value", GENERIC).alias("g")).where("g.format = 'conversation-import'").select(F.explode("g.conversations").alias("c"))
+    m = g.select(F.col("c.id").alias("conv"), F.col("c.title").alias("title"), F.explode("c.messages").alias("n"))
+    return m.select("conv", "title", F.col("n.id").alias("node"), F.col("n.parent").alias("parent"), role_of(F.col("n.role")).alias("role"), F.col("n.text").alias("text"), F.lit(None).cast("timestamp").alias("created"), F.lit(False).alias("active"))
+
+
 def read_activity(payloads: DataFrame) -> DataFrame:
     a = payloads.select("path", F.posexplode(F.from_json("value", ACTIVITY)).alias("i", "a"))
     return a.select(F.col("path").alias("conv"), F.lit(None).cast("string").alias("title"), F.col("i").cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("user").alias("role"), F.col("a.title").alias("text"), F.try_to_timestamp("a.time").alias("created"), F.lit(False).alias("active"))
