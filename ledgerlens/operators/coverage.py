@@ -63,12 +63,45 @@ def validated(units: DataFrame) -> DataFrame:
     return units.join(verdict, ["message", "at"])
 
 
-def uncovered(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+def uncovered(tokens: DataFrame, spans: DataFrame, authority: str | None = None) -> DataFrame:
     """message, start, end, tokens of the runs of neighbouring tokens that no span overlaps.
 
-    tokens: message, place, start, end. spans: message, start, end, which may overlap each other.
+    tokens: message, place, start, end. spans: message, start, end, which may overlap each other. authority: a column of
+    tokens; a run ends where it changes, and it is returned too.
     """
-    free = without_overlap(tokens.select("message", "place", "start", "end"), spans.select("message", "start", "end"), ["message"])
-    run = Window.partitionBy("message").orderBy("place")
+    more = [authority] if authority else []
+    free = without_overlap(tokens.select("message", "place", "start", "end", *more), spans.select("message", "start", "end"), ["message"])
+    run = Window.partitionBy("message", *more).orderBy("place")
     own = free.withColumn("run", F.col("place") - F.row_number().over(run))
-    return own.groupBy("message", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tokens")).drop("run")
+    return own.groupBy("message", "run", *more).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("tokens")).drop("run")
+
+
+def plan(units: DataFrame, tokens: DataFrame, authority: str | None = None) -> DataFrame:
+    """The coverage plan: an item for each accepted unit with its one disposition, and one for each run of text that none covers.
+
+    units: what ``validated`` and ``disposition`` ask for. tokens: message, place, start, end. Items have message, item_id,
+    unit_id (null for text), start, end, disposition, reason, proposal (a unit that may become a candidate), status (of
+    the whole plan: needs_review if any item does, else complete). Units that are not accepted are no items, and what they
+    spanned counts as not covered.
+    """
+    accepted = validated(units).where("reason is null").drop("reason").withColumn("d", disposition())
+    own = accepted.select("message", F.col("id").alias("unit_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "d.disposition", "d.reason")
+    rest = uncovered(tokens, own.select("message", "start", "end"), authority)
+    left = rest.select("message", F.lit(None).cast(own.schema["unit_id"].dataType).alias("unit_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit("unsupported").alias("disposition"), F.lit("uncovered_material").alias("reason"))
+    items = own.unionByName(left)
+    item_id = F.sha2(F.concat_ws(":", "message", F.coalesce(F.col("unit_id").cast("string"), F.lit("-")), "start", "end"), 256)
+    doubt = F.max(F.col("disposition") == "needs_review").over(Window.partitionBy("message"))
+    return items.withColumns({"item_id": item_id, "proposal": F.col("disposition") == "durable_candidate", "status": F.when(doubt, "needs_review").otherwise("complete")})
+
+
+def faults(items: DataFrame, units: DataFrame) -> DataFrame:
+    """What breaks a plan (fault, message): accepted units without an item or with two, items that share an id, and units that overlap uncovered text. Empty for a sound one."""
+    accepted = validated(units).where("reason is null").select("message", F.col("id").alias("unit_id"))
+    own = items.where("unit_id is not null").groupBy("message", "unit_id").agg(F.count("*").alias("n"))
+    counts = accepted.groupBy("message", "unit_id").agg(F.count("*").alias("units")).join(own, ["message", "unit_id"], "full")
+    unlike = counts.where("units is null or n is null or n <> 1 or units <> 1").select(F.lit("not_one_item_per_unit").alias("fault"), "message")
+    twice = items.groupBy("item_id").agg(F.count("*").alias("n"), F.min("message").alias("message")).where("n > 1").select(F.lit("item_identity_collision").alias("fault"), "message")
+    text, spans = (items.where(f"unit_id is {x}").select("message", "start", "end") for x in ("null", "not null"))
+    free = without_overlap(text, spans, ["message"])
+    hit = text.exceptAll(free).select(F.lit("covered_twice").alias("fault"), "message")
+    return unlike.unionByName(twice).unionByName(hit)

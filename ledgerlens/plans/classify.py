@@ -5,11 +5,12 @@ The texts are the conversations, each led in by one of the fixed sentences below
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
 from ..functions import unicode_text as U
+from ..operators import coverage, overrides
 from ..registry import query
 
 #: Sentences that lead in the messages; the last ones stand for messages without a signal.
@@ -299,8 +300,6 @@ def units_of(t) -> DataFrame:
 
 @query("c17_validated_units", f'WITH {_UNITS} SELECT message, "at", reason FROM r')
 def _(t):
-    from ..operators import coverage
-
     return coverage.validated(units_of(t)).select("message", F.col("at"), "reason")
 
 
@@ -310,10 +309,6 @@ f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.message = p.mess
 SELECT message, min(s) AS start, max(e) AS "end", count(*) AS tokens FROM g GROUP BY message, run""")
 def _(t):
     """Runs of blank-separated words that no accepted unit touches."""
-    from pyspark.sql import Window
-
-    from ..operators import coverage
-
     u = units_of(t)
     taken = coverage.validated(u).where("reason is null").select("message", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     words = t("conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), F.posexplode(F.split("text", " ")).alias("place", "word"))
@@ -326,8 +321,6 @@ def _(t):
 SELECT disposition, reason, count(*) AS n FROM (SELECT CASE WHEN missing OR conflicting OR ceiling <> 'normal' THEN 'needs_review' WHEN unresolved THEN 'unresolved_reference' WHEN durability = 'context_only' THEN 'context_only' WHEN kind = 'instruction' AND durability = 'transient' THEN 'transient_instruction' WHEN kind = 'question' OR epistemic = 'hypothetical' THEN 'context_only' WHEN durability = 'unknown' OR epistemic = 'unknown' THEN 'needs_review' WHEN NOT supported OR durability <> 'durable' THEN 'unsupported' ELSE 'durable_candidate' END AS disposition,
 CASE WHEN missing THEN 'missing_persisted_authority' WHEN conflicting AND ceiling <> 'normal' THEN 'conflicting_persisted_authority,privacy_or_sensitivity_ceiling' WHEN conflicting THEN 'conflicting_persisted_authority' WHEN ceiling <> 'normal' THEN 'privacy_or_sensitivity_ceiling' WHEN unresolved THEN 'ambiguous_or_unresolved_reference' WHEN durability = 'context_only' THEN 'context_only' WHEN kind = 'instruction' AND durability = 'transient' THEN 'transient_instruction' WHEN kind = 'question' OR epistemic = 'hypothetical' THEN 'non_asserted_or_question' WHEN durability = 'unknown' OR epistemic = 'unknown' THEN 'unknown_durability_or_epistemic_status' WHEN NOT supported THEN 'route_mapping_unsupported' WHEN durability <> 'durable' THEN 'durability_not_candidate_eligible' ELSE 'durable_policy_eligible' END AS reason FROM u) GROUP BY ALL""")
 def _(t):
-    from ..operators import coverage
-
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i.cast("int"))
     q = F.col("l_quantity")
     units = t("lineitem").select(
@@ -352,3 +345,55 @@ def _(t):
     c = drafts(t).groupBy("conv_id").agg(F.count_if("memory").alias("memories"), F.count_if(F.col("status") == "needs_review").alias("review"), F.count_if(F.col("status") == "rejected").alias("rejected"))
     why = F.when(F.coalesce("memories", F.lit(0)) > 0, None).when(F.col("review") > 0, "candidate_waiting_for_review").when(F.col("rejected") > 0, "all_candidates_rejected").when(F.col("memories").isNull(), "no_gate_and_route_eligible_candidates").otherwise("consolidation_created_no_canonical_memory")
     return t("conversations").select("conv_id").distinct().join(c, "conv_id", "left").select("conv_id", why.alias("reason"))
+
+
+_PLAN = f"""WITH {_UNITS}, a AS (SELECT *, (message + "at") AS k FROM r WHERE reason IS NULL),
+d AS (SELECT message, 'u' || CASE WHEN "at" = 4 AND message % 2 = 0 THEN 2 ELSE "at" END AS unit_id, s AS start, e AS "end",
+    CASE WHEN k % 9 = 0 OR k % 17 = 0 OR k % 13 = 0 THEN 'needs_review' WHEN k % 7 = 1 THEN 'unresolved_reference' WHEN k % 4 = 2 THEN 'context_only' WHEN message % 3 = 1 AND k % 4 = 1 THEN 'transient_instruction' WHEN message % 3 = 2 THEN 'context_only' WHEN k % 4 = 3 THEN 'needs_review' WHEN k % 5 = 0 THEN 'unsupported' WHEN k % 4 <> 0 THEN 'unsupported' ELSE 'durable_candidate' END AS disposition,
+    CASE WHEN k % 9 = 0 THEN 'missing_persisted_authority' WHEN k % 17 = 0 AND k % 13 = 0 THEN 'conflicting_persisted_authority,privacy_or_sensitivity_ceiling' WHEN k % 17 = 0 THEN 'conflicting_persisted_authority' WHEN k % 13 = 0 THEN 'privacy_or_sensitivity_ceiling' WHEN k % 7 = 1 THEN 'ambiguous_or_unresolved_reference' WHEN k % 4 = 2 THEN 'context_only' WHEN message % 3 = 1 AND k % 4 = 1 THEN 'transient_instruction' WHEN message % 3 = 2 THEN 'non_asserted_or_question' WHEN k % 4 = 3 THEN 'unknown_durability_or_epistemic_status' WHEN k % 5 = 0 THEN 'route_mapping_unsupported' WHEN k % 4 <> 0 THEN 'durability_not_candidate_eligible' ELSE 'durable_policy_eligible' END AS reason FROM a),
+w AS (SELECT message, unnest(string_split(raw, ' ')) AS word, generate_subscripts(string_split(raw, ' '), 1) AS place FROM mm),
+p AS (SELECT message, place, sum(length(word) + 1) OVER (PARTITION BY message ORDER BY place) - length(word) - 1 AS s, sum(length(word) + 1) OVER (PARTITION BY message ORDER BY place) - 1 AS e FROM w),
+f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.message = p.message AND a.s < p.e AND p.s < a.e)), g AS (SELECT *, place - row_number() OVER (PARTITION BY message ORDER BY place) AS run FROM f),
+i AS (SELECT message, unit_id, start, "end", disposition, reason FROM d UNION ALL SELECT message, NULL, min(s), max(e), 'unsupported', 'uncovered_material' FROM g GROUP BY message, run)"""
+
+
+def planned(t):
+    """Units and tokens of every message, with authorities, ceilings, durabilities and kinds of all sorts."""
+    u, k = units_of(t), F.col("message") + F.col("at")
+    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    u = u.withColumns(
+        {
+            "authorities": F.when(k % 9 == 0, 0).otherwise(1), "conflicting": k % 17 == 0, "ceiling": F.when(k % 13 == 0, "sensitive").otherwise("normal"), "unresolved": k % 7 == 1, "supported": k % 5 != 0,
+            "durability": at(["durable", "transient", "context_only", "unknown"], k % 4), "kind": at(["statement", "instruction", "question"], F.col("message") % 3), "epistemic": F.lit("asserted"),
+        }
+    )
+    words = t("conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), F.posexplode(F.split("text", " ")).alias("place", "word"))
+    so_far = F.sum(F.length("word") + 1).over(Window.partitionBy("message").orderBy("place"))
+    return u, words.select("message", F.col("place").cast("long").alias("place"), (so_far - F.length("word") - 1).alias("start"), (so_far - 1).alias("end"))
+
+
+@query("c18_coverage_plan", _PLAN + """ SELECT message, unit_id, start, "end", disposition, reason, disposition = 'durable_candidate' AS proposal, CASE WHEN bool_or(disposition = 'needs_review') OVER (PARTITION BY message) THEN 'needs_review' ELSE 'complete' END AS status FROM i""")
+def _(t):
+    """The whole coverage plan of every message: one disposition for each accepted unit, and the text that none covers."""
+    return coverage.plan(*planned(t)).drop("item_id")
+
+
+def stand_in(texts: list[str], reasons: list[list[str]]) -> list[tuple[str, list[str]] | None]:
+    """In place of a model: it fails for some texts, has nothing to say of others, and is sure of the rest."""
+    out = []
+    for text in texts:
+        if len(text) % 11 == 0:
+            raise ValueError("no answer")
+        out.append(None if len(text) % 5 == 0 else ("analyze_high_confidence", ["model"]))
+    return out
+
+
+@query(
+    "c03_gate_override",
+    f"""{SQL_GATE}, x AS (SELECT conv_id, turn, length(raw) AS n, decision, CASE WHEN forget THEN ['forget_request'] WHEN idle AND NOT strong THEN ['low_value_phatic', 'greeting_only'] WHEN len(said) = 0 AND NOT idle THEN ['no_memory_signal'] ELSE CASE WHEN idle THEN list_concat(['low_value_phatic'], said) ELSE said END END AS reasons FROM g)
+    SELECT conv_id, turn, CASE WHEN n % 11 = 0 OR n % 5 = 0 THEN decision ELSE 'analyze_high_confidence' END AS decision, CASE WHEN n % 11 = 0 THEN list_append(reasons, 'model_classifier_failed') WHEN n % 5 = 0 THEN reasons ELSE ['model'] END AS reasons, CASE WHEN n % 11 = 0 OR n % 5 = 0 THEN 'rules' ELSE 'model' END AS by, CASE WHEN n % 11 = 0 THEN 'ValueError: no answer' END AS error FROM x""",
+)
+def _(t):
+    """The gate of every message after a classifier that may fail; where it does, the rules stand."""
+    g = gated(t).select(*KEYS, F.col("raw").alias("text"), F.col("gate.decision").alias("decision"), F.col("gate.reasons").alias("reasons"))
+    return overrides.overridden(g, stand_in).drop("text")

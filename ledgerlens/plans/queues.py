@@ -7,12 +7,13 @@ import uuid
 import zipfile
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_folder
 from ..operators import graphs, queues, sets
 from ..registry import query
-from ..sources import exports, package
+from ..sources import exports, heritage, package
 
 LONG = lambda c: c.cast("long")
 
@@ -204,3 +205,33 @@ def _(t):
         one = orphans(rows.select(foreign), parents, foreign, key).agg(F.lit(name).alias("check_name"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def heritage_files(t):
+    """A package for each nation with its customers in payloads of a hundred keys; five of six are spoilt in one way each, in their first payload or their manifest."""
+    c = t("customer").select("c_nationkey", F.floor(F.col("c_custkey") / 100).alias("part"), "c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("line"))
+    payload = c.groupBy("c_nationkey", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    first = F.col("part") == F.min("part").over(Window.partitionBy("c_nationkey"))
+    kind = F.col("c_nationkey") % 6
+    odd = payload.withColumn("first", first).withColumn("text", F.when(F.col("first") & (kind == 3), F.concat("text", F.lit('\n{"a": NaN}'))).otherwise(F.col("text")))
+    path = F.concat(F.lit("data/part-"), "part", F.lit(".ijsonl"))
+    own = odd.select("c_nationkey", "first", path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    digest = F.when(F.col("first") & (kind == 1), F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256))
+    sums = own.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(digest, F.lit("  "), "path"))), "\n").alias("text")).select("c_nationkey", F.lit("checksums.sha256").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    manifest = sums.where(kind != 4).select("c_nationkey", F.lit("manifest.ijson").alias("path"), F.encode(F.when(kind == 5, '{"format":"other"}').otherwise('{"format":"ledger-package"}'), "UTF-8").alias("content"))
+    kept = own.where(~(F.col("first") & (kind == 2))).drop("first")
+    return kept.unionByName(sums).unionByName(manifest).select(F.concat(F.lit("n"), "c_nationkey").alias("package"), "path", "content")
+
+
+@query(
+    "e15_package_issues",
+    """SELECT 'n' || c_nationkey AS package, CASE c_nationkey % 6 WHEN 1 THEN 'checksum_mismatch' WHEN 2 THEN 'missing_payload' WHEN 3 THEN 'invalid_ijson' WHEN 4 THEN 'missing_manifest' ELSE 'unsupported_format' END AS issue_code,
+    CASE WHEN c_nationkey % 6 > 3 THEN 'manifest.ijson' ELSE 'data/part-' || min(c_custkey // 100) || '.ijsonl' END AS path, CASE c_nationkey % 6 WHEN 3 THEN 'non_finite' WHEN 5 THEN 'other' END AS detail FROM customer WHERE c_nationkey % 6 > 0 GROUP BY c_nationkey""",
+)
+def _(t):
+    return heritage.issues(heritage_files(t), "ledger-package").select("package", "issue_code", "path", "detail")
+
+
+@query("e15_package_verdicts", "SELECT DISTINCT 'n' || c_nationkey AS package, c_nationkey % 6 = 0 AS valid, CASE WHEN c_nationkey % 6 = 0 THEN 0 ELSE 1 END::BIGINT AS issues FROM customer")
+def _(t):
+    return heritage.verify(heritage_files(t), "ledger-package")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
-from ..functions import ijson
+from ..functions import ijson, registered
 from ..functions import sentence_units as S
 from ..functions import unicode_text as U
-from ..operators import lexicons, sets, trees
+from ..operators import lexicons, sets, spans, trees
 from ..registry import query
 from ..sources import datasource, exports
 from ..streaming import ledger
@@ -217,6 +217,48 @@ def _(t):
     return found.groupBy("doc_id", "lexicon").agg(F.count("*").alias("hits")).join(kept, ["doc_id", "lexicon"])
 
 
+@query("f03_raw_spans")
+def _(t):
+    """Every token of every message: its span in the normalised text and the raw span that it stands for."""
+    m = t("conversations").select(F.struct("conv_id", "turn").alias("message"), "text")
+    n = m.select("message", U.normalize_udf("text").alias("plain")).select(F.col("message").alias("key"), F.posexplode(U.tokens_udf("plain")).alias("span", "u")).select("key", "span", F.col("u.start").alias("start"), F.col("u.end").alias("stop"))
+    return spans.to_raw(n, spans.pieces_of(m, "message", "text")).select("key.*", "span", "start", "stop", "raw_start", "raw_stop")
+
+
+@query("f03_normalized_spans")
+def _(t):
+    """Every stretch of seven raw characters of every message: the normalised span that covers it, null if nothing of it is left."""
+    m = t("conversations").select(F.struct("conv_id", "turn").alias("message"), "text")
+    at = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(7))
+    n = m.where("text <> ''").select(F.col("message").alias("key"), F.length("text").alias("size"), F.posexplode(at).alias("span", "start")).select("key", "span", "start", F.least(F.col("start") + 7, F.col("size")).alias("stop"))
+    return spans.to_normalized(n, spans.pieces_of(m, "message", "text")).select("key.*", "span", "start", "stop", "plain_start", "plain_stop")
+
+
+@query(
+    "e19_sql_functions",
+    r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '\s+', '_', 'g'), '[^a-z0-9_\-]', '', 'g') AS slug, 'part:' || regexp_replace(regexp_replace(lower(trim(p_brand)), '\s+', '_', 'g'), '[^a-z0-9_\-]', '', 'g') || ':' || regexp_replace(regexp_replace(lower(trim(p_type)), '\s+', '_', 'g'), '[^a-z0-9_\-]', '', 'g') AS k,
+    greatest(1, (length(p_name) + 3) // 4)::BIGINT AS tokens, CASE WHEN regexp_matches(p_name, '[A-Za-z]') THEN 'en' ELSE 'und' END AS language, round(0.6::DOUBLE / (60 + p_partkey), 9) AS rrf FROM part""",
+)
+def _(t):
+    """Functions whose bodies are SQL, called from SQL."""
+    p = t("part")
+    registered.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT p_partkey, ledger_slug(p_name) AS slug, ledger_key('part', p_brand, p_type) AS k, ledger_tokens(p_name) AS tokens, ledger_language(p_name) AS language, round(ledger_rrf(0.6D, p_partkey), 9) AS rrf FROM {part}", part=p)
+
+
+@query("e19_table_functions")
+def _(t):
+    """Units, sentences and words of all documents by table functions in SQL."""
+    d = t("documents")
+    registered.register(d.sparkSession)
+    return d.sparkSession.sql(
+        """SELECT doc_id, concat('unit ', u.kind) AS what, count(*) AS n FROM {d}, LATERAL ledger_units(text) u GROUP BY ALL
+        UNION ALL SELECT doc_id, 'sentence', count(*) FROM {d}, LATERAL ledger_sentences(text) s GROUP BY ALL
+        UNION ALL SELECT doc_id, 'word', count(*) FROM {d}, LATERAL ledger_words_at(text) w GROUP BY ALL""",
+        d=d,
+    )
+
+
 @query("f20_label", "SELECT n_nationkey, trim(regexp_replace(lower(n_name), '\\s+', ' ', 'g')) AS label FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", U.label_udf("n_name").alias("label"))
