@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .substrings import containing
+
 
 def metrics(results: DataFrame, expected: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     """case, recall, precision, mrr, ndcg at k.
@@ -54,10 +56,10 @@ def erased(rows: DataFrame, targets: DataFrame, key: str, text: list[str]) -> Da
 
 
 def residue(tables: list[tuple[str, DataFrame, str, str]], fragments: DataFrame, limit: int = 20) -> DataFrame:
-    """table, key: up to ``limit`` rows per table that still contain an erased fragment. fragments must be a short list."""
+    """table, key: up to ``limit`` rows per table that still contain an erased fragment. Any number of fragments is looked up by what they share with a table's words."""
     out = None
     for name, rows, key, text in tables:
-        hit = rows.join(F.broadcast(fragments.select("fragment").distinct()), F.contains(F.col(text), F.col("fragment")), "left_semi")
+        hit = containing(rows, key, text, fragments.select(F.col("fragment").alias("needle"))).select(key).distinct()
         part = hit.orderBy(key).limit(limit).select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"))
         out = part if out is None else out.unionByName(part)
     return out

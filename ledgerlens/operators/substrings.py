@@ -51,6 +51,38 @@ def hits(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     return held.join(found, "word").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("hits"))
 
 
+def _folded(text: Column) -> Column:
+    """Lower case that does not depend on what comes next."""
+    return F.translate(F.lower(text), "ς", "σ")
+
+
+def containing(texts: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
+    """key, needle of all pairs of a text and a (distinct) needle that it contains, in just these characters.
+
+    Whatever a needle is (a word, a phrase, a passage), a text that contains it contains its runs of word characters. The
+    run whose words stand in the fewest texts is looked up, and only texts that have it are read again to verify. Needles
+    without a run of GRAM characters meet all texts in one pass. Null texts and null or empty needles contain and are
+    nothing.
+    """
+    wanted = needles.select("needle").where("needle <> ''").distinct()
+    runs = F.array_distinct(F.filter(F.regexp_extract_all(_folded(F.col("needle")), F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= GRAM))
+    asked = checkpointed(wanted.select("needle", runs.alias("runs")))
+    each = asked.select("needle", F.explode("runs").alias("term"))
+    own = F.array_distinct(F.regexp_extract_all(_folded(F.col(text)), F.lit(WORD), F.lit(0)))
+    held = texts.select(key, F.explode(own).alias("word"))
+    spread = checkpointed(held.groupBy("word").agg(F.count("*").alias("df")))
+    found = checkpointed(words_with(each.select("term").distinct(), spread.select("word")).join(spread, "word"))
+    cost = found.groupBy("term").agg(F.sum("df").alias("texts"))
+    # a run of no word is in no text, and so is its needle
+    best = each.join(cost, "term", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "term")).alias("best")).select("needle", F.col("best.term").alias("term"))
+    reached = best.join(found.select("term", "word"), "term").join(held, "word").select(key, "needle").distinct()
+    body = texts.select(key, F.col(text).alias("_body"))
+    out = reached.join(body, key).where(F.contains("_body", "needle")).select(key, "needle")
+    short = asked.where("size(runs) = 0").agg(F.collect_list("needle").alias("short"))  # one row
+    odd = body.crossJoin(short).select(key, F.explode(F.filter("short", lambda n: F.contains(F.col("_body"), n))).alias("needle"))
+    return out.unionByName(odd)
+
+
 def relevance(queries: DataFrame, texts: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
     """query, key, overlap, relevance of all pairs whose relevance is above FLOOR.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ijson, scoring, text
-from ..operators import attachments, blocks, retrieval
+from ..operators import attachments, blocks, retrieval, substrings
 from ..registry import query
 from .classify import ALL_TYPES, INTENT_TYPES, KEYS, SQL_INTENTS, _any, _q, intents, memory_types, messages
 from .classify import SQL as MESSAGES
@@ -44,12 +44,11 @@ def _(t):
 
 @query("r02_exact_keys", f"WITH {SOURCES_SQL}, q AS (SELECT r_regionkey AS query, unnest(['widget ' || r_name, 'style', ['cold', 'small', 'red', 'large', 'blue'][r_regionkey + 1]]) AS term FROM region), h AS (SELECT DISTINCT query, p_partkey, kind FROM q JOIN s ON contains(said, lower(term))) SELECT query, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY kind, p_partkey DESC) AS rank FROM h) WHERE rank <= 20")
 def _(t):
-    """Facts whose text contains one of a query's terms, best 20 of each query. All terms together are one predicate per query,
-    so facts are read once and a fact is a hit of a query at most once."""
-    q = t("region").select(F.col("r_regionkey").alias("query"), F.array(F.lower(F.concat(F.lit("widget "), "r_name")), F.lit("style"), pick(["cold", "small", "red", "large", "blue"], F.col("r_regionkey") + 1)).alias("terms"))
-    asked = q.agg(F.collect_list(F.struct("query", "terms")).alias("asked"))  # one row: a stated set of queries
-    hits = sources(t).crossJoin(asked).select("p_partkey", "kind", F.explode(F.filter("asked", lambda a: F.exists(a["terms"], lambda w: F.contains(F.col("said"), w)))).alias("a"))
-    return retrieval.top_k(hits.select(F.col("a.query").alias("query"), "p_partkey", "kind"), ["query"], [F.col("kind"), F.col("p_partkey").desc()], 20).select("query", "p_partkey", "rank")
+    """Facts whose text contains one of a query's terms, best 20 of each query; a fact is a hit of a query at most once."""
+    q = t("region").select(F.col("r_regionkey").alias("query"), F.explode(F.array(F.lower(F.concat(F.lit("widget "), "r_name")), F.lit("style"), pick(["cold", "small", "red", "large", "blue"], F.col("r_regionkey") + 1))).alias("needle"))
+    s = sources(t)
+    hits = substrings.containing(s, "p_partkey", "said", q).join(q, "needle").select("query", "p_partkey").distinct().join(s.select("p_partkey", "kind"), "p_partkey")
+    return retrieval.top_k(hits, ["query"], [F.col("kind"), F.col("p_partkey").desc()], 20).select("query", "p_partkey", "rank")
 
 
 @query("r06_embedding_cache", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'missing' WHEN vec_id % 4 = 1 AND vec_id % 3 = 0 THEN 'recompute' ELSE 'hit' END AS state FROM embeddings")
@@ -159,9 +158,9 @@ def _(t):
     finds and by message evidence; the better score of each stays, and the best 12."""
     s = sources(t)
     q = t("region").select(F.col("r_regionkey").alias("query"), pick(["cold", "small", "red", "style", "widget"], F.col("r_regionkey") + 1).alias("term"))
-    asked = q.agg(F.collect_list(F.struct("query", "term")).alias("asked"))  # one row: a stated set of queries
-    met = s.where("not closed").crossJoin(asked).select("p_partkey", "price", F.explode(F.filter("asked", lambda a: F.contains(F.col("said"), a["term"]))).alias("a"))
-    canonical = retrieval.top_k(met.select(F.col("a.query").alias("query"), "p_partkey", "price"), ["query"], [F.col("price").desc(), F.col("p_partkey")], 30, "n").select("query", "p_partkey", scoring.positional_score(F.col("n") - 1).alias("score"))
+    own = s.where("not closed")
+    met = substrings.containing(own, "p_partkey", "said", q.select(F.col("term").alias("needle"))).join(q.withColumnRenamed("term", "needle"), "needle").join(own.select("p_partkey", "price"), "p_partkey")
+    canonical = retrieval.top_k(met.select("query", "p_partkey", "price"), ["query"], [F.col("price").desc(), F.col("p_partkey")], 30, "n").select("query", "p_partkey", scoring.positional_score(F.col("n") - 1).alias("score"))
     lines = t("lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select((F.col("l_suppkey") % 5).cast("int").alias("query"), F.col("l_partkey").alias("p_partkey")).distinct()
     graph = lines.join(q.select("query"), "query", "left_semi").join(s.where("not closed").select("p_partkey"), "p_partkey", "left_semi").withColumn("graph", F.lit(0.08))
     merged = canonical.join(graph, ["query", "p_partkey"], "full").select("query", "p_partkey", (F.coalesce("score", F.lit(0.1)) + F.coalesce("graph", F.lit(0.0))).alias("score"))

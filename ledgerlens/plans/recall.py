@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed, shared_folder
-from ..operators import consolidation, evaluation, joins, retrieval, segments, trees, vectors
+from ..operators import consolidation, evaluation, joins, retrieval, segments, substrings, trees, vectors
 from ..registry import query
 
 LONG = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
@@ -281,12 +281,9 @@ round(CASE WHEN want IS NULL THEN 1.0 WHEN first IS NULL THEN 0.0 ELSE 1.0::DOUB
 FROM benchmark LEFT JOIN n ON n.query = item_id LEFT JOIN g ON g.query = item_id""",
 )
 def _(t):
-    """Documents that contain the item are what BM25 should find. Candidates share the item's longest word first."""
+    """Documents that contain the item are what BM25 should find."""
     items = t("benchmark").select(F.col("item_id").alias("case"), F.col("text").alias("needle"))
-    longest = F.array_max(F.transform(retrieval.terms(F.col("needle")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    index = retrieval.postings(t("documents"), "doc_id", "text").select("term", F.col("doc_id").alias("key"))
-    met = items.withColumn("term", longest).join(index, "term").join(t("documents").select(F.col("doc_id").alias("key"), "text"), "key")
-    expected = met.where(F.contains("text", F.col("needle"))).select("case", "key")
+    expected = substrings.containing(t("documents"), "doc_id", "text", items).join(items, "needle").select("case", F.col("doc_id").alias("key"))
     results = bm25_list(t).select(F.col("query").alias("case"), F.col("doc_id").alias("key"), "rank")
     return evaluation.metrics(results, expected, items, 10)
 
