@@ -21,7 +21,7 @@ def contradicts(a: Column, b: Column) -> Column:
     return known & (a != b)
 
 
-def _streamed(rows: DataFrame, order: list[str], start: Callable, step: Callable, shape: str) -> DataFrame:
+def streamed(rows: DataFrame, order: list[str], start: Callable, step: Callable, shape: str) -> DataFrame:
     """step(state, row) -> (state, values) over the rows of each key in order; a row of values for each, after the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def _decide(state: tuple, r: dict) -> tuple[tuple, dict]:
 def consolidate(candidates: DataFrame) -> DataFrame:
     """key, seq, operation, version for each candidate (key, seq, status, predicate, text, polarity)."""
     rows = candidates.select("key", F.col("seq").cast("long"), "status", "predicate", "text", "polarity")
-    return _streamed(rows, ["seq", "status", "text"], lambda r: (None, None, 0), _decide, "seq long, operation string, version long")
+    return streamed(rows, ["seq", "status", "text"], lambda r: (None, None, 0), _decide, "seq long, operation string, version long")
 
 
 def versions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -98,6 +98,6 @@ def corrected(history: DataFrame, operations: DataFrame) -> DataFrame:
     two = history.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("key").agg(F.max_by("text", "version").alias("current"), F.min_by("text", "version").alias("previous"), F.max("version").alias("latest"))
     value = F.col("value") if "value" in operations.columns else F.lit(None).cast("string")
     ops = operations.select("key", F.col("seq").cast("long"), "operation", value.alias("value")).join(two, "key")
-    steps = _streamed(ops, ["seq", "operation"], lambda r: (r["previous"], r["current"], r["latest"], "active"), _govern, "seq long, text string, version long, status string")
+    steps = streamed(ops, ["seq", "operation"], lambda r: (r["previous"], r["current"], r["latest"], "active"), _govern, "seq long, text string, version long, status string")
     last = steps.groupBy("key").agg(F.max_by(F.struct("text", "version", "status"), F.struct("version", "seq")).alias("s"), F.max_by("status", "seq").alias("status"))
     return two.join(last, "key", "left").select("key", F.coalesce("s.text", "current").alias("text"), F.coalesce("s.version", "latest").alias("version"), F.coalesce("status", F.lit("active")).alias("status"))

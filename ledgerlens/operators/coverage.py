@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .consolidation import streamed
 from .joins import without_overlap
 
 
@@ -37,32 +40,37 @@ def validated(units: DataFrame) -> DataFrame:
     """units (message, at, id, start, end, evidence, raw) with ``reason``: null if accepted, else why not.
 
     Units are taken in the order of ``at``; what is rejected for its own faults never stands in another one's way. Of
-    units that repeat an id or overlap, the first accepted one stays: the fold runs over a message's units, which are
-    few, and carries only the accepted ends.
+    units that repeat an id or overlap, the first accepted one stays. Units are streamed in order, and of a message only
+    the accepted ids and spans are held, sorted.
     """
     c = F.col
     fault = (
         F.when(c("id").isNull() | (c("id") == ""), "malformed_record").when(c("start").isNull() | c("end").isNull(), "malformed_record").when(c("start") >= c("end"), "span_inverted")
         .when((c("start") < 0) | (c("end") > F.length("raw")), "span_out_of_range").when(F.expr("substring(raw, start + 1, end - start)") != c("evidence"), "evidence_mismatch")
     )
-    own = units.withColumn("fault", fault)
-    rows = own.groupBy("message").agg(F.array_sort(F.collect_list(F.struct("at", "id", "start", "end", "fault"))).alias("us"))
-    kept = "array<struct<id:string,start:int,end:int>>"
-    done = "array<struct<at:int,reason:string>>"
-    empty = F.struct(F.array().cast(kept).alias("kept"), F.array().cast(done).alias("done"))
-
-    def step(acc: Column, u: Column) -> Column:
-        twice = F.exists(acc["kept"], lambda k: k["id"] == u["id"])
-        overlap = F.exists(acc["kept"], lambda k: (u["start"] < k["end"]) & (k["start"] < u["end"]))
-        early = u["fault"] == "malformed_record"
-        reason = F.when(early, u["fault"]).when(twice, "duplicate_unit_id").when(u["fault"].isNotNull(), u["fault"]).when(overlap, "units_overlap")
-        more = F.when(reason.isNull(), F.array(F.struct(u["id"].alias("id"), u["start"].cast("int").alias("start"), u["end"].cast("int").alias("end")))).otherwise(F.array().cast(kept))
-        return F.struct(F.concat(acc["kept"], more).alias("kept"), F.concat(acc["done"], F.array(F.struct(u["at"].cast("int").alias("at"), reason.alias("reason")))).alias("done"))
-
-    verdict = rows.select("message", F.explode(F.aggregate("us", empty, step, lambda a: a["done"])).alias("d")).select("message", F.col("d.at").alias("at"), F.col("d.reason").alias("reason"))
+    own = units.select(c("message").alias("key"), "at", "id", "start", "end", fault.alias("fault"))
+    verdict = streamed(own, ["at"], lambda _: (set(), [], []), _accepted, f"at {units.schema['at'].dataType.simpleString()}, reason string").withColumnRenamed("key", "message")
     return units.join(verdict, ["message", "at"])
 
 
+def _accepted(state: tuple, r: dict) -> tuple[tuple, dict]:
+    """The ids, starts and ends accepted so far, and the reason against this unit. Accepted spans do not overlap, so both lists are sorted."""
+    ids, starts, ends = state
+    reason = r["fault"]
+    if reason != "malformed_record":
+        if r["id"] in ids:
+            reason = "duplicate_unit_id"
+        elif reason is None:
+            at = bisect_left(starts, r["end"])
+            if at and ends[at - 1] > r["start"]:
+                reason = "units_overlap"
+            else:
+                ids.add(r["id"])
+                starts.insert(at, r["start"])
+                ends.insert(at, r["end"])
+    return state, {"at": r["at"], "reason": reason}
+
+
 def uncovered(tokens: DataFrame, spans: DataFrame, authority: str | None = None) -> DataFrame:
     """message, start, end, tokens of the runs of neighbouring tokens that no span overlaps.
 
