@@ -45,8 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that of the smallest doc_id (of rows that repeat it, the first). Texts without words stay."""
-    rows = saved(_wrapped(docs).withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    keep = near_duplicates(rows, key="row").where("first").select("row")
+    rows = saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.monotonically_increasing_id().alias("row")), "near-rows")
+    keep = near_duplicates(rows.select("whole.doc_id", "whole.text", "row"), key="row").where("first").select("row")
     return rows.join(keep, "row", "left_semi").select("whole.*")
 
 
