@@ -32,8 +32,8 @@ SHINGLE, SHARE, BANDS, ROWS = 5, 75, 40, 5
 HUBS, FEW, CHUNK = 2, 1, 4096
 #: Standard deviations by which a full signature may fall below the similarity before a pair is taken for different.
 DOUBT = 3.3
-#: Elements that one vectorised signature step holds at once.
-STEP = 150_000
+#: Elements that one vectorised signature step holds at once (about 1 kB each), and shingles that are dealt to parts at once.
+STEP, DEAL = 40_000, 400_000
 
 
 def signatures(elements: np.ndarray, owner: np.ndarray, n: int, slots: int) -> np.ndarray:
@@ -134,18 +134,35 @@ def _similar(k: int, share: int):
 
 
 def _owned(k: int, parts: int):
-    """Every shingle of the texts with its document, as a pair of arrays for each part of the hash space."""
+    """Every shingle of the texts with its document, as a pair of arrays for each part of the hash space that occurs among DEAL shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
+        sets: list[np.ndarray] = []
+        nodes: list[int] = []
+
+        def dealt() -> pa.RecordBatch:
             keys = np.concatenate(sets)
-            owners = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
+            owners = np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])
+            sets.clear()
+            nodes.clear()
             part = (keys % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            own = [order[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([keys[o].tobytes() for o in own], pa.binary()), pa.array([owners[o].tobytes() for o in own], pa.binary())], names=["part", "keys", "owners"])
+            keys, owners, part = keys[order], owners[order], part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            own = list(zip(first, [*first[1:], len(part)], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array([keys[x:y].tobytes() for x, y in own], pa.binary()), pa.array([owners[x:y].tobytes() for x, y in own], pa.binary())], names=["part", "keys", "owners"])
+
+        held = 0
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sets.append(shingle_set(text.as_py(), k))
+                nodes.append(node)
+                held += len(sets[-1])
+                if held >= DEAL:
+                    yield dealt()
+                    held = 0
+        if held:
+            yield dealt()
 
     return run
 
