@@ -7,8 +7,12 @@ are then counted in the same way as (two ids, id) keys. A shard of trigrams writ
 contexts, and sends on for each pair (v, w) how many words come before it; shards of pairs do the same for single words.
 Pairs at the beginning of a text, which nothing comes before, keep their plain counts. Shards are as many as the
 number of training tokens asks for (``SHARD`` each), so a task's memory does not grow with the corpus. Contexts are dealt
-by hash; those of two words (or one) that each hold much of the corpus are dealt by the whole n-gram, and their sums are
-merged apart, so that no context is one task's alone.
+by the hash of their first word, or of both if the first holds much of the corpus; those of two words (or one) that each
+hold much of it are dealt by the whole n-gram, and their sums are merged apart, so that no context is one task's alone.
+
+Arrays take few bytes for each n-gram: pairs are trees of distinct first ids, offsets and second ids (4 bytes a pair),
+trigrams are offsets and last ids below the pairs, and counts are a byte each with the few large ones apart. Shuffle files
+of a stage go before the next one writes.
 
 Arrays are .npy files in the shared folder (written under another name and then renamed, so a task that runs twice is
 harmless). Scoring: workers map the files and look up batches of sorted keys; nothing of the model is on the driver but
@@ -33,11 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import U, hash_all, mix, salt, words_of
-from .store import dropped, saved, shared_dir, table
+from .store import dropped, released, saved, shared_dir, table
 
 END = mix(np.array([salt(101)]))[0]
 #: Tokens that are counted or scored at once, and training tokens of a shard.
 STEP, SHARD = 2_000_000, 1_500_000
+#: The count from which counts stand apart from their byte, and the places that share one whole offset.
+LARGE, NEAR = 255, 16
 #: Ids of the place before a text and of words that were not learned.
 NONE, UNKNOWN = 2**32 - 1, 2**32 - 2
 
@@ -64,6 +70,11 @@ def _shard(context: np.ndarray, word: np.ndarray, apart: np.ndarray, shards: int
     return (np.where(apart, mix(own + word.astype(U)), own) % U(shards)).astype(np.int64)
 
 
+def _home(context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What a context of two words is dealt by: its first word, or both where the first is one of the hot ones."""
+    return np.where(_among(context >> U(32), hot), context, context & ~U(0xFFFFFFFF))
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
@@ -167,7 +178,7 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpacked(x: pa.BinaryScalar) -> bytes:
@@ -255,6 +266,111 @@ class Arrays:
         return out
 
 
+    def places(self, first: np.ndarray, second: np.ndarray, shard: np.ndarray, name: str) -> np.ndarray:
+        """Places of the pairs in the trees of their shards (see ``_tree``); -1 where absent."""
+        out = np.full(len(first), -1)
+        for s, own in self.each(shard):
+            head = self.map(f"{name}-head", s)
+            if head is None or not len(head):
+                continue
+            want = first[own].astype(head.dtype)
+            at = np.minimum(np.searchsorted(head, want), len(head) - 1)
+            hit = head[at] == want
+            out[own[hit]] = _within(self.map(f"{name}-tail", s), *self.stretch(name, s, at[hit]), second[own[hit]])
+        return out
+
+    def stretch(self, name: str, shard: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where what stands below each place starts and ends."""
+        start, base = self.map(f"{name}-from", shard), self.map(f"{name}-base", shard)
+        at = lambda i: start[i].astype(np.int64) + (0 if base is None else base[i // NEAR])
+        return at(place), at(place + 1)
+
+    def values(self, name: str, shard: int, place: np.ndarray) -> np.ndarray:
+        """Counts at places; those that a byte cannot hold stand apart."""
+        out = self.map(name, shard)[place].astype(np.int64)
+        large = np.flatnonzero(out == LARGE)
+        if len(large):
+            out[large] = self.map(f"{name}-large", shard)[np.searchsorted(self.map(f"{name}-at", shard), place[large])]
+        return out
+
+    def below(self, place: np.ndarray, word: np.ndarray, shard: np.ndarray, name: str) -> np.ndarray:
+        """Places of the words among those of the places of another array; -1 where absent or where the place is."""
+        out = np.full(len(place), -1)
+        for s, own in self.each(shard):
+            own = own[place[own] >= 0]
+            if len(own):
+                out[own] = _within(self.map(f"{name}-tail", s), *self.stretch(name, s, place[own]), word[own])
+        return out
+
+    def at(self, place: np.ndarray, shard: np.ndarray, *columns: str) -> list[np.ndarray]:
+        """Counts at places; 0 where the place is -1."""
+        out = [np.zeros(len(place)) for _ in columns]
+        for s, own in self.each(shard):
+            own = own[place[own] >= 0]
+            for o, c in zip(out, columns if len(own) else (), strict=False):
+                o[own] = self.values(c, s, place[own])
+        return out
+
+    def sums(self, place: np.ndarray, shard: np.ndarray, name: str, below: str) -> list[np.ndarray]:
+        """total, ones, twos and more of contexts; more are those that are neither, so they need no array."""
+        total, ones, twos = self.at(place, shard, *(f"{name}-{x}" for x in ("total", "ones", "twos")))
+        count = np.zeros(len(place))
+        for s, own in self.each(shard):
+            own = own[place[own] >= 0]
+            if len(own):
+                start, end = self.stretch(below, s, place[own])
+                count[own] = end - start
+        return [total, ones, twos, count - ones - twos]
+
+
+def _within(sorted_: np.ndarray, start: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in its own stretch of a sorted array; -1 where it is not."""
+    low, high, stop = start.astype(np.int64), end.astype(np.int64), end.astype(np.int64)
+    want = want.astype(sorted_.dtype)
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) >> 1
+        less = sorted_[mid] < want[live]
+        low[live[less]] = mid[less] + 1
+        high[live[~less]] = mid[~less]
+        live = live[low[live] < high[live]]
+    found = np.flatnonzero(low < stop)
+    out = np.full(len(want), -1)
+    found = found[sorted_[low[found]] == want[found]]
+    out[found] = low[found]
+    return out
+
+
+def _tree(folder: str, name: str, shard: int, keys: np.ndarray) -> None:
+    """Sorted pairs (two ids in one key) as distinct first ids, where the stretch of each begins, and second ids: 4 bytes a pair."""
+    head = keys >> U(32)
+    first = np.flatnonzero(np.append(True, head[1:] != head[:-1])) if len(keys) else np.zeros(0, np.int64)
+    _write(folder, f"{name}-head-{shard}", head[first].astype(np.uint32))
+    _write_offsets(folder, name, shard, np.append(first, len(keys)))
+    _write(folder, f"{name}-tail-{shard}", (keys & U(0xFFFFFFFF)).astype(np.uint32))
+
+
+def _write_offsets(folder: str, name: str, shard: int, places: np.ndarray) -> None:
+    """Increasing places as 2 bytes each beyond every NEAR-th one, or as 4 or 8 where stretches are too long for that."""
+    base = places[::NEAR]
+    beyond = places - base[np.arange(len(places)) // NEAR]
+    wide = np.int32 if places[-1] < 2**31 else np.int64
+    if beyond.max(initial=0) < 2**16:
+        _write(folder, f"{name}-base-{shard}", base.astype(wide))
+        _write(folder, f"{name}-from-{shard}", beyond.astype(np.uint16))
+    else:
+        _write(folder, f"{name}-from-{shard}", places.astype(wide))
+
+
+def _write_counts(folder: str, name: str, shard: int, counts: np.ndarray) -> None:
+    """Counts as a byte each; the few that need more stand apart with their places."""
+    large = np.flatnonzero(counts >= LARGE)
+    if len(large):
+        _write(folder, f"{name}-at-{shard}", large.astype(np.int64))
+        _write(folder, f"{name}-large-{shard}", _narrow(counts[large]))
+    _write(folder, f"{name}-{shard}", np.minimum(counts, LARGE).astype(np.uint8))
+
+
 @dataclass
 class Words:
     """Ids and counts of the words: an id is a word's place in the arrays of all shards."""
@@ -307,10 +423,12 @@ class Model:
         """P of word after one. low: P of word by itself."""
         heads, of = np.unique(one, return_inverse=True)
         apart = _among(heads, self.hot)
-        total, *kinds = self.words.arrays.find(heads, _shard(heads, heads, apart & False, self.shards), "head", "head-total", "head-ones", "head-twos", "head-more")
+        arrays, home = self.words.arrays, _shard(heads, heads, apart & False, self.shards)
+        total, *kinds = arrays.sums(arrays.find(heads, home, "pair-head")[0], home, "head", "pair")
         for col, x in enumerate((total, *kinds)):
             x[apart] = self.hot_sums[np.searchsorted(self.hot, heads[apart]), col]
-        n = self.words.arrays.find(one << U(32) | word, _shard(one, word, apart[of], self.shards), "pair", "pair-befores")[0]
+        shard = _shard(one, word, apart[of], self.shards)
+        n = arrays.at(arrays.places(one, word, shard, "pair"), shard, "pair-befores")[0]
         return (n - _cut(n, self.discounts[1])) / np.maximum(total, 1)[of] + self._back(total, kinds, self.discounts[1])[of] * low
 
     def p_trigram(self, context: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -318,16 +436,14 @@ class Model:
         arrays = self.words.arrays
         two, of = np.unique(context, return_inverse=True)
         apart = _among(two >> U(32), self.hot) & _among(two & U(0xFFFFFFFF), self.hot)
-        place = _shard(two, two, apart & False, self.shards)
-        sums = arrays.find(two, place, "context", "total", "ones", "twos", "more")
-        rest = arrays.find(two[apart], place[apart], "apart", "apart-total", "apart-ones", "apart-twos", "apart-more")
+        place = _shard(_home(two, self.hot), two, apart & False, self.shards)
+        sums = arrays.sums(arrays.places(two >> U(32), two & U(0xFFFFFFFF), place, "context"), place, "context", "gram")
+        rest = arrays.find(two[apart], _shard(two[apart], two[apart], apart[apart] & False, self.shards), "apart", "apart-total", "apart-ones", "apart-twos", "apart-more")
         for x, y in zip(sums, rest, strict=True):
             x[apart] = y
-        shard = _shard(context, word, apart[of], self.shards)
-        n = np.zeros(len(context))
-        at = arrays.find(context, shard, "context")[0]
-        seen = np.flatnonzero(at >= 0)
-        n[seen] = arrays.find(at[seen].astype(U) << U(32) | word[seen], shard[seen], "gram", "times")[0]
+        shard = _shard(_home(context, self.hot), word, apart[of], self.shards)
+        at = arrays.places(context >> U(32), context & U(0xFFFFFFFF), shard, "context")
+        n = arrays.at(arrays.below(at, word, shard, "gram"), shard, "times")[0]
         total, *kinds = sums
         return (n - _cut(n, self.discounts[2])) / np.maximum(total, 1)[of] + self._back(total, kinds, self.discounts[2])[of] * low
 
@@ -395,6 +511,7 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
     spark.sparkContext.setJobDescription("count words")
     counted = text.mapInArrow(_counter(lambda t: t, lambda k: _range_shard(k, first)), BLOBS).groupBy("shard").applyInArrow(words, f"shard long, {STATS}, heavy array<long>, times array<long>").collect()
     spark.sparkContext.setJobDescription(None)
+    released(spark)
     sizes = np.zeros(first, np.int64)
     for r in counted:
         sizes[r.shard] = r.types
@@ -416,7 +533,7 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
             context, word, times = _counted(*_trigrams(known.ids(hashes)[of], np.cumsum(size) - size))
             held.clear()
             apart = _among(context >> U(32), hot) & _among(context & U(0xFFFFFFFF), hot)
-            return _gram_blobs(_shard(context, word, apart, n), context, word, times)
+            return _gram_blobs(_shard(_home(context, hot), word, apart, n), context, word, times)
 
         for b in batches:
             for t in b.column(0):
@@ -430,11 +547,12 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
         s = key[0].as_py()
         context, word, times = _gram_read(group)
         firsts, at, sums = _sums_of(context, times)
-        _write(place, f"context-{s}", firsts)
-        _write(place, f"gram-{s}", at.astype(U) << U(32) | word.astype(U))
-        _write(place, f"times-{s}", _narrow(times))
-        for name, x in zip(("total", "ones", "twos", "more"), sums.T, strict=True):
-            _write(place, f"{name}-{s}", _narrow(x))
+        _tree(place, "context", s, firsts)
+        _write_offsets(place, "gram", s, np.append(0, np.cumsum(np.bincount(at, minlength=len(firsts)))))
+        _write(place, f"gram-tail-{s}", word.astype(np.uint32))
+        _write_counts(place, "times", s, times)
+        for name, x in zip(("total", "ones", "twos"), sums.T, strict=False):
+            _write_counts(place, f"context-{name}", s, x)
         apart = _among(firsts >> U(32), hot) & _among(firsts & U(0xFFFFFFFF), hot)
         one = context & U(0xFFFFFFFF)
         heads, lasts, befores = _counted(one, word, np.where(one == U(NONE), times, 1))
@@ -443,13 +561,12 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
     def pairs(key: tuple, group: pa.Table) -> pa.Table:
         s = key[0].as_py()
         head, word, befores = _gram_read(group)
-        _write(place, f"pair-{s}", head << U(32) | word.astype(U))
-        _write(place, f"pair-befores-{s}", _narrow(befores))
+        _tree(place, "pair", s, head << U(32) | word.astype(U))
+        _write_counts(place, "pair-befores", s, befores)
         firsts, _, sums = _sums_of(head, befores)
         apart = _among(firsts, hot)
-        _write(place, f"head-{s}", firsts[~apart].astype(np.uint32))
-        for name, x in zip(("total", "ones", "twos", "more"), sums[~apart].T, strict=True):
-            _write(place, f"head-{name}-{s}", _narrow(x))
+        for name, x in zip(("total", "ones", "twos"), sums.T, strict=False):
+            _write_counts(place, f"head-{name}", s, x)
         ids, n_before = np.unique(word.astype(U), return_counts=True)
         none = np.zeros(len(ids), U)
         return _folded([_gram_blobs((mix(ids) % U(n)).astype(np.int64), none, ids.astype(np.uint32), n_before)], befores, firsts[apart], sums[apart])
@@ -475,6 +592,7 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
 
     cells = lambda df: df.where("context is not null").select("shard", "context", "word", "times").groupBy("shard")
     three = saved(text.mapInArrow(trigrams, GRAMS).groupBy("shard").applyInArrow(contexts, FOLD), "lm-trigrams")
+    released(spark)
     rows = _hot_rows(three).mapInArrow(numbered, "shard long, context long, s0 long, s1 long, s2 long, s3 long")
     rows.groupBy("shard").applyInArrow(apart_sums, "n long").agg(F.sum("n")).collect()
     stats = [_sums(three)]
