@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,5 +53,16 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: the shuffle files of jobs that are over go from the executors' disks.
+
+    What one collection frees may be what holds others, and the files are removed in the background, so it takes two.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
