@@ -14,9 +14,10 @@ Arrays take few bytes for each n-gram: pairs are trees of distinct first ids, of
 trigrams are offsets and last ids below the pairs, and counts are a byte each with the few large ones apart. Shuffle files
 of a stage go before the next one writes.
 
-Arrays are .npy files in the shared folder (written under another name and then renamed, so a task that runs twice is
-harmless). Scoring: workers map the files and look up batches of sorted keys; nothing of the model is on the driver but
-its discounts and the words that are dealt apart (fewer than twice the shards).
+The arrays that a task makes of its shard are one file in the shared folder (written under another name and then renamed,
+so a task that runs twice is harmless). Scoring: workers map the files and look up batches of sorted keys; a worker holds
+a limited number of maps at once, however many shards there are. Nothing of the model is on the driver but its discounts
+and the words that are dealt apart (fewer than twice the shards).
 
 Edge cases: a null or empty text is one end token; rows without doc_id are scored as held out and never learned from;
 an empty training set gives base and model the uniform distribution over end and unknown; repeated rows count as often
@@ -25,8 +26,12 @@ as they occur; an empty table gives an empty table. Only doc_id and text are rea
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
+import resource
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +49,8 @@ END = mix(np.array([salt(101)]))[0]
 STEP, SHARD = 2_000_000, 1_500_000
 #: The count from which counts stand apart from their byte, and the places that share one whole offset.
 LARGE, NEAR = 255, 16
+#: Files that a worker maps at once, at most (a map holds a file descriptor), and the bytes that arrays begin at multiples of.
+MAPS, ALIGN = 4096, 64
 #: Ids of the place before a text and of words that were not learned.
 NONE, UNKNOWN = 2**32 - 1, 2**32 - 2
 
@@ -104,11 +111,38 @@ def _read(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _write(folder: str, name: str, array: np.ndarray) -> None:
-    path = f"{folder}/{name}.npy"
-    with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-        np.save(f, array)
-    os.replace(part, path)
+class Bundle:
+    """A file of named arrays: one after the other, then their places as JSON, then its length."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.path = f"{folder}/{name}.arrays"
+        self.part = f"{self.path}.{uuid.uuid4().hex}"
+        self.file, self.index = open(self.part, "wb"), {}
+
+    def __enter__(self) -> Bundle:
+        return self
+
+    def write(self, name: str, array: np.ndarray) -> None:
+        self.file.write(bytes(-self.file.tell() % ALIGN))
+        self.index[name] = array.dtype.str, self.file.tell(), len(array)
+        self.file.write(memoryview(np.ascontiguousarray(array)).cast("B") if len(array) else b"")
+
+    def __exit__(self, kind, *_) -> None:
+        index = json.dumps(self.index).encode()
+        self.file.write(index + len(index).to_bytes(8, "little"))
+        self.file.close()
+        if kind is None:
+            os.replace(self.part, self.path)
+
+
+def _opened(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file that a Bundle wrote, mapped; none if there is no such file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, "rb") as f:
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    size = int.from_bytes(whole[-8:], "little")
+    return {name: np.frombuffer(whole, kind, n, at) for name, (kind, at, n) in json.loads(whole[-8 - size : -8]).items()}
 
 
 def _counter(keys_of, shard_of):
@@ -228,20 +262,27 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 class Arrays:
-    """Sorted arrays of shards in a folder, mapped when first read."""
+    """Sorted arrays of shards in a folder, mapped when they are read; those read last stay mapped."""
+
+    #: Which file an array is in, by the first part of its name.
+    FILES = {"word": "words", "count": "words", "context": "contexts", "gram": "contexts", "times": "contexts", "pair": "pairs", "head": "pairs", "next": "singles", "befores": "singles", "apart": "apart"}
 
     def __init__(self, folder: str):
-        self.folder, self.maps = folder, {}
+        self.folder, self.maps, self.most = folder, OrderedDict(), 0
 
     def __getstate__(self) -> dict:
-        return {"folder": self.folder, "maps": {}}
+        return {"folder": self.folder, "maps": OrderedDict(), "most": 0}
 
     def map(self, name: str, shard: int) -> np.ndarray | None:
-        key = f"{name}-{shard}"
-        if key not in self.maps:
-            path = f"{self.folder}/{key}.npy"
-            self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.maps[key]
+        key = f"{self.FILES[name.partition('-')[0]]}-{shard}"
+        if key in self.maps:
+            self.maps.move_to_end(key)
+        else:
+            self.most = self.most or max(16, min(MAPS, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2))
+            while len(self.maps) >= self.most:
+                self.maps.popitem(last=False)
+            self.maps[key] = _opened(f"{self.folder}/{key}.arrays")
+        return self.maps[key].get(name)
 
     def each(self, shard: np.ndarray):
         """(shard, places) of the shards that occur."""
@@ -341,34 +382,34 @@ def _within(sorted_: np.ndarray, start: np.ndarray, end: np.ndarray, want: np.nd
     return out
 
 
-def _tree(folder: str, name: str, shard: int, keys: np.ndarray) -> None:
+def _tree(out: Bundle, name: str, keys: np.ndarray) -> None:
     """Sorted pairs (two ids in one key) as distinct first ids, where the stretch of each begins, and second ids: 4 bytes a pair."""
     head = keys >> U(32)
     first = np.flatnonzero(np.append(True, head[1:] != head[:-1])) if len(keys) else np.zeros(0, np.int64)
-    _write(folder, f"{name}-head-{shard}", head[first].astype(np.uint32))
-    _write_offsets(folder, name, shard, np.append(first, len(keys)))
-    _write(folder, f"{name}-tail-{shard}", (keys & U(0xFFFFFFFF)).astype(np.uint32))
+    out.write(f"{name}-head", head[first].astype(np.uint32))
+    _write_offsets(out, name, np.append(first, len(keys)))
+    out.write(f"{name}-tail", (keys & U(0xFFFFFFFF)).astype(np.uint32))
 
 
-def _write_offsets(folder: str, name: str, shard: int, places: np.ndarray) -> None:
+def _write_offsets(out: Bundle, name: str, places: np.ndarray) -> None:
     """Increasing places as 2 bytes each beyond every NEAR-th one, or as 4 or 8 where stretches are too long for that."""
     base = places[::NEAR]
     beyond = places - base[np.arange(len(places)) // NEAR]
     wide = np.int32 if places[-1] < 2**31 else np.int64
     if beyond.max(initial=0) < 2**16:
-        _write(folder, f"{name}-base-{shard}", base.astype(wide))
-        _write(folder, f"{name}-from-{shard}", beyond.astype(np.uint16))
+        out.write(f"{name}-base", base.astype(wide))
+        out.write(f"{name}-from", beyond.astype(np.uint16))
     else:
-        _write(folder, f"{name}-from-{shard}", places.astype(wide))
+        out.write(f"{name}-from", places.astype(wide))
 
 
-def _write_counts(folder: str, name: str, shard: int, counts: np.ndarray) -> None:
+def _write_counts(out: Bundle, name: str, counts: np.ndarray) -> None:
     """Counts as a byte each; the few that need more stand apart with their places."""
     large = np.flatnonzero(counts >= LARGE)
     if len(large):
-        _write(folder, f"{name}-at-{shard}", large.astype(np.int64))
-        _write(folder, f"{name}-large-{shard}", _narrow(counts[large]))
-    _write(folder, f"{name}-{shard}", np.minimum(counts, LARGE).astype(np.uint8))
+        out.write(f"{name}-at", large.astype(np.int64))
+        out.write(f"{name}-large", _narrow(counts[large]))
+    out.write(name, np.minimum(counts, LARGE).astype(np.uint8))
 
 
 @dataclass
@@ -503,8 +544,9 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
 
     def words(key: tuple, group: pa.Table) -> pa.Table:
         keys, counts = _merge(_read(group))
-        _write(place, f"count-{key[0].as_py()}", _narrow(counts))
-        _write(place, f"word-{key[0].as_py()}", keys)
+        with Bundle(place, f"words-{key[0].as_py()}") as out:
+            out.write("count", _narrow(counts))
+            out.write("word", keys)
         top = np.argsort(-counts)[:64]
         return pa.Table.from_pylist([{"shard": key[0].as_py()} | dict(zip(NAMES, _stats(counts), strict=True)) | {"heavy": top.tolist(), "times": counts[top].tolist()}])
 
@@ -544,45 +586,47 @@ def train(docs: DataFrame, folder: str | None = None, shards: int | None = None)
             yield counts()
 
     def contexts(key: tuple, group: pa.Table) -> pa.Table:
-        s = key[0].as_py()
         context, word, times = _gram_read(group)
         firsts, at, sums = _sums_of(context, times)
-        _tree(place, "context", s, firsts)
-        _write_offsets(place, "gram", s, np.append(0, np.cumsum(np.bincount(at, minlength=len(firsts)))))
-        _write(place, f"gram-tail-{s}", word.astype(np.uint32))
-        _write_counts(place, "times", s, times)
-        for name, x in zip(("total", "ones", "twos"), sums.T, strict=False):
-            _write_counts(place, f"context-{name}", s, x)
+        with Bundle(place, f"contexts-{key[0].as_py()}") as out:
+            _tree(out, "context", firsts)
+            _write_offsets(out, "gram", np.append(0, np.cumsum(np.bincount(at, minlength=len(firsts)))))
+            out.write("gram-tail", word.astype(np.uint32))
+            _write_counts(out, "times", times)
+            for name, x in zip(("total", "ones", "twos"), sums.T, strict=False):
+                _write_counts(out, f"context-{name}", x)
         apart = _among(firsts >> U(32), hot) & _among(firsts & U(0xFFFFFFFF), hot)
         one = context & U(0xFFFFFFFF)
         heads, lasts, befores = _counted(one, word, np.where(one == U(NONE), times, 1))
         return _folded([_gram_blobs(_shard(heads, lasts, _among(heads, hot), n), heads, lasts, befores)], times, firsts[apart], sums[apart])
 
     def pairs(key: tuple, group: pa.Table) -> pa.Table:
-        s = key[0].as_py()
         head, word, befores = _gram_read(group)
-        _tree(place, "pair", s, head << U(32) | word.astype(U))
-        _write_counts(place, "pair-befores", s, befores)
         firsts, _, sums = _sums_of(head, befores)
         apart = _among(firsts, hot)
-        for name, x in zip(("total", "ones", "twos"), sums.T, strict=False):
-            _write_counts(place, f"head-{name}", s, x)
+        with Bundle(place, f"pairs-{key[0].as_py()}") as out:
+            _tree(out, "pair", head << U(32) | word.astype(U))
+            _write_counts(out, "pair-befores", befores)
+            for name, x in zip(("total", "ones", "twos"), sums.T, strict=False):
+                _write_counts(out, f"head-{name}", x)
         ids, n_before = np.unique(word.astype(U), return_counts=True)
         none = np.zeros(len(ids), U)
         return _folded([_gram_blobs((mix(ids) % U(n)).astype(np.int64), none, ids.astype(np.uint32), n_before)], befores, firsts[apart], sums[apart])
 
     def singles(key: tuple, group: pa.Table) -> pa.Table:
         _, word, befores = _gram_read(group)
-        _write(place, f"next-{key[0].as_py()}", word)
-        _write(place, f"befores-{key[0].as_py()}", _narrow(befores))
+        with Bundle(place, f"singles-{key[0].as_py()}") as out:
+            out.write("next", word)
+            out.write("befores", _narrow(befores))
         return pa.Table.from_pylist([dict(zip(NAMES, _stats(befores), strict=True))])
 
     def apart_sums(key: tuple, group: pa.Table) -> pa.Table:
         context = group.column("context").to_numpy().view(np.uint64)
         order = np.argsort(context)
-        _write(place, f"apart-{key[0].as_py()}", context[order])
-        for j, name in enumerate(("total", "ones", "twos", "more")):
-            _write(place, f"apart-{name}-{key[0].as_py()}", _narrow(group.column(f"s{j}").to_numpy()[order]))
+        with Bundle(place, f"apart-{key[0].as_py()}") as out:
+            out.write("apart", context[order])
+            for j, name in enumerate(("total", "ones", "twos", "more")):
+                out.write(f"apart-{name}", _narrow(group.column(f"s{j}").to_numpy()[order]))
         return pa.table({"n": pa.array([len(context)], pa.int64())})
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

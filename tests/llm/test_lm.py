@@ -1,8 +1,11 @@
 import collections
 import math
 import random
+import resource
 
-from ledgerlens.llm.lm import score, train
+import numpy as np
+
+from ledgerlens.llm.lm import score, tokens, train
 
 
 def discounts(counts):
@@ -113,3 +116,19 @@ def test_query_on_its_table(spark):
         assert math.isclose(r.base_score, b, rel_tol=1e-9) and math.isclose(r.score, lp, rel_tol=1e-6)
         base, own = base + b * r.held_out, own + lp * r.held_out
     assert own > base
+
+
+def test_a_worker_maps_no_more_files_than_it_may_open(spark):
+    """Many shards and few file descriptors: maps give way to others, and scores stay as they are."""
+    texts = [" ".join(f"w{(i * i + j * j) % 97}" for j in range(30)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = train(docs, shards=120)
+    want = reference(texts, texts[:5])
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (200, hard))
+    try:
+        for text, (_, _, _, score_) in zip(texts[:5], want, strict=True):
+            assert math.isclose(model.log10(tokens(text), np.array([0]))[0].sum(), score_, rel_tol=1e-9)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert len(model.words.arrays.maps) <= 100
