@@ -6,6 +6,7 @@ is the raw span behind it. Both ways give all hits; ``leftmost_longest`` then ke
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from ..functions import unicode_text as U
 MOST_TOKENS = 1_000_000
 #: What may be between the tokens of a phrase.
 BETWEEN = set(" \t\n_-'’")
+#: The same in a raw Latin text, where all blanks are still there.
+JOINT = re.compile(r"[\t\n\x0B\f\r \u00A0_\-']*")
 
 
 class TokenAutomaton:
@@ -58,9 +61,9 @@ class TokenAutomaton:
 
     def hits(self, words: list[str], joined: list[bool]) -> Iterator[tuple[int, int, int]]:
         """(number, first, last) of all phrases in the words. joined: whether a word may follow the one before in a phrase."""
-        at = 0
+        at, root = 0, self.next[0]
         for i, w in enumerate(words):
-            at = self.step(at if joined[i] else 0, w)
+            at = self.step(at, w) if at and joined[i] else root.get(w, 0)
             end = at
             while end:
                 for number, size in self.ends[end]:
@@ -71,10 +74,16 @@ class TokenAutomaton:
 def laid_out(raw: str | None) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
     """The prose tokens of a text, whether each may follow the one before in a phrase, and their raw spans."""
     raw = raw or ""
+    if U.latin(raw):  # tokens stand where they stand in the raw text
+        found = [(m[0], *m.span()) for m in U.LATIN_WORD.finditer(raw.lower())]
+        ends = [0, *(b for _, _, b in found)]
+        joined = [i > 0 and JOINT.fullmatch(raw, ends[i], found[i][1]) is not None for i in range(len(found))]
+        return [w for w, _, _ in found], joined, [(a, b) for _, a, b in found]
     text, pieces = U.mapped(raw)
     own = U.prose_tokens(raw)
     joined = [i > 0 and set(text[own[i - 1][2] : own[i][1]]) <= BETWEEN for i in range(len(own))]
-    return [w for w, _, _ in own], joined, [U.raw_span(pieces, a, b) for _, a, b in own] if own else []
+    starts = [p[0] for p in pieces]
+    return [w for w, _, _ in own], joined, [U.raw_span(pieces, a, b, starts) for _, a, b in own]
 
 
 def phrase_tokens(phrase: str | None) -> list[str]:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -89,3 +90,27 @@ def test_queries_match_brute_force(spark):
     messages = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
     found = sorted((r.conv_id, r.turn, r.start, r.end) for r in q["f09_all_phrases"](spark, DATA).collect())
     assert found == sorted((*k, a, b) for k, raw in messages.items() for _, a, b in kept(plain(raw, fixed["negation"])))
+
+
+def test_latin_texts_are_laid_out_as_others_are(monkeypatch):
+    """Latin texts without fences take a short way; both ways give the same."""
+    rng = random.Random(4)
+    some = [*map(chr, range(0x20, 0x250)), *" \n\t\xa0_-' ,." * 12, *"abcÉß" * 20]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(0, 40))) for _ in range(1500)] + ["", " ", "a", " a ", "a\n```\nb\n```\n"]
+    made = lambda: [(U.parts(x), U.mapped(x), U.prose_tokens(x), L.laid_out(x)) for x in texts]
+    short = made()
+    assert sum(map(U.latin, texts)) > 500
+    monkeypatch.setattr(U, "latin", lambda raw: False)
+    assert short == made()
+
+
+@pytest.mark.parametrize("word", ["word ", "wоrd "])
+def test_time_of_a_text_grows_with_its_length(word):
+    """Spans of a text's tokens are looked up in one list of its pieces (the second word has a Cyrillic letter)."""
+    def seconds(n):
+        t = time.process_time()
+        L.laid_out(word * n)
+        return time.process_time() - t
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.005)
