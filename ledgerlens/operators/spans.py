@@ -17,33 +17,36 @@ PIECE = "struct<at:int,to:int,raw_start:int,raw_end:int,whole:boolean>"
 
 def pieces_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, piece of every piece of every text."""
-    own = texts.select(F.col(key).alias("key"), U.mapped_udf(text).alias("m")).select("key", F.length("m.text").alias("size"), F.posexplode("m.pieces").alias("i", "p"), F.col("m.pieces").alias("all"))
-    to = F.coalesce(F.try_element_at("all", F.col("i") + 2)["at"], F.col("size"))
-    return own.select("key", F.struct(F.col("p.at").alias("at"), to.alias("to"), F.col("p.raw_start").alias("raw_start"), F.col("p.raw_end").alias("raw_end"), F.col("p.whole").alias("whole")).cast(PIECE).alias("piece"))
+    own = texts.select(F.col(key).alias("key"), U.mapped_udf(text).alias("m"))
+    to = lambda i: F.coalesce(F.get("m.pieces", i + 1)["at"], F.length("m.text"))
+    piece = F.transform("m.pieces", lambda p, i: F.struct(p["at"].alias("at"), to(i).alias("to"), p["raw_start"].alias("raw_start"), p["raw_end"].alias("raw_end"), p["whole"].alias("whole")).cast(PIECE))
+    return own.select("key", F.explode(piece).alias("piece"))
 
 
 def _beside(spans: DataFrame, pieces: DataFrame, first: tuple[str, Column], last: tuple[str, Column]) -> DataFrame:
-    """spans with ``first`` and ``last``: for either end the last piece at or before a position, or the first one at or after it.
+    """key, span, start, stop with ``first`` and ``last``: for either end the last piece at or before a position, or the first one at or after it.
 
-    first, last: "before" or "after", and the piece's position in that order.
+    first, last: "before" or "after", and the piece's position in that order. Both ends and the pieces are dealt by key
+    once; every order is one running value (backwards for "after", since a frame to the end is quadratic).
     """
-    none = F.lit(None).cast(PIECE)
-    ends = spans.select("key", "span", F.explode(F.array(F.struct(F.lit("first").alias("end"), F.col("start").alias("pos")), F.struct(F.lit("last").alias("end"), (F.col("stop") - 1).alias("pos")))).alias("e")).select("key", "span", "e.*")
-    found = []
-    for name, (side, position) in (("first", first), ("last", last)):
-        rows = ends.where(F.col("end") == name).select("key", "span", "pos", F.lit(1 if side == "before" else 0).alias("kind"), none.alias("piece"))
-        marks = pieces.select("key", F.lit(None).cast(spans.schema["span"].dataType).alias("span"), position.alias("pos"), F.lit(0 if side == "before" else 1).alias("kind"), "piece")
-        order = Window.partitionBy("key").orderBy("pos", "kind")
-        frame = order.rowsBetween(Window.unboundedPreceding, 0) if side == "before" else order.rowsBetween(0, Window.unboundedFollowing)
-        value = F.last("piece", ignorenulls=True) if side == "before" else F.first("piece", ignorenulls=True)
-        found.append(rows.unionByName(marks).withColumn(name, value.over(frame)).where("span is not null").select("key", "span", name))
-    return spans.join(found[0], ["key", "span"]).join(found[1], ["key", "span"])
+    none = lambda c: F.lit(None).cast(spans.schema[c].dataType).alias(c)
+    sides = [first] if first is last else [first, last]
+    at = [F.col("start"), F.col("stop") - 1]
+    own = lambda e: F.struct(F.lit(e).alias("end"), *(at[e].alias(f"pos{n}") if len(sides) == 1 or n == e else F.lit(None).cast("int").alias(f"pos{n}") for n in range(len(sides))))
+    ends = spans.select("key", "span", "start", "stop", F.explode(F.array(own(0), own(1))).alias("e")).select("key", "span", "start", "stop", "e.*", F.lit(None).cast(PIECE).alias("piece"))
+    marks = pieces.select("key", none("span"), none("start"), none("stop"), F.lit(None).cast("int").alias("end"), *(p.cast("int").alias(f"pos{n}") for n, (_, p) in enumerate(sides)), "piece")
+    rows = ends.unionByName(marks)
+    for n, (side, _) in enumerate(sides):
+        by = [F.col(f"pos{n}"), F.col("piece").isNull(), F.col("piece.at")] if side == "before" else [F.col(f"pos{n}").desc(), F.col("piece").isNull(), F.col("piece.at").desc()]
+        rows = rows.withColumn(f"found{n}", F.last("piece", ignorenulls=True).over(Window.partitionBy("key").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
+    found = [F.first(F.when(F.col("end") == e, F.col(f"found{e if len(sides) > 1 else 0}")), ignorenulls=True).alias(name) for e, name in enumerate(("first", "last"))]
+    return rows.where("end is not null").groupBy("key", "span").agg(F.first("start").alias("start"), F.first("stop").alias("stop"), *found)
 
 
 def to_raw(spans: DataFrame, pieces: DataFrame) -> DataFrame:
     """spans (key, span, start, stop of the normalised text; key and span tell rows apart) with raw_start, raw_stop."""
-    at = F.col("piece.at")
-    both = _beside(spans, pieces, ("before", at), ("before", at))
+    at = ("before", F.col("piece.at"))
+    both = _beside(spans, pieces, at, at)
     low = F.when(F.col("first.whole"), F.col("first.raw_start")).otherwise(F.col("first.raw_start") + F.col("start") - F.col("first.at"))
     high = F.when(F.col("last.whole"), F.col("last.raw_end")).otherwise(F.col("last.raw_start") + F.col("stop") - F.col("last.at"))
     return both.select("key", "span", "start", "stop", low.alias("raw_start"), high.alias("raw_stop"))

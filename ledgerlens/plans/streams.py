@@ -171,9 +171,12 @@ def _(t):
 @query("f05_block_kinds")
 def _(t):
     """Blocks of each kind in every document, fenced or not; an empty or null text has none."""
-    b = t("documents").select("doc_id", U.blocks_udf("text").alias("b"))
+    fenced = F.contains("text", F.lit("```")) | F.contains("text", F.lit("~~~"))
+    # a text without fences is one block of prose, so only the others go through the Arrow function
+    b = t("documents").select("doc_id", "text", F.coalesce(fenced, F.lit(False)).alias("fenced")).select("doc_id", "fenced", (F.length("text") > 0).alias("any"), U.blocks_udf(F.when(F.col("fenced"), F.col("text"))).alias("b"))
     of = lambda kind: F.size(F.filter("b", lambda x: x["kind"] == kind)).cast("long").alias(kind)
-    return b.select("doc_id", of("prose"), of("code"))
+    whole = F.when(F.coalesce("any", F.lit(False)), 1).otherwise(0).cast("long")
+    return b.select("doc_id", F.when(F.col("fenced"), of("prose")).otherwise(whole).alias("prose"), F.when(F.col("fenced"), of("code")).otherwise(F.lit(0).cast("long")).alias("code"))
 
 
 @query("f16_sentence_units")
