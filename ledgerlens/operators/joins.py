@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 
 #: The grid width of versions that are still open.
 OPEN = 127
+#: Requests from which on an alias is joined by itself.
+OFTEN = 100_000
 
 
 def latest(children: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -79,9 +82,17 @@ def resolve_aliases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     """request, target, status: the first alias type (by priority) with exactly one target decides.
 
     requests: request, alias_type, alias, priority. aliases: alias_type, alias, target. Status is ``resolved``,
-    ``ambiguous`` (only types with several targets) or ``unknown``.
+    ``ambiguous`` (only types with several targets) or ``unknown``. Aliases that very many requests name are few; they meet
+    their requests where these are, and no task gets all of them.
     """
-    hits = requests.join(aliases, ["alias_type", "alias"], "left").groupBy("request", "priority", "alias_type").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
+    names = ["alias_type", "alias"]
+    often = checkpointed(requests.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).select(*names))
+    # a row for each alias, whatever its number of targets: only whether it is one counts
+    known = aliases.groupBy(*names).agg(F.min("target").alias("lo"), F.max("target").alias("hi")).withColumn("target", F.explode(F.array_distinct(F.array("lo", "hi")))).select(*names, "target")
+    few = F.broadcast(often.join(known, names, "left"))
+    common = requests.join(few, names)
+    rest = requests.join(F.broadcast(often), names, "left_anti").join(known, names, "left")
+    hits = common.unionByName(rest).groupBy("request", "priority", "alias_type").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
     unique = F.when(F.col("n") == 1, F.struct("priority", "target"))
     best = hits.groupBy("request").agg(F.min(unique).alias("best"), F.max("n").alias("most"))
     status = F.when(F.col("best").isNotNull(), "resolved").when(F.col("most") > 1, "ambiguous").otherwise("unknown")
@@ -115,6 +126,7 @@ def as_of(probes: DataFrame, versions: DataFrame, key: str) -> DataFrame:
     if not widths:
         widths = [OPEN]
     asked = probes.withColumn("_width", F.explode(F.array(*map(F.lit, widths)))).withColumn("_cell", cell(seconds("known_at"), F.col("_width")))
-    met = asked.join(laid, [key, "_width", "_cell"])
+    # either side is many times its table, which the planner would take it for and send it whole through the driver
+    met = asked.hint("merge").join(laid, [key, "_width", "_cell"])
     inside = [(F.col(f"{a}_from") <= F.col(f"{a}_at")) & (F.col(f"{a}_until").isNull() | (F.col(f"{a}_at") < F.col(f"{a}_until"))) for a in ("valid", "known")]
     return met.where(inside[0] & inside[1]).drop("_width", "_cell")

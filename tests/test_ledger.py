@@ -135,3 +135,24 @@ def test_packing_in_blocks_with_whole_sizes(spark, tmp_path):
     same = spark.createDataFrame([("g", 1, 60), ("g", 1, 60), ("g", 1, 40)], "g string, o long, s long")
     assert sorted((r.s, r.taken) for r in retrieval.packed(same, "g", "o", "s", 100).collect()) == [(40, True), (60, False), (60, True)]
     assert retrieval.packed(same.limit(0), "g", "o", "s", 100).count() == 0
+
+
+def test_aliases_that_many_requests_name(spark, monkeypatch):
+    monkeypatch.setattr(joins, "OFTEN", 3)
+    q = [(i, "name", "nobody" if i % 2 else f"a{i % 8}", 1) for i in range(40)] + [(i, "segment", None if i % 5 == 0 else "s", 2) for i in range(40)]
+    requests = spark.createDataFrame(q, "request int, alias_type string, alias string, priority int")
+    aliases = spark.createDataFrame([("name", "a0", 1), ("name", "a2", 2), ("name", "a2", 3), ("segment", "s", 4), ("segment", "s", 5)], "alias_type string, alias string, target int")
+    got = joins.resolve_aliases(requests, aliases)
+    named = lambda i: (1, "resolved") if i % 2 == 0 and i % 8 == 0 else (None, "ambiguous" if i % 5 or i % 8 == 2 else "unknown")
+    assert sorted(map(tuple, got.collect())) == [(i, *named(i)) for i in range(40)]
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_spans_of_fractions_and_nulls_equal_sql(spark, tmp_path):
+    from ledgerlens import catalog
+    from tests.oracle import connect, spark_rows, sql_rows
+
+    rows = [(1, 1, 20.6), (1, 2, 5.0), (2, 1, 2.5), (2, 1, None), (2, 1, 3.5), (3, 1, None), (4, 1, 19.5), (4, 2, 0.5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").toPandas().to_parquet(tmp_path / "lineitem.parquet")
+    q, sql = catalog.queries()["a26_merged_spans"], catalog.oracle_sql()["a26_merged_spans"]
+    assert spark_rows(q(spark, str(tmp_path))) == sql_rows(connect(str(tmp_path)), sql)

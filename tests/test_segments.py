@@ -90,3 +90,10 @@ def test_as_of_matches_all_pairs(spark):
     assert rows(out) == want and len(want) > 500
     assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
     assert joins.as_of(p, v.limit(0), "k").count() == 0
+
+
+def test_as_of_sends_no_side_through_the_driver(spark):
+    """Both sides are many times their small tables, so neither is broadcast."""
+    v = spark.createDataFrame([(1, 1, None, None, None, None)], "k int, version int, valid_from timestamp, valid_until timestamp, known_from timestamp, known_until timestamp")
+    p = spark.createDataFrame([(1, 1, None, None)], "k int, probe int, valid_at timestamp, known_at timestamp")
+    assert "BroadcastHashJoin" not in joins.as_of(p, v, "k")._jdf.queryExecution().executedPlan().toString()
