@@ -64,8 +64,8 @@ def digest(rows: DataFrame, parts: int = 64) -> DataFrame:
 
 
 def merged_spans(spans: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Spans that touch or overlap, joined into one: an island begins where a span starts beyond all before it."""
-    w = Window.partitionBy(*key).orderBy("start", "end")
+    """Spans that touch or overlap, joined into one: an island begins where a span starts beyond all before it. Null ends come last."""
+    w = Window.partitionBy(*key).orderBy(F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last())
     past = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_past", past).withColumn("_new", F.when(F.col("_past").isNull() | (F.col("start") > F.col("_past")), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")

@@ -397,7 +397,7 @@ def _(t):
     """WITH s AS (SELECT l_orderkey AS doc, l_linenumber * 20 AS a, l_linenumber * 20 + CAST(l_quantity AS INT) AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY doc ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s), i AS (SELECT *, sum(CASE WHEN past IS NULL OR a > past THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM m) SELECT doc, min(a) AS "start", max(b) AS "end" FROM i GROUP BY doc, isl""",
 )
 def _(t):
-    spans = t("lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 20).alias("start"), (F.col("l_linenumber") * 20 + F.col("l_quantity").cast("int")).alias("end"))
+    spans = t("lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 20).alias("start"), (F.col("l_linenumber") * 20 + F.rint("l_quantity").cast("int")).alias("end"))
     return sets.merged_spans(spans, ["doc"])
 
 
