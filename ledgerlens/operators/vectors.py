@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +26,8 @@ from .retrieval import top_k
 PIVOTS, BLOCK, SLACK = 4096, 2048, 1e-6
 #: Vectors for each pivot of a scope, at least.
 LEAST_SHARD = 64
+#: Vectors of a block where all cosines are returned.
+PAIRS = 1024
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +38,45 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for i, _ in found], int), np.array([v for _, v in found]).reshape(len(found), -1)
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length without nulls, as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def has_direction(vec: Column) -> Column:
+    """Whether a vector has finite components, and one that is not zero."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    return F.coalesce(finite, F.lit(False))
+
+
+def all_cosines(queries: DataFrame, vectors: DataFrame, block: int = PAIRS) -> DataFrame:
+    """query, id, cosine (six decimals) of every pair of a query (scope, query, vec) and another vector (scope, id, vec) of its scope.
+
+    All vectors have a direction and one length. Both sides are dealt in blocks of a scope by their ids' hashes, and pairs
+    of blocks are multiplied: no task holds more than two blocks and their product, and a vector travels once for each block.
+    """
+    many = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = checkpointed(many(queries, "turns").join(many(vectors, "pieces"), "scope"))
+    dealt = lambda own, n: F.pmod(F.xxhash64(own), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = ["scope", "turn", "piece"]
+    left = queries.join(sizes, "scope").withColumn("turn", dealt("query", "turns")).withColumn("piece", all_of("pieces")).select(*group, "query", F.col("vec").cast("array<double>").alias("vec"))
+    right = vectors.join(sizes, "scope").withColumn("piece", dealt("id", "pieces")).withColumn("turn", all_of("turns")).select(*(F.col(c).alias(c) for c in group), "id", F.col("vec").cast("array<double>").alias("vec"))
+    shape = T.StructType([left.schema["query"], right.schema["id"], T.StructField("cosine", T.DoubleType())])
+    arrow = to_arrow_schema(shape)
+
+    def multiplied(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return arrow.empty_table()
+        x, y = (_rows(t.column("vec")) for t in (a, b))
+        cosine = x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1)))
+        i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        out = pa.Table.from_arrays([a.column("query").combine_chunks().take(pa.array(i)), b.column("id").combine_chunks().take(pa.array(j)), pa.array(np.round(cosine, 6).ravel())], schema=arrow)
+        return out.filter(pc.not_equal(out.column(0), out.column(1)))
+
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(multiplied, shape)
+
+
 def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
 
@@ -70,8 +112,7 @@ class PivotSearch:
 
     def __init__(self, vectors: DataFrame, pivots: int = PIVOTS, block: int = BLOCK) -> None:
         spark, self.block = vectors.sparkSession, block
-        finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-        known = vectors.select("scope", "id", F.col("vec").cast("array<double>").alias("vec")).where(F.coalesce(finite, F.lit(False)))
+        known = vectors.select("scope", "id", F.col("vec").cast("array<double>").alias("vec")).where(has_direction(F.col("vec")))
         self.known, self.pivots = known, _choose(known, pivots)
         sent = spark.sparkContext.broadcast(self.pivots)
         shape = T.StructType([*known.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("reach", T.DoubleType())])
@@ -139,11 +180,15 @@ class PivotSearch:
             qs, ids = a.column("query").to_pylist(), b.column("id").to_pylist()
             out: tuple[list, list, list] = ([], [], [])
             if qs and ids:
-                x, y = (np.array(t.column("vec").to_pylist()) for t in (a, b))
+                x, y = (_rows(t.column("vec")) for t in (a, b))
                 order = np.argsort(np.array(ids, dtype=object), kind="stable")
                 ids, y = [ids[i] for i in order], y[order]
-                for q, row in zip(qs, np.round(x @ y.T, 6), strict=True):
-                    top = [i for i in np.argsort(-row, kind="stable")[: k + 1] if ids[i] != q][:k]
+                scores = np.round(x @ y.T, 6)
+                # of each row the k + 1 best and all that equal the last of them
+                least = np.partition(scores, -k - 1, axis=1)[:, -k - 1] if len(ids) > k + 1 else np.full(len(qs), -np.inf)
+                for q, row, low in zip(qs, scores, least, strict=True):
+                    near = np.flatnonzero(row >= low)
+                    top = [i for i in near[np.argsort(-row[near], kind="stable")][: k + 1] if ids[i] != q][:k]
                     for c, v in zip(out, ([q] * len(top), [ids[i] for i in top], row[top].tolist()), strict=True):
                         c.extend(v)
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)

@@ -69,13 +69,17 @@ R05_SQL = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embedd
 
 @query("r05_vector_top20", R05_SQL)
 def _(t):
-    """Queries are the vectors whose id 20 divides, against all vectors of their scope."""
+    """Queries are the vectors whose id 20 divides, against all vectors of their scope, in blocks; vectors without a direction meet the others one by one."""
     from ..functions.scoring import cosine
 
-    e = t("embeddings")
-    q = e.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("x"))
-    s = q.join(e.select("label", F.col("vec_id").alias("ver"), F.col("embedding").alias("y")), "label").where("query <> ver")
-    return retrieval.top_k(s.select("query", "ver", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score")), ["query"], [F.col("score").desc(), F.col("ver")], 20)
+    e = t("embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    good = vectors.has_direction(F.col("vec"))
+    query = F.col("id") % 20 == 0
+    best = vectors.PivotSearch(e, pivots=0).search(e.where(query & good).select("scope", F.col("id").alias("query"), "vec"), 20)
+    q, v = (x.select("scope", F.col("id").alias(name), F.col("vec").alias(c), good.alias(f"good_{c}")) for x, name, c in ((e.where(query), "query", "x"), (e, "ver", "y")))
+    odd = lambda a, b: a.join(b, "scope").where("query <> ver").select("query", "ver", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    s = best.select("query", F.col("id").alias("ver"), "score").unionByName(odd(q.where("not good_x"), v)).unionByName(odd(q.where("good_x"), v.where("not good_y")))
+    return retrieval.top_k(s, ["query"], [F.col("score").desc(), F.col("ver")], 20)
 
 
 @query("r05_pruned_search", R05_SQL)

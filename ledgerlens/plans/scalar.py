@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, times
-from ..operators import substrings
+from ..operators import substrings, vectors
 from ..registry import query
 
 D = lambda c: F.col(c).cast("double")
@@ -210,11 +210,15 @@ def _(t):
 
 @query("m01_cosine", "SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS cosine FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id <> b.vec_id")
 def _(t):
-    """A stated query set (ids divisible by 20) against all vectors of the label."""
-    e = t("embeddings")
-    a = e.where("vec_id % 20 = 0").select("label", "vec_id", F.col("embedding").alias("x"))
-    b = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("vec_id <> other").select("vec_id", "other", F.round(scoring.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    """A stated query set (ids divisible by 20) against all vectors of the label, by products of blocks; vectors without a direction meet the others one by one."""
+    e = t("embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    good = F.coalesce(vectors.has_direction(F.col("vec")), F.lit(False))
+    query = F.col("id") % 20 == 0
+    sound = vectors.all_cosines(e.where(query & good).select("scope", F.col("id").alias("query"), "vec"), e.where(good), vectors.PAIRS)
+    a, b = (x.select("scope", F.col("id").alias(name), F.col("vec").alias(v), good.alias(f"good_{v}")) for x, name, v in ((e.where(query), "query", "x"), (e, "other", "y")))
+    odd = lambda p, q: p.join(q, "scope").where("query <> other").select("query", F.col("other").alias("id"), F.round(scoring.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    made = sound.unionByName(odd(a.where("not good_x"), b)).unionByName(odd(a.where("good_x"), b.where("not good_y")))
+    return made.select(F.col("query").alias("vec_id"), F.col("id").alias("other"), "cosine")
 
 
 @query("m02_character_embedding", "SELECT item_id, list_transform(range(0, 16), lambda b: len(list_filter(string_split(lower(text), ''), lambda c: unicode(c) % 16 = b))::DOUBLE) AS v FROM benchmark")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from ledgerlens.operators import vectors
 from ledgerlens.operators.vectors import PivotSearch
 
 SCHEMA = "scope string, id long, vec array<double>"
@@ -49,3 +50,25 @@ def test_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     index = PivotSearch(none)
     assert index.search(none.withColumnRenamed("id", "query"), 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["m01_cosine", "r05_vector_top20"])
+def test_blocks_give_what_pairs_give(spark, tmp_path, monkeypatch, name):
+    """Several blocks of a scope, with vectors that have no direction among them; pairs are not compared by expressions."""
+    import random
+
+    from ledgerlens import catalog
+
+    rng = random.Random(2)
+    rows = [(i, [0.0] * 4 if i in (20, 41) else [rng.gauss(0, 1) for _ in range(4)], i % 3 if i != 60 else None) for i in range(240)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()
+    f = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    cos = lambda x, y: round(f(x, y) / (f(x, x) * f(y, y)) ** 0.5, 6) if f(x, x) * f(y, y) else 0.0
+    want = [(a.vec_id, b.vec_id, cos(a.embedding, b.embedding)) for a in e for b in e if a.vec_id % 20 == 0 and a.label is not None and a.label == b.label and a.vec_id != b.vec_id]
+    if name != "m01_cosine":
+        want = [w for q in {w[0] for w in want} for w in sorted((w for w in want if w[0] == q), key=lambda w: (-w[2], w[1]))[:20]]
+    monkeypatch.setattr(vectors, "PAIRS", 7)
+    got = catalog.queries()[name](spark, str(tmp_path))
+    assert {tuple(r)[:2]: tuple(r)[2] for r in got.collect()} == pytest.approx({w[:2]: w[2] for w in want}, abs=2e-6)
+    assert got.count() == len(want) and "CoGroupsInArrow" in got._jdf.queryExecution().toString()
