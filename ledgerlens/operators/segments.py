@@ -56,7 +56,7 @@ class SegmentedIndex:
     def _write(self, number: int, postings: DataFrame, documents: DataFrame, tombstones: DataFrame) -> None:
         at = f"{self.folder}/segment-{number:06d}"
         dealt = postings.withColumn("part", part_of(F.col("term"))).repartition("part", F.pmod(F.xxhash64(self.key), F.lit(WAYS)))
-        dealt.sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/postings")
+        dealt.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/postings")
         documents.write.parquet(f"{at}/documents")
         tombstones.write.parquet(f"{at}/tombstones")
 

@@ -97,3 +97,10 @@ def test_as_of_sends_no_side_through_the_driver(spark):
     v = spark.createDataFrame([(1, 1, None, None, None, None)], "k int, version int, valid_from timestamp, valid_until timestamp, known_from timestamp, known_until timestamp")
     p = spark.createDataFrame([(1, 1, None, None)], "k int, probe int, valid_at timestamp, known_at timestamp")
     assert "BroadcastHashJoin" not in joins.as_of(p, v, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_written_as_zstd(spark, tmp_path):
+    index = SegmentedIndex(spark, f"file://{tmp_path}/index", "k")
+    index.rebuild(spark.createDataFrame([(1, "a b"), (2, "b")], "k long, text string"))
+    files = [p.name for p in tmp_path.rglob("postings/**/*.parquet")]
+    assert files and all(".zstd." in f for f in files)
