@@ -155,3 +155,12 @@ def test_plans_are_complete(spark):
     assert coverage.faults(items.limit(0), units).where("fault = 'not_one_item_per_unit'").count() == items.where("unit_id is not null").count()
     by_authority = coverage.plan(units, tokens.withColumn("authority", F.col("place") % 2), "authority")
     assert by_authority.where("unit_id is null").count() >= items.where("unit_id is null").count()
+
+
+@pytest.mark.parametrize("project", [spans.to_raw, spans.to_normalized])
+def test_spans_and_pieces_are_dealt_once(spark, project):
+    n = spark.createDataFrame([(1, 0, 0, 3)], "key int, span int, start int, stop int")
+    texts = spark.createDataFrame([(1, "a  b c")], "k int, text string")
+    plan = project(n, spans.pieces_of(texts, "k", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "unboundedfollowing" not in plan.lower()
