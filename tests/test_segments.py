@@ -92,10 +92,13 @@ def test_as_of_matches_all_pairs(spark):
     assert joins.as_of(p, v.limit(0), "k").count() == 0
 
 
-def test_as_of_sends_no_side_through_the_driver(spark):
-    """Both sides are many times their small tables, so neither is broadcast."""
-    v = spark.createDataFrame([(1, 1, None, None, None, None)], "k int, version int, valid_from timestamp, valid_until timestamp, known_from timestamp, known_until timestamp")
-    p = spark.createDataFrame([(1, 1, None, None)], "k int, probe int, valid_at timestamp, known_at timestamp")
+def test_as_of_sends_no_side_through_the_driver(spark, tmp_path):
+    """Both sides are many times their small files, so neither is broadcast."""
+    v = spark.createDataFrame([(1, 1, datetime(2024, 1, 1), None, datetime(2024, 1, 1), None)], "k int, version int, valid_from timestamp, valid_until timestamp, known_from timestamp, known_until timestamp")
+    p = spark.createDataFrame([(1, 1, datetime(2024, 1, 2), datetime(2024, 1, 2))], "k int, probe int, valid_at timestamp, known_at timestamp")
+    v.write.parquet(f"{tmp_path}/v")
+    p.write.parquet(f"{tmp_path}/p")
+    p, v = (spark.read.parquet(f"{tmp_path}/{name}") for name in "pv")
     assert "BroadcastHashJoin" not in joins.as_of(p, v, "k")._jdf.queryExecution().executedPlan().toString()
 
 
