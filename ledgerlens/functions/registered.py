@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from . import sentence_units as S
 from . import unicode_text as U
@@ -22,26 +19,19 @@ SQL_FUNCTIONS = [
 ARROW_FUNCTIONS = {"ledger_normalize": U.normalize_udf, "ledger_label": U.label_udf, "ledger_words": U.words_udf, "ledger_polarity": U.polarity_udf}
 
 
-def _table_function(find: Callable[[str], list[tuple]], shape: str):
-    """A table function of a text: a row for each span that ``find`` gives, after its place."""
-
-    class Spans:
-        def eval(self, text: str) -> Iterator[tuple]:
-            for i, found in enumerate(find(text or ""), 1):
-                yield (i, *found)
-
-    return F.udtf(Spans, returnType=f"place int, {shape}")
+ENDS = {"start": "INT", "end": "INT"}
+#: name, Arrow function that gives a text's spans as an array of structs, and the columns after ``place`` of the functions that give a table.
+TABLE_FUNCTIONS = [
+    ("ledger_blocks", U.blocks_udf, {"kind": "STRING", **ENDS}),
+    ("ledger_units", U.units_udf, {"kind": "STRING", **ENDS}),
+    ("ledger_words_at", U.tokens_udf, {"word": "STRING", **ENDS}),
+    ("ledger_sentences", U.sentences_udf, ENDS),
+    ("ledger_sentence_units", S.sentence_units_udf, {**ENDS, "confidence": "STRING", "note": "STRING"}),
+]
 
 
-def table_functions() -> dict:
-    spans = "kind string, start int, `end` int"
-    return {
-        "ledger_blocks": _table_function(U.blocks, spans),
-        "ledger_units": _table_function(U.units, spans),
-        "ledger_words_at": _table_function(U.prose_tokens, "word string, start int, `end` int"),
-        "ledger_sentences": _table_function(U.sentences, "start int, `end` int"),
-        "ledger_sentence_units": _table_function(S.sentence_units, "start int, `end` int, confidence string, note string"),
-    }
+def table_functions() -> list[str]:
+    return [name for name, _, _ in TABLE_FUNCTIONS]
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -50,7 +40,9 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     for name, f in ARROW_FUNCTIONS.items():
         spark.udf.register(name, f)
-    made = table_functions()
-    for name, f in made.items():
-        spark.udtf.register(name, f)
-    return [*(f[0] for f in SQL_FUNCTIONS), *ARROW_FUNCTIONS, *made]
+    for name, f, shape in TABLE_FUNCTIONS:
+        spark.udf.register(f"{name}_of", f)
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in shape.items())
+        values = ", ".join(f"s.`{'kind' if c == 'word' else c}`" for c in shape)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS TABLE (place INT, {columns}) RETURN SELECT i + 1, {values} FROM posexplode({name}_of(x)) AS t(i, s)")
+    return [*(f[0] for f in SQL_FUNCTIONS), *ARROW_FUNCTIONS, *table_functions()]

@@ -164,3 +164,14 @@ def test_spans_and_pieces_are_dealt_once(spark, project):
     plan = project(n, spans.pieces_of(texts, "k", "text"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_table_functions_return_arrow_columns(spark):
+    """Spans of table functions leave Python as columns and not row by row; tokens are those of prose_tokens."""
+    registered.register(spark)
+    rows = list(enumerate([*texts(6, 80), "²ª_º½ a B", "Ⱥx İ ǅ", "a" * 9 + "\n```\nb c\n```\nD"]))
+    spark.createDataFrame(rows, "k long, text string").createOrReplaceTempView("said")
+    out = spark.sql("SELECT k, w.* FROM said, LATERAL ledger_words_at(text) w")
+    assert "UDTF" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(k, i, *w) for k, x in rows for i, w in enumerate(U.prose_tokens(x or ""), 1)]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and out.columns == ["k", "place", "word", "start", "end"]
