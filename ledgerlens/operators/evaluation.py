@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from .substrings import containing
 
 
@@ -17,7 +18,7 @@ def metrics(results: DataFrame, expected: DataFrame, cases: DataFrame, k: int) -
     expectations get their defined values: recall, mrr and ndcg are 1 if nothing is expected; precision without results
     is 1 if nothing is expected, else 0.
     """
-    want = expected.select("case", "key").distinct()
+    want = checkpointed(expected.select("case", "key").distinct())  # read twice
     n = want.groupBy("case").agg(F.count("*").alias("want"))
     hits = results.join(want.withColumn("hit", F.lit(1)), ["case", "key"], "left")
     top = F.col("rank") <= k

@@ -37,6 +37,18 @@ def lengths(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
 
 
+def asked(docs: DataFrame, key: str, text: str, only: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``postings`` of the terms that are asked for and ``lengths``, both from one pass over the documents that is kept.
+
+    Each document brings its length along under the empty term, which no document has and no query asks for.
+    """
+    words = docs.select(key, terms(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    wanted = only.select("term").where("term <> ''").union(only.sparkSession.range(1).select(F.lit(""))).distinct()
+    index = checkpointed(words.join(wanted, "term", "left_semi").groupBy("term", key, "length").agg(F.count("*").alias("tf")))
+    sizes = index.where("term = '' and length > 0")
+    return index.where("term <> ''"), sizes.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean_length"))
+
+
 def bm25(index: DataFrame, queries: DataFrame, key: str, query: str, k: int, stats: DataFrame | None = None) -> DataFrame:
     """query, key, score, rank: the k best documents of each query by BM25.
 

@@ -33,7 +33,8 @@ bm AS (SELECT query, doc_id, score, rank FROM (SELECT *, row_number() OVER (PART
 
 def bm25_list(t):
     q = _query_terms(t)
-    return retrieval.bm25(retrieval.postings(t("documents"), "doc_id", "text", q), q, "doc_id", "query", 20, retrieval.lengths(t("documents"), "text"))
+    index, stats = retrieval.asked(t("documents"), "doc_id", "text", q)
+    return retrieval.bm25(index, q, "doc_id", "query", 20, stats)
 
 
 @query("r04_postings", f"WITH d AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY 1")
