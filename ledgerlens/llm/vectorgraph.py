@@ -36,6 +36,8 @@ from .store import dropped, saved, table
 
 COSINE, BLOCK, SAMPLE = 0.93, 1500, 20_000
 DEGREE, POOL, ALPHA, BEAM, SLACK, FAR, DENSE, SIGMAS = 32, 96, 1.2, 16, 0.1, 4, 0.1, 4.0
+#: Pairs whose vectors are gathered at once.
+ROWS = 512
 
 
 def robust_prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
@@ -79,10 +81,18 @@ def range_search(queries: np.ndarray, nodes: np.ndarray, edges: list[np.ndarray]
     n, m = len(queries), len(nodes)
     degree = np.array([len(e) for e in edges], np.int64)
     flat_edges, edge = np.concatenate([*edges, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum(degree)])
-    cosine = lambda q, v: np.einsum("ij,ij->i", queries[q], nodes[v])
+
+    def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Cosines of (query, node) pairs, so few at a time that the rows stay in the processor's cache."""
+        out = np.empty(len(q))
+        for i in range(0, len(q), ROWS):
+            np.einsum("ij,ij->i", queries[q[i : i + ROWS]], nodes[v[i : i + ROWS]], out=out[i : i + ROWS])
+        return out
+
     seeds = medoids(nodes, beam)
     seen = np.zeros((n, m), bool)
     seen[:, seeds] = True
+    flat_seen = seen.reshape(-1)
     everyone = np.arange(n)
     top, top_cos = np.full((n, beam), -1), np.full((n, beam), -3.0)
     for j, s in enumerate(seeds):
@@ -98,11 +108,17 @@ def range_search(queries: np.ndarray, nodes: np.ndarray, edges: list[np.ndarray]
             many = degree[vs]
             qq = np.repeat(q[lo : lo + 100_000], many)
             vv = flat_edges[np.repeat(edge[vs], many) + np.arange(len(qq)) - np.repeat(np.cumsum(many) - many, many)]
-            fresh = ~seen[qq, vv]
-            flat = np.unique(qq[fresh] * m + vv[fresh])
-            qq, vv = flat // m, flat % m
-            seen[qq, vv] = True
-            out.append((qq, vv, np.concatenate([cosine(qq[i : i + 200_000], vv[i : i + 200_000]) for i in range(0, len(qq), 200_000)]) if len(qq) else np.zeros(0)))
+            flat = qq * m + vv
+            flat = flat[~flat_seen[flat]]
+            if len(flat) * 50 < n * m:
+                flat = np.unique(flat)
+            else:  # many: sorting them takes longer than a look at all pairs
+                new = np.zeros(n * m, bool)
+                new[flat] = True
+                flat = np.flatnonzero(new)
+            flat_seen[flat] = True
+            qq, vv = np.divmod(flat, m)
+            out.append((qq, vv, cosine(qq, vv)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (q[:0], q[:0], np.zeros(0))
 
     while True:

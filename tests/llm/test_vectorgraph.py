@@ -1,6 +1,8 @@
+import tracemalloc
+
 import numpy as np
 
-from ledgerlens.llm.vectorgraph import audit, link_vectors, robust_prune
+from ledgerlens.llm.vectorgraph import audit, link_vectors, range_search, robust_prune
 
 
 def brute(rows):
@@ -83,3 +85,23 @@ def test_large_group_of_near_copies_keeps_its_links(spark):
     assert want[:600].mean() > 300
     assert [r.n_links for r in links.orderBy("vec_id").collect()] == want.tolist()
     assert audit(df, links, queries=100) == 1.0
+
+
+def test_search_gathers_few_vectors_at_once():
+    """Results do not depend on how many pairs are gathered at once, and many queries do not take a copy of their vectors for each pair."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 64))
+    v[:40] = v[0] + rng.normal(size=(40, 64)) * 0.2
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    asked = np.concatenate([v, v + rng.normal(size=v.shape) * 0.02, rng.normal(size=(3000, 64))])
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    edges = [np.unique(r[r >= 0]) for r in robust_prune(v @ v.T)]
+    tracemalloc.start()
+    q, x, c = range_search(asked, v, edges, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 140 MB when 200,000 pairs were gathered at once, 65 MB now
+    true = asked @ v.T
+    assert (true[q, x] >= 0.93 - 1e-12).all() and np.allclose(true[q, x], c) and len(set(zip(q, x, strict=True))) == len(q) >= 0.99 * (true >= 0.93).sum()
+    few = range_search(asked[:70], v, edges, 0.93)  # steps of few pairs
+    assert sorted(zip(*few[:2], strict=True)) == sorted((a, b) for a, b in zip(q, x, strict=True) if a < 70)
