@@ -180,9 +180,14 @@ def _centroids(vectors: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
 
 
 def spread(vectors: np.ndarray, centroids: np.ndarray) -> float:
-    """The number of directions over which the vectors spread around their centroids (participation ratio)."""
+    """The number of directions over which the vectors spread around the means of their shards (participation ratio).
+
+    Not around the centroids: these have norm 1 and a mean of spread vectors is shorter, so all residuals would share its direction.
+    """
     own = np.concatenate([np.einsum("ij,kj->ik", vectors[i : i + 1000], centroids).argmax(axis=1) for i in range(0, len(vectors), 1000)])
-    rest = vectors - centroids[own]
+    sums = np.zeros_like(centroids)
+    np.add.at(sums, own, vectors)
+    rest = vectors - (sums / np.maximum(np.bincount(own, minlength=len(centroids)), 1)[:, None])[own]
     second = np.einsum("ni,nj->ij", rest, rest)
     return float(np.trace(second) ** 2 / max((second * second).sum(), 1e-300))
 

@@ -2,7 +2,7 @@ import tracemalloc
 
 import numpy as np
 
-from ledgerlens.llm.vectorgraph import audit, link_vectors, range_search, robust_prune
+from ledgerlens.llm.vectorgraph import audit, link_vectors, range_search, robust_prune, spread
 
 
 def brute(rows):
@@ -105,3 +105,14 @@ def test_search_gathers_few_vectors_at_once():
     assert (true[q, x] >= 0.93 - 1e-12).all() and np.allclose(true[q, x], c) and len(set(zip(q, x, strict=True))) == len(q) >= 0.99 * (true >= 0.93).sum()
     few = range_search(asked[:70], v, edges, 0.93)  # steps of few pairs
     assert sorted(zip(*few[:2], strict=True)) == sorted((a, b) for a, b in zip(q, x, strict=True) if a < 70)
+
+
+def test_spread_is_the_number_of_directions():
+    """Vectors that point anywhere spread over all dimensions (28 of 64 when centroids were taken for means); those of a plane over two."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    v = unit(rng.normal(size=(3000, 64)))
+    assert spread(v, unit(rng.normal(size=(8, 64)) + v[:8])) > 50
+    flat = np.zeros((500, 64))
+    flat[:, :2] = rng.normal(size=(500, 2))
+    assert spread(unit(flat), unit(flat[:20])) < 2.5
